@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from noticeboard.plans import queries_notices  # noqa: F401
+from noticeboard.plans import queries_facts, queries_health, queries_ledger, queries_notices  # noqa: F401
 from noticeboard.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
