@@ -1,6 +1,7 @@
 """All registered queries."""
 
-from noticeboard.plans import queries_facts, queries_health, queries_ledger, queries_notices  # noqa: F401
+from noticeboard.plans import (  # noqa: F401
+    queries_facts, queries_health, queries_ledger, queries_notices, queries_sources)
 from noticeboard.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
