@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from noticeboard import fixed_values as V
-from noticeboard.functions.text import contains_any, ends_with_any, starts_with_any, strip
+from noticeboard.functions.text import contains_any, strip
+
+_SKIP_PREFIX = "(?i)^(?:" + "|".join(V.HREF_SKIP_PREFIXES) + ")"
+# the extension ends the part before a query
+_SKIP_EXTENSION = "(?is)^[^?]*(?:" + "|".join(re.escape(e) for e in V.HREF_SKIP_EXTENSIONS) + ")(?:[?]|\\z)"
 
 
 def usable_href(href: Column) -> Column:
     """Not a script, mail, anchor or data link and not an attachment."""
-    low = F.lower(href)
-    return ~starts_with_any(low, V.HREF_SKIP_PREFIXES) & ~ends_with_any(
-        F.substring_index(low, "?", 1), V.HREF_SKIP_EXTENSIONS)
+    return ~href.rlike(_SKIP_PREFIX) & ~href.rlike(_SKIP_EXTENSION)
 
 
 def admitted_by_rule(title: Column, href: Column, min_chars: int = V.RULE_MIN_TITLE_CHARS) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from noticeboard import fixed_values as V
-from noticeboard.functions.text import array_of, bind, contains_any
+from noticeboard.functions.text import array_of, bind, contains_any, sql_string
 
 
 @dataclass(frozen=True)
@@ -41,9 +41,12 @@ def blocked_by(title: Column, blocklist: Sequence[str]) -> Column:
 
 
 def _term_table(lexicon: Lexicon) -> Column:
-    return F.array(*[
-        F.struct(F.lit(t).alias("term"), F.lit(float(w)).alias("weight"), array_of(s).alias("longer"))
-        for t, w, s in lexicon.longest_first()])
+    def longer(words: list[str]) -> str:
+        return "cast(array(" + ", ".join(map(sql_string, words)) + ") AS array<string>)"
+
+    return F.expr("array(" + ", ".join(
+        f"named_struct('term', {sql_string(t)}, 'weight', {float(w)!r}D, 'longer', {longer(s)})"
+        for t, w, s in lexicon.longest_first()) + ")")
 
 
 def matched_terms(title: Column, lexicon: Lexicon) -> Column:

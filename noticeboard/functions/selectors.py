@@ -53,24 +53,26 @@ def select_all(nodes: Column, selector: Column) -> Column:
     return F.array_compact(marked)
 
 
-def subtree(nodes: Column, at: Column) -> Column:
-    """The nodes below the node at a position, itself excluded."""
-    return F.slice(nodes, at + 2, F.get(nodes, at)["last"] - at)
+def positions_below(nodes: Column, at: Column, test) -> Column:
+    """Positions below ``at`` whose node passes the test.
+
+    Nodes are fetched one by one: slicing the array would copy all of it.
+    """
+    last = F.get(nodes, at)["last"]
+    below = F.when(last > at, F.sequence(at + 1, last)).otherwise(F.array().cast("array<int>"))
+    return F.filter(below, lambda i: bind(F.get(nodes, i), test))
 
 
 def first_below(nodes: Column, at: Column, test) -> Column:
     """Position of the first node below ``at`` that passes the test, else NULL."""
-    found = F.transform(subtree(nodes, at), lambda n, i: F.when(test(n), at + 1 + i))
-    return F.get(F.array_compact(found), F.lit(0))
+    return F.get(positions_below(nodes, at, test), F.lit(0))
 
 
 def text_below(nodes: Column, at: Column, sep: str, with_chrome: bool = True) -> Column:
     """Text of a subtree, pieces trimmed and joined."""
-    texts = F.filter(subtree(nodes, at), lambda n: (n["tag"] == "#text") if with_chrome
-                     else ((n["tag"] == "#text") & ~n["chrome"]))
-    own = F.get(nodes, at)
-    return F.when(own["tag"] == "#text", own["text"]).otherwise(
-        F.array_join(F.transform(texts, lambda n: n["text"]), sep))
+    texts = positions_below(nodes, at, lambda n: (n["tag"] == "#text") if with_chrome
+                            else ((n["tag"] == "#text") & ~n["chrome"]))
+    return F.array_join(F.transform(texts, lambda i: F.get(nodes, i)["text"]), sep)
 
 
 def attr(node: Column, name: str) -> Column:

@@ -57,16 +57,13 @@ def contains_any(c: Column, words: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(c, F.lit(w)) for w in words])
 
 
-def starts_with_any(c: Column, words: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a | b, [c.startswith(w) for w in words])
-
-
-def ends_with_any(c: Column, words: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a | b, [c.endswith(w) for w in words])
+def sql_string(word: str) -> str:
+    return "'" + word.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def array_of(words: Sequence[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
+    """Array literal, parsed in one step instead of built word by word."""
+    return F.expr("array(" + ", ".join(sql_string(w) for w in words) + ")").cast("array<string>")
 
 
 def substrings(c: Column, max_chars: int | None = None) -> Column:

@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.files.maxPartitionBytes": "128m",
+    # call sites of column expressions cost more than the expressions themselves
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

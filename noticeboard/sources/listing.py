@@ -49,9 +49,9 @@ def rule_items(nodes: Column, selectors: Column, base_url: Column) -> Column:
         title = F.when(F.length(attr_title) >= V.TITLE_ATTR_MIN_CHARS, attr_title).otherwise(
             S.text_below(nodes, title_at, ""))
         href = strip(F.coalesce(S.attr(F.get(nodes, link_at), "href"), F.lit("")))
-        date = F.coalesce(
-            F.when(p["date_at"].isNotNull(), parse_date_text(S.text_below(nodes, p["date_at"], ""))),
-            parse_date_text(S.text_below(nodes, p["row"], " ")))
+        texts = F.array(F.when(p["date_at"].isNotNull(), S.text_below(nodes, p["date_at"], "")),
+                        S.text_below(nodes, p["row"], " "))
+        date = F.get(F.array_compact(F.transform(texts, lambda t: parse_date_text(t))), F.lit(0))
         return F.when(title_at.isNotNull() & link_at.isNotNull(), bind(
             F.struct(title.alias("t"), href.alias("h")),
             lambda x: F.when(admitted_by_rule(x["t"], x["h"]), F.struct(
@@ -93,9 +93,8 @@ def heuristic_items(nodes: Column, base_url: Column, min_title_chars: int = V.HE
     """
     def rows_of(c: Column) -> Column:
         def below(tags: Sequence[str], direct: bool) -> Column:
-            found = F.transform(S.subtree(nodes, c), lambda n, i: F.when(
-                n["tag"].isin(list(tags)) & ~n["chrome"] & ((n["parent"] == c) if direct else F.lit(True)), c + 1 + i))
-            return F.array_compact(found)
+            return S.positions_below(nodes, c, lambda n: n["tag"].isin(list(tags)) & ~n["chrome"] & (
+                (n["parent"] == c) if direct else F.lit(True)))
 
         return bind(below(["li", "tr"], True), lambda a: F.when(F.size(a) >= 2, a).otherwise(
             bind(below(["li", "tr"], False), lambda b: F.when(F.size(b) >= 2, b).otherwise(below(["div", "p"], True)))))
