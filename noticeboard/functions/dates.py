@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from noticeboard import fixed_values as V
-from noticeboard.functions.text import bind, group, to_int
+from noticeboard.functions.text import bind, to_int
 
 
 def iso(y: Column, m: Column, d: Column) -> Column:
@@ -17,19 +17,27 @@ def iso(y: Column, m: Column, d: Column) -> Column:
 
 def checked_iso(y: Column, m: Column, d: Column, first_year: int = 1, last_year: int = 9999) -> Column:
     """ISO text when year, month and day are in range; the calendar is not checked."""
-    return F.when(y.between(first_year, last_year) & m.between(1, 12) & d.between(1, 31), iso(y, m, d))
+    return bind(F.struct(y.alias("y"), m.alias("m"), d.alias("d")), lambda t: F.when(
+        t["y"].between(first_year, last_year) & t["m"].between(1, 12) & t["d"].between(1, 31),
+        iso(t["y"], t["m"], t["d"])))
 
 
 def _from_first_match(text: Column, pattern: str, build) -> Column:
-    return bind(F.regexp_substr(text, F.lit(pattern)),
-                lambda hit: build(*[to_int(group(hit, pattern, i)) for i in (1, 2, 3)]))
+    """Result for the three numbers of the first match, NULL when the match has fewer."""
+    def numbers(hit: Column) -> Column:
+        return bind(F.regexp_extract_all(hit, F.lit(f"{V._D}+"), F.lit(0)), lambda parts: F.when(
+            F.size(parts) == 1, F.array(F.substring(hit, 1, 4), F.substring(hit, 5, 2), F.substring(hit, 7, 2)),
+        ).when(F.size(parts) == 3, parts))
+
+    return bind(bind(F.regexp_substr(text, F.lit(pattern)), numbers),
+                lambda n: build(*[to_int(F.get(n, F.lit(i))) for i in range(3)]))
 
 
 def publish_date(text: Column) -> Column:
     """Date of the first year-month-day in the text; NULL when the calendar has no such day."""
     return _from_first_match(
         text, V.PUBLISH_DATE,
-        lambda y, m, d: F.when(y >= 1, iso(y, m, d)).try_cast("date"))
+        lambda y, m, d: bind(y, lambda v: F.when(v >= 1, iso(v, m, d))).try_cast("date"))
 
 
 def age_days(published: Column, today: Column) -> Column:

@@ -195,9 +195,9 @@ def facts(text: Column, title: Column, head_chars: int | None = None) -> dict[st
 def apply_facts(notices: DataFrame, text: str = "main_text", head_chars: int | None = None) -> DataFrame:
     """Overwrite fields with facts found in the text; short texts change nothing."""
     usable = F.coalesce(F.length(text) >= V.MIN_DETAIL_CHARS, F.lit(False))
-    body = F.when(usable, F.col(text))
-    found = facts(body, F.col("title"), head_chars)
-    return notices.withColumns({
-        **{name: F.coalesce(F.nullif(value, F.lit("")), F.col(name)) for name, value in found.items()},
-        "detail_fetched": usable | F.col("detail_fetched"),
-    })
+    known = notices.withColumn("_body", F.when(usable, F.col(text)))
+    found = facts(F.col("_body"), F.col("title"), head_chars)
+    return known.withColumns({
+        **{name: F.coalesce(value, F.col(name)) for name, value in found.items()},
+        "detail_fetched": F.col("_body").isNotNull() | F.col("detail_fetched"),
+    }).drop("_body")

@@ -42,7 +42,7 @@ def squeeze(c: Column) -> Column:
 
 def group(c: Column, pattern: str, index: int) -> Column:
     """Group of the first match, NULL instead of '' when it did not match."""
-    return F.nullif(F.regexp_extract(c, pattern, index), F.lit(""))
+    return bind(F.regexp_extract(c, pattern, index), lambda x: F.when(x != "", x))
 
 
 def ascii_digits(c: Column) -> Column:

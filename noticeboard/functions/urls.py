@@ -10,19 +10,32 @@ from pyspark.sql import functions as F
 from noticeboard import fixed_values as V
 from noticeboard.functions.text import array_of, bind, strip
 
-# RFC 3986, appendix B: scheme, authority, path, query
-_PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
+_SCHEME = "^([A-Za-z][A-Za-z0-9+.-]*):"
 
 
 def split_url(url: Column) -> Column:
-    """struct(scheme, host, path, query); absent parts are ''."""
-    return bind(F.regexp_replace(strip(url), r"[\t\r\n]", ""), lambda u: F.struct(
-        F.lower(F.regexp_extract(u, _PARTS, 1)).alias("scheme"),
-        F.regexp_extract(u, _PARTS, 2).alias("host"),
-        F.regexp_extract(u, _PARTS, 3).alias("path"),
-        F.regexp_extract(u, _PARTS, 4).alias("query"),
-        u.rlike(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//").alias("has_host"),
-    ))
+    """struct(scheme, host, path, query, has_host); absent parts are ''."""
+    def cut(u: Column) -> Column:
+        # the fragment ends the query, the query ends the rest
+        return bind(F.substring_index(u, "#", 1), lambda w: bind(F.substring_index(w, "?", 1), lambda head: F.struct(
+            head.alias("head"), F.regexp_extract(head, _SCHEME, 1).alias("scheme"),
+            F.substring(w, F.length(head) + 2, F.length(w)).alias("query"))))
+
+    def rest(x: Column) -> Column:
+        tail = F.when(x["scheme"] == "", x["head"]).otherwise(
+            F.substring(x["head"], F.length(x["scheme"]) + 2, F.length(x["head"])))
+        return bind(tail, lambda t: F.struct(
+            F.lower(x["scheme"]).alias("scheme"), x["query"].alias("query"), t.alias("tail"),
+            F.when(t.startswith("//"), F.substring_index(F.substring(t, F.lit(3), F.length(t)), "/", 1)).alias("host")))
+
+    def parts(x: Column) -> Column:
+        return F.struct(
+            x["scheme"].alias("scheme"), F.coalesce(x["host"], F.lit("")).alias("host"),
+            F.when(x["host"].isNull(), x["tail"]).otherwise(
+                F.substring(x["tail"], F.length(x["host"]) + 3, F.length(x["tail"]))).alias("path"),
+            x["query"].alias("query"), x["host"].isNotNull().alias("has_host"))
+
+    return bind(bind(bind(F.translate(strip(url), "\t\r\n", ""), cut), rest), parts)
 
 
 def _decode(c: Column) -> Column:
@@ -55,29 +68,36 @@ def normalize_url(url: Column, volatile_keys: Sequence[str] = V.VOLATILE_QUERY_K
     index file, repeated slashes and volatile parameters are dropped.  A value
     that mixes valid and invalid percent escapes is kept undecoded.
     """
+    def slashes(path: Column) -> Column:
+        return F.when(F.contains(path, F.lit("//")), F.regexp_replace(path, "/{2,}", "/")).otherwise(path)
+
+    def page(path: Column) -> Column:
+        def cut(last: Column) -> Column:
+            return F.when(F.lower(last).isin(list(index_files)),
+                          F.substring(path, F.lit(1), F.length(path) - F.length(last))).otherwise(path)
+
+        return bind(bind(F.substring_index(path, "/", -1), cut), lambda x: F.when(x == "", "/").otherwise(x))
+
+    def port(host: Column) -> Column:
+        return (F.when(host.endswith(":80"), F.substring(host, F.lit(1), F.length(host) - 3))
+                .when(host.endswith(":443"), F.substring(host, F.lit(1), F.length(host) - 4)).otherwise(host))
+
     def build(p: Column) -> Column:
-        scheme = F.when(p["scheme"].isin("", "http", "https"), "https").otherwise(p["scheme"])
-        host = F.regexp_replace(F.lower(p["host"]), ":(80|443)$", "")
-        path = F.regexp_replace(p["path"], "/{2,}", "/")
-        last = F.lower(F.substring_index(path, "/", -1))
-        path = F.when(last.isin(list(index_files)),
-                      F.substring(path, F.lit(1), F.length(path) - F.length(last))).otherwise(path)
-        path = F.when(path == "", "/").otherwise(path)
-        query = canonical_query(p["query"], volatile_keys)
-        rooted = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
-        front = (F.when(host != "", F.concat(F.lit("//"), host, rooted))
-                 .when(path.startswith("/") & (scheme == "https"), F.concat(F.lit("//"), path))
-                 .otherwise(path))
-        return F.concat(scheme, F.lit(":"), front,
-                        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
-
-    text = strip(url)
-    broken_host = F.contains(text, F.lit("//")) & (
-        F.contains(F.regexp_extract(text, _PARTS, 2), F.lit("["))
-        != F.contains(F.regexp_extract(text, _PARTS, 2), F.lit("]")))
-    return (F.when(url.isNull() | (url == ""), F.lit(""))
-            .when(broken_host, text)
-            .otherwise(bind(split_url(url), build)))
+        return F.struct(
+            F.when(p["scheme"].isin("", "http", "https"), "https").otherwise(p["scheme"]).alias("scheme"),
+            bind(F.lower(p["host"]), port).alias("host"), bind(slashes(p["path"]), page).alias("path"),
+            bind(p["query"], lambda q: canonical_query(q, volatile_keys)).alias("query"),
+            (F.contains(p["host"], F.lit("[")) != F.contains(p["host"], F.lit("]"))).alias("broken"))
+
+    def join(p: Column) -> Column:
+        rooted = F.when(p["path"].startswith("/"), p["path"]).otherwise(F.concat(F.lit("/"), p["path"]))
+        front = (F.when(p["host"] != "", F.concat(F.lit("//"), p["host"], rooted))
+                 .when(p["path"].startswith("/") & (p["scheme"] == "https"), F.concat(F.lit("//"), p["path"]))
+                 .otherwise(p["path"]))
+        return F.when(p["broken"], strip(url)).otherwise(F.concat(
+            p["scheme"], F.lit(":"), front, F.when(p["query"] != "", F.concat(F.lit("?"), p["query"])).otherwise("")))
+
+    return F.when(url.isNull() | (url == ""), F.lit("")).otherwise(bind(bind(split_url(url), build), join))
 
 
 def remove_dot_segments(path: Column) -> Column:
@@ -96,23 +116,38 @@ def remove_dot_segments(path: Column) -> Column:
 
 def resolve_url(base: Column, href: Column) -> Column:
     """Absolute address of ``href`` seen from the page ``base``."""
+    return bind(split_base(base), lambda b: resolve_from(b, href))
+
+
+def split_base(base: Column) -> Column:
+    """A page address taken apart once for all its links."""
+    return F.struct(split_url(base).alias("b"), strip(base).alias("base"))
+
+
+def resolve_from(page: Column, href: Column) -> Column:
+    """As ``resolve_url`` for a page address given by ``split_base``."""
+    def merge(x: Column) -> Column:
+        b, h = page["b"], x["h"]
+        name = F.substring_index(b["path"], "/", -1)
+        folder = F.when(b["path"] == "", "/").otherwise(
+            F.substring(b["path"], F.lit(1), F.length(b["path"]) - F.length(name)))
+        path = F.when(h["path"].startswith("/"), h["path"]).otherwise(F.concat(folder, h["path"]))
+        # what follows the path: query and fragment as written
+        written = F.length(F.substring_index(F.substring_index(x["raw"], "#", 1), "?", 1))
+        return F.struct(
+            x["raw"].alias("raw"), h.alias("h"), path.alias("path"),
+            F.concat(b["scheme"], F.lit("://"), b["host"]).alias("root"),
+            F.substring(x["raw"], written + 1, F.length(x["raw"])).alias("tail"))
+
     def build(x: Column) -> Column:
-        b, h = x["b"], x["h"]
-        root = F.concat(b["scheme"], F.lit("://"), b["host"])
-        tail = F.when(F.contains(x["raw"], F.lit("?")), F.regexp_extract(x["raw"], r"(?s)^[^?]*(.*)$", 1)).otherwise(
-            F.regexp_extract(x["raw"], r"(?s)^[^#]*(.*)$", 1))
-        folder = F.regexp_replace(F.when(b["path"] == "", "/").otherwise(b["path"]), "[^/]*$", "")
-        merged = F.when(h["path"].startswith("/"), h["path"]).otherwise(F.concat(folder, h["path"]))
-        dotted = F.contains(merged, F.lit("./")) | merged.endswith("/.") | merged.endswith("/..")
-        clean = F.when(dotted, remove_dot_segments(merged)).otherwise(merged)
-        base_query = F.when(b["query"] != "", F.concat(F.lit("?"), b["query"])).otherwise("")
-        fragment = F.regexp_extract(x["raw"], r"(?s)^[^#]*(.*)$", 1)
-        return (F.when(x["raw"] == "", x["base"])
-                .when((h["scheme"] != "") & (h["has_host"] | (h["scheme"] != b["scheme"])), x["raw"])
-                .when(h["has_host"], F.concat(b["scheme"], F.lit(":"), x["raw"]))
-                .when((h["path"] == "") & (h["query"] == ""), F.concat(root, b["path"], base_query, fragment))
-                .when(h["path"] == "", F.concat(root, b["path"], tail))
-                .otherwise(F.concat(root, clean, tail)))
-
-    return bind(F.struct(split_url(base).alias("b"), split_url(href).alias("h"),
-                         strip(href).alias("raw"), strip(base).alias("base")), build)
+        b, h, raw, path = page["b"], x["h"], x["raw"], x["path"]
+        dotted = F.contains(path, F.lit("./")) | path.endswith("/.") | path.endswith("/..")
+        clean = F.when(dotted, remove_dot_segments(path)).otherwise(path)
+        base_query = F.when((h["query"] == "") & (b["query"] != ""), F.concat(F.lit("?"), b["query"])).otherwise("")
+        return (F.when(raw == "", page["base"])
+                .when((h["scheme"] != "") & (h["has_host"] | (h["scheme"] != b["scheme"])), raw)
+                .when(h["has_host"], F.concat(b["scheme"], F.lit(":"), raw))
+                .when(h["path"] == "", F.concat(x["root"], b["path"], base_query, x["tail"]))
+                .otherwise(F.concat(x["root"], clean, x["tail"])))
+
+    return bind(bind(F.struct(split_url(href).alias("h"), strip(href).alias("raw")), merge), build)

@@ -13,7 +13,7 @@ from noticeboard.functions.admission import admitted_by_heuristic, admitted_by_r
 from noticeboard.functions.dates import heuristic_date, parse_date_text
 from noticeboard.functions.facts import clean_text
 from noticeboard.functions.text import bind, squeeze, strip
-from noticeboard.functions.urls import resolve_url
+from noticeboard.functions.urls import resolve_from, split_base
 from noticeboard.sources.html_nodes import nodes_of
 
 ITEM_TYPE = "struct<title:string,url:string,publish_date:string,position:int>"
@@ -43,7 +43,7 @@ def rule_items(nodes: Column, selectors: Column, base_url: Column) -> Column:
                         F.when(F.size(selectors["date"]) > 0,
                                S.first_below(nodes, row, lambda n: S.matches(nodes, n, selectors["date"]))).alias("date_at"))
 
-    def item(p: Column) -> Column:
+    def item(p: Column, page: Column) -> Column:
         title_at, link_at = F.coalesce(p["title_at"], p["anchor"]), F.coalesce(p["link_at"], p["anchor"])
         attr_title = strip(F.coalesce(S.attr(F.get(nodes, link_at), "title"), F.lit("")))
         title = F.when(F.length(attr_title) >= V.TITLE_ATTR_MIN_CHARS, attr_title).otherwise(
@@ -55,11 +55,12 @@ def rule_items(nodes: Column, selectors: Column, base_url: Column) -> Column:
         return F.when(title_at.isNotNull() & link_at.isNotNull(), bind(
             F.struct(title.alias("t"), href.alias("h")),
             lambda x: F.when(admitted_by_rule(x["t"], x["h"]), F.struct(
-                squeeze(x["t"]).alias("title"), resolve_url(base_url, x["h"]).alias("url"),
+                squeeze(x["t"]).alias("title"), resolve_from(page, x["h"]).alias("url"),
                 date.alias("publish_date"), p["row"].alias("position")))))
 
     rows = S.select_all(nodes, selectors["list_item"])
-    found = F.transform(rows, lambda row: bind(places(row), item))
+    found = bind(split_base(base_url), lambda page: F.transform(
+        rows, lambda row: bind(places(row), lambda p: item(p, page))))
     return F.filter(F.array_compact(found), lambda x: x["title"] != "")
 
 
@@ -99,7 +100,7 @@ def heuristic_items(nodes: Column, base_url: Column, min_title_chars: int = V.HE
         return bind(below(["li", "tr"], True), lambda a: F.when(F.size(a) >= 2, a).otherwise(
             bind(below(["li", "tr"], False), lambda b: F.when(F.size(b) >= 2, b).otherwise(below(["div", "p"], True)))))
 
-    def item(row: Column) -> Column:
+    def item(row: Column, page: Column) -> Column:
         anchor = S.first_below(nodes, row, lambda n: S.is_link(n) & ~n["chrome"])
 
         def build(a: Column) -> Column:
@@ -109,14 +110,14 @@ def heuristic_items(nodes: Column, base_url: Column, min_title_chars: int = V.HE
                 S.text_below(nodes, a, "", with_chrome=False))
             return bind(F.struct(title.alias("t"), strip(S.attr(node, "href")).alias("h")), lambda x: F.when(
                 admitted_by_heuristic(x["t"], x["h"], min_title_chars), F.struct(
-                    squeeze(x["t"]).alias("title"), resolve_url(base_url, x["h"]).alias("url"),
+                    squeeze(x["t"]).alias("title"), resolve_from(page, x["h"]).alias("url"),
                     heuristic_date(S.text_below(nodes, row, " ", with_chrome=False)).alias("publish_date"),
                     row.alias("position"))))
 
         return bind(anchor, lambda a: F.when(a.isNotNull(), build(a)))
 
-    def candidate(c: Column) -> Column:
-        items = bind(F.array_compact(F.transform(rows_of(c["at"]), item)), first_by_url)
+    def candidate(c: Column, page: Column) -> Column:
+        items = bind(F.array_compact(F.transform(rows_of(c["at"]), lambda row: item(row, page))), first_by_url)
         return bind(F.slice(items, 1, max_rows), lambda x: F.when(
             F.size(x) >= 2, F.struct(list_score(x).alias("score"), (-c["kind"]).alias("kind"), (-c["at"]).alias("at"),
                                      x.alias("items"))))
@@ -126,7 +127,8 @@ def heuristic_items(nodes: Column, base_url: Column, min_title_chars: int = V.HE
         n["tag"].isin(V.LIST_CONTAINER_TAGS) & ~n["chrome"]
         & n["n_links"].between(V.HEURISTIC_LINKS_MIN, V.HEURISTIC_LINKS_MAX),
         F.struct(i.alias("at"), F.array_position(tags, n["tag"]).cast("int").alias("kind")))))
-    best = F.array_max(F.array_compact(F.transform(places, candidate)))
+    best = F.array_max(F.array_compact(bind(split_base(base_url), lambda page: F.transform(
+        places, lambda c: candidate(c, page)))))
     return F.coalesce(bind(best, lambda b: b["items"]), F.array().cast(NO_ITEMS))
 
 
