@@ -45,8 +45,8 @@ def resolve_sources(regions: DataFrame, catalog: DataFrame) -> DataFrame:
     best = hits.groupBy("clean").agg(F.min_by("city", "city_pos").alias("city"))
     # a name of suffixes only is part of every city: the first one
     first_city = cities.agg(F.min_by("city", "city_pos").alias("first_city"))
-    matched = names.filter(strip(F.col("region")) != "").join(best, "clean", "left").join(first_city, F.lit(True)).select(
-        "region", F.when(F.col("clean") == "", F.col("first_city")).otherwise(F.col("city")).alias("city"))
+    matched = names.filter(strip(F.col("region")) != "").join(best, "clean", "left").select(
+        "region", F.when(F.col("clean") == "", first_city.scalar()).otherwise(F.col("city")).alias("city"))
     found = matched.filter(F.col("city").isNotNull()).join(catalog, "city").select(
         "region", F.lit(True).alias("listed"), F.col("pos").cast("int").alias("ord"), *SOURCE_COLUMNS)
     unlisted = names.join(matched.filter(F.col("city").isNotNull()), "region", "left_anti")

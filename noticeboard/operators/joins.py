@@ -1,0 +1,26 @@
+"""Joins of many rows with a table of one row per key."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 50_000
+SALTS = 64
+
+
+def join_dimension(rows: DataFrame, dimension: DataFrame, key: str, how: str = "inner",
+                   max_rows: int = BROADCAST_ROWS, salts: int = SALTS) -> DataFrame:
+    """Join on a key that may be the same for a large share of the rows.
+
+    A dimension of at most ``max_rows`` rows, counted first, is broadcast, so
+    the many rows stay where they are.  A larger one is copied once per salt
+    and the rows are spread over the salts, so a hot key is split over tasks.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError(f"unsupported join: {how}")
+    if dimension.limit(max_rows + 1).count() <= max_rows:
+        return rows.join(F.broadcast(dimension), key, how)
+    salt = F.pmod(F.xxhash64(*[c for c in rows.columns if c != key] or [key]), F.lit(salts)).cast("int")
+    copies = dimension.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", salt).join(copies, [key, "_salt"], how).drop("_salt")

@@ -109,8 +109,7 @@ def run_summary(queue: DataFrame, deliveries: DataFrame) -> DataFrame:
     sent = deliveries.agg(F.count("*").alias("n"), F.coalesce(F.bool_or("ok"), F.lit(False)).alias("any_ok"),
                           names(F.col("ok")).alias("ok_names"), names(~F.col("ok")).alias("bad_names"))
     tried = (F.col("attempted") > 0) & (F.col("n") > 0)
-    # both sides are one row
-    return size.join(sent, F.lit(True)).select(
+    return sent.withColumn("attempted", size.scalar()).select(
         "attempted",
         F.when(tried & F.col("any_ok"), F.col("attempted")).otherwise(0).alias("succeeded"),
         F.when(tried & ~F.col("any_ok"), F.col("attempted")).otherwise(0).alias("failed"),

@@ -20,14 +20,16 @@ def ledger_stats(ledger: DataFrame, today: Column) -> DataFrame:
         F.count("*").alias("total_policies"),
         F.count_if(F.to_date("first_seen_at") == today).alias("today_count"),
         *[F.count_if(F.col("state") == s).alias(n) for s, n in V.STATE_NAMES.items()])
-    return counts.join(cities, F.lit(True))  # one row each
+    return counts.withColumn("active_cities", cities.scalar())
 
 
 def dashboard(ledger: DataFrame, rules: DataFrame, health: DataFrame, today: Column) -> DataFrame:
     """Ledger stats, number of rules and broken sources, overall status."""
     rule_count = rules.agg(F.count("*").alias("total_rules"))
     broken = health.agg(F.count_if("is_broken").alias("broken_sources"))
-    return ledger_stats(ledger, today).join(rule_count, F.lit(True)).join(broken, F.lit(True)).withColumn(
+    counted = ledger_stats(ledger, today).withColumns(
+        {"total_rules": rule_count.scalar(), "broken_sources": broken.scalar()})
+    return counted.withColumn(
         "status", F.when(F.col("broken_sources") == 0, "Healthy").otherwise("Degraded"))
 
 

@@ -167,7 +167,7 @@ def t2(spark, sf):
 def t4(spark, sf):
     view = to_brief(outbox.delivery_queue(B.outbox(spark, sf), V.PENDING_VIEW_LIMIT))
     total = view.agg(F.count("*").alias("total"))
-    return view.join(total, F.lit(True)).select("title", "url", "publish_date", "category", "total")
+    return view.select("title", "url", "publish_date", "category", total.scalar().alias("total"))
 
 
 @query("i8_backfill", f"""WITH {KEYED_SQL} SELECT notice_id, {sql_url('url')} AS canonical_url,

@@ -71,7 +71,9 @@ def listing_pages(spark, sf) -> DataFrame:
     return rows.select(
         F.concat(F.lit("r"), F.col("kind").cast("string")).alias("rule_id"), "page_no", F.lit(1).alias("page"),
         F.concat(F.lit("https://gov"), number, F.lit(".example.org/list/a/index_"), number, F.lit(".html")).alias("url"),
-        page.alias("html"))
+        page.alias("html"),
+        # few bytes but much work per page, so small inputs are spread over all cores
+    ).repartition(spark.sparkContext.defaultParallelism)
 
 
 def listing_rules(spark) -> DataFrame:
@@ -329,7 +331,7 @@ def s2(spark, sf):
 @query("s1_rule_listing", f"WITH {RULES_SQL} SELECT id, city, source_name, count(*) OVER () AS total FROM rules")
 def s1(spark, sf):
     r = rules(spark, sf)
-    return r.join(r.agg(F.count("*").alias("total")), F.lit(True)).select("id", "city", "source_name", "total")
+    return r.select("id", "city", "source_name", r.agg(F.count("*").alias("total")).scalar().alias("total"))
 
 
 @query("j3_source_results", f"""WITH {RULES_SQL},

@@ -43,8 +43,8 @@ class Round:
 def collect(inputs: Inputs) -> DataFrame:
     """Items of the successfully read pages of valid rules, each address once per source."""
     bad = fetched.fetch_outcome(F.col("kind"), F.col("http_status"), F.col("error")).isNotNull()
-    reached = fetched.contiguous_prefix(inputs.fetch_log.withColumn("failed", bad)).select("rule_id", "page").distinct()
-    pages = inputs.pages.join(reached, ["rule_id", "page"], "left_semi")
+    failures = fetched.first_failures(inputs.fetch_log.withColumn("failed", bad))
+    pages = fetched.before_failure(inputs.pages, failures)
     rules = inputs.rules.filter(F.size(fetched.rule_problems(
         F.col("url"), F.col("city"), F.col("source_name"), F.col("parser_type"))) == 0).withColumnRenamed("id", "rule_id")
     items = listing.listing_items(pages, rules).withColumns({

@@ -12,6 +12,7 @@ from noticeboard import fixed_values as V
 from noticeboard.functions.dates import parse_date_text
 from noticeboard.functions.text import bind, strip, squeeze
 from noticeboard.functions.urls import resolve_url
+from noticeboard.operators.joins import join_dimension
 from noticeboard.sources.rules import rule_problems
 
 
@@ -28,15 +29,24 @@ def page_frontier(rules: DataFrame) -> DataFrame:
         resolve_url(F.col("url"), address)))
 
 
-def contiguous_prefix(fetches: DataFrame, key: str = "rule_id", page: str = "page", failed: str = "failed") -> DataFrame:
-    """Pages before the first failed page of their source.
+def first_failures(fetches: DataFrame, key: str = "rule_id", page: str = "page", failed: str = "failed") -> DataFrame:
+    """First failed page of the sources that have one.
 
-    The first failure per source is an aggregate with a partial step, so a
-    source with very many rows is not sorted in one task.
+    An aggregate with a partial step, so a source with very many rows is not
+    sorted in one task.
     """
-    stop = fetches.filter(F.col(failed)).groupBy(key).agg(F.min(page).alias("_stop"))
-    return fetches.join(stop, key, "left").filter(
-        F.col("_stop").isNull() | (F.col(page) < F.col("_stop"))).drop("_stop")
+    return fetches.filter(F.col(failed)).groupBy(key).agg(F.min(page).alias("first_failed"))
+
+
+def before_failure(rows: DataFrame, failures: DataFrame, key: str = "rule_id", page: str = "page") -> DataFrame:
+    """Rows of pages before the first failed page of their source; the rows are not moved for it."""
+    return join_dimension(rows, failures, key, "left").filter(
+        F.col("first_failed").isNull() | (F.col(page) < F.col("first_failed"))).drop("first_failed")
+
+
+def contiguous_prefix(fetches: DataFrame, key: str = "rule_id", page: str = "page", failed: str = "failed") -> DataFrame:
+    """Pages before the first failed page of their source."""
+    return before_failure(fetches, first_failures(fetches, key, page, failed), key, page)
 
 
 # --------------------------------------------------------------------------

@@ -14,6 +14,7 @@ from noticeboard.functions.dates import heuristic_date, parse_date_text
 from noticeboard.functions.facts import clean_text
 from noticeboard.functions.text import bind, squeeze, strip
 from noticeboard.functions.urls import resolve_from, split_base
+from noticeboard.operators.joins import join_dimension
 from noticeboard.sources.html_nodes import nodes_of
 
 ITEM_TYPE = "struct<title:string,url:string,publish_date:string,position:int>"
@@ -140,7 +141,7 @@ def listing_items(pages: DataFrame, rules: DataFrame, html_column: str = "html")
     """
     kept = ["rule_id", "city", "district", "source_name", "category"]
     compiled = with_selectors(rules).select(*kept, "selectors")
-    parsed = pages.join(compiled, "rule_id").withColumn("nodes", nodes_of(F.col(html_column)))
+    parsed = join_dimension(pages, compiled, "rule_id").withColumn("nodes", nodes_of(F.col(html_column)))
     by_rule = bind(rule_items(F.col("nodes"), F.col("selectors"), F.col("url")), lambda x: F.struct(
         (F.size(x) == 0).alias("from_fallback"),
         F.when(F.size(x) > 0, x).otherwise(heuristic_items(F.col("nodes"), F.col("url"))).alias("items")))

@@ -72,10 +72,10 @@ def upsert_rules(rules: DataFrame, changes: DataFrame) -> DataFrame:
         return F.concat(F.lit("rule_"), number.cast("string"), F.lit("_"), city)
 
     updates = todo.filter(F.col("pos").isNotNull()).select("pos", "new")
-    updated = rules.join(updates, "pos", "left").join(size, F.lit(True)).select(
+    updated = rules.join(updates, "pos", "left").withColumn("n", size.scalar()).select(
         "pos", F.coalesce("id", F.when(F.col("new").isNotNull(), name(F.col("n"), F.col("new.city")))).alias("id"), "url",
         *[F.when(F.col("new").isNull(), F.col(f)).otherwise(F.coalesce(f"new.{f}", f)).alias(f) for f in fields])
-    added = todo.filter(F.col("pos").isNull()).join(size, F.lit(True)).select(
+    added = todo.filter(F.col("pos").isNull()).withColumn("n", size.scalar()).select(
         (F.col("n") + F.col("new_pos")).cast("long").alias("pos"),
         name(F.col("n") + F.col("new_pos"), F.col("new.city")).alias("id"), "url", *[F.col(f"new.{f}").alias(f) for f in fields])
     return updated.unionByName(added)

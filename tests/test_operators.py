@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from noticeboard import fixed_values as V
-from noticeboard.operators import catalog, dedup, filters, health, outbox, reports
+from noticeboard.operators import catalog, dedup, filters, health, joins, outbox, reports
 
 
 def greedy(rows):
@@ -130,3 +130,13 @@ def test_wecom_digest_is_cut_at_whole_characters(spark):
 def test_empty_batch(spark):
     empty = spark.createDataFrame([], "n long, unique_id string, dedup_key string")
     assert dedup.greedy_first(empty, ["n"]).count() == 0
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("max_rows", [0, 100])
+def test_dimension_join_with_a_hot_key(spark, how, max_rows):
+    rows = spark.range(300).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 20)).alias("key"))
+    dim = spark.createDataFrame([("hot", 1), ("k1", 2), ("k2", 3)], "key string, v int")
+    got = joins.join_dimension(rows, dim, "key", how, max_rows=max_rows, salts=8)
+    want = rows.join(dim, "key", how)
+    assert sorted(got.select("id", "v").collect(), key=str) == sorted(want.select("id", "v").collect(), key=str)
