@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 50_000
 SALTS = 64
+HOT_SHARE = 256
 
 
 def join_dimension(rows: DataFrame, dimension: DataFrame, key: str, how: str = "inner",
@@ -14,13 +15,21 @@ def join_dimension(rows: DataFrame, dimension: DataFrame, key: str, how: str = "
     """Join on a key that may be the same for a large share of the rows.
 
     A dimension of at most ``max_rows`` rows, counted first, is broadcast, so
-    the many rows stay where they are.  A larger one is copied once per salt
-    and the rows are spread over the salts, so a hot key is split over tasks.
+    the many rows stay where they are.  With a larger one both sides move, and
+    keys that hold more than one part in 256 of the rows are spread over salts,
+    for which only their own dimension rows are copied.  There are fewer than
+    256 such keys, whatever the data, so the list of them is broadcast.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join: {how}")
     if dimension.limit(max_rows + 1).count() <= max_rows:
         return rows.join(F.broadcast(dimension), key, how)
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n")).scalar()
+    hot = F.broadcast(counts.filter(F.col("_n") * HOT_SHARE > total).select(key, F.lit(True).alias("_hot")))
+    is_hot = F.coalesce("_hot", F.lit(False))
     salt = F.pmod(F.xxhash64(*[c for c in rows.columns if c != key] or [key]), F.lit(salts)).cast("int")
-    copies = dimension.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("_salt", salt).join(copies, [key, "_salt"], how).drop("_salt")
+    salted = rows.join(hot, key, "left").withColumn("_salt", F.when(is_hot, salt).otherwise(0)).drop("_hot")
+    copies = dimension.join(hot, key, "left").withColumn("_salt", F.explode(
+        F.sequence(F.lit(0), F.when(is_hot, salts - 1).otherwise(0)))).drop("_hot")
+    return salted.join(copies, [key, "_salt"], how).drop("_salt")
