@@ -117,10 +117,10 @@ def cut_to_bytes(text: Column, max_bytes: int) -> Column:
     return F.when(F.octet_length(text) > max_bytes, F.concat(cut, F.lit("\n\n…（内容过长已截断）"))).otherwise(text)
 
 
-def digest(batches: DataFrame, style: str = "markdown") -> DataFrame:
+def digest(batches: DataFrame, style: str = "markdown", header: str = "新政策") -> DataFrame:
     """Message text and subject parts per batch; ``pos`` orders the notices of a batch.
 
-    Batches come out of the delivery queue, whose limit bounds their size.
+    ``header`` heads the short variant.  Batches come out of the delivery queue, whose limit bounds their size.
     """
     rows = batches.withColumn("_text", _digest_lines(style))
     ordered = F.array_sort(F.collect_list(F.struct("pos", "_text", "city", "title")))
@@ -130,7 +130,7 @@ def digest(batches: DataFrame, style: str = "markdown") -> DataFrame:
         F.array_distinct(F.filter(F.transform("_rows", lambda x: x["city"]), lambda c: c != "")).alias("_cities"),
         F.substring(F.get("_rows", F.lit(0))["title"], 1, 22).alias("headline"))
     if style == "wecom":
-        header = F.concat(F.lit("### 🏠 青年安居政策通 · "), F.col("n").cast("string"), F.lit(" 条新动态\n\n"))
+        header = F.concat(F.lit(f"### 🏠 {header} · "), F.col("n").cast("string"), F.lit(" 条新动态\n\n"))
         out = out.withColumn("body", cut_to_bytes(F.concat(header, "body"), V.WECOM_MAX_BYTES))
     label = F.concat(F.array_join(F.slice("_cities", 1, 3), "/"), F.when(F.size("_cities") > 3, "等").otherwise(""))
     return out.select("batch_id", F.col("n").cast("int").alias("n"), "body", F.concat(

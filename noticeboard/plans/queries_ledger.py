@@ -269,7 +269,7 @@ def s17_plain(spark, sf):
 
 
 @query("s17_digest_wecom", f"""WITH {DIGEST_BATCH_SQL},
-d AS (SELECT batch_id, '### 🏠 青年安居政策通 · ' || count(*) || ' 条新动态' || chr(10) || chr(10)
+d AS (SELECT batch_id, '### 🏠 新政策 · ' || count(*) || ' 条新动态' || chr(10) || chr(10)
     || string_agg({sql_digest('wecom')}, chr(10) ORDER BY pos) AS body FROM batches GROUP BY 1),
 chars AS (SELECT batch_id, unnest(string_split(body, '')) AS ch, generate_subscripts(string_split(body, ''), 1) AS i FROM d),
 sized AS (SELECT *, sum(strlen(ch)) OVER (PARTITION BY batch_id ORDER BY i) AS bytes FROM chars),

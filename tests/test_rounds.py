@@ -36,7 +36,6 @@ def test_rounds_lifecycle(spark, tmp_path):
 
     ledger, log = BatchLog(spark, f"{tmp_path}/ledger"), BatchLog(spark, f"{tmp_path}/log")
     policy = filters.Policy(today="2026-08-25")
-    # ids of the run log are not part of the results
     assert rounds.run_round(pages(range(1, 6)), policy, now(), ledger, log, 0).count() == 0
     assert ledger.rows().filter("state = 2").count() == 5
     for _ in range(2):
@@ -48,10 +47,6 @@ def test_rounds_lifecycle(spark, tmp_path):
     assert ledger.rows().count() == 7
 
 
-def split(spark, df, path, parts):
-    df.repartition(parts, "k").drop("k").write.option("maxRecordsPerFile", 10**9).parquet(path)
-
-
 def test_streams_equal_batches(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     src = f"{tmp_path}/docs"
@@ -63,7 +58,6 @@ def test_streams_equal_batches(spark, tmp_path):
     got = BatchLog(spark, f"{root}/ledger").rows()
     batches = spark.read.parquet(f"{root}/ledger").select("batch").distinct().count()
     assert batches == 3
-    known, order = None, []
     for n in range(3):
         part = spark.read.parquet(f"{root}/ledger/batch={n}")
         assert {r.state for r in part.select("state").distinct().collect()} <= ({2} if n == 0 else {0})
