@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from noticeboard.llm import (
-    bpe_automaton, char_cnn_secrets, ftrl_langid, knn_quality, url_shift_and, weak_toxicity)
+    bpe_automaton, char_cnn_secrets, ftrl_langid, knn_quality, tput_search, url_shift_and, vp_search, weak_toxicity)
 from noticeboard.llm.common import read
 
 QUERIES, ORACLES = {}, {}
@@ -31,6 +31,30 @@ def op2_weak_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return weak_toxicity.toxicity_scores(docs, weak_toxicity.fit_toxicity(docs, read(spark, sf, "labels")))
 
 
+@query
+def op3_tput_search(spark: SparkSession, sf: str) -> DataFrame:
+    return tput_search.exact_top_k(read(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op3_tput_search"] = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER best AS INTEGER) AS rank, vec_id, score FROM s
+WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER best <= 5"""
+
+
+@query
+def op4_vp_search(spark: SparkSession, sf: str) -> DataFrame:
+    return vp_search.nearest(read(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query
 def op5_char_cnn_secrets(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents")

@@ -10,6 +10,7 @@ the posterior labels and scores every document.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
@@ -19,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticeboard.llm.common import batches_of, labelled_ids, remainder, texts_of
+from noticeboard.llm.common import batches_of, kept, labelled_ids, remainder, texts_of
 
 WORD = re.compile(r"[^\W\d_]+")
-HEADS = (4, 5, 6)
+HEADS = (4, 5, 6, 7, 8, 9)
 # voters written by hand, as patterns over the lower-cased text
 PATTERNS = {
     "insult": r"\b(?:idiot|moron|loser|scum|trash|stupid|pathetic|worthless|disgusting|clown)s?\b",
@@ -66,8 +67,12 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(s, -30, 30))))
 
 
-def induced_lexicon(sample: DataFrame, size: int, least: int) -> list[str]:
-    """The terms that tell the labels apart best, counted over the sample by Spark."""
+def induced_lexicon(sample: DataFrame, sizes: dict[int, int], size: int, least: int) -> list[str]:
+    """The terms that tell the labels apart best, counted over the sample by Spark.
+
+    A term must be far more frequent among the bad documents, and so much that
+    chance would not do it once among all terms looked at (likelihood ratio).
+    """
     def counted(batches):
         tally: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for batch in batches:
@@ -80,13 +85,17 @@ def induced_lexicon(sample: DataFrame, size: int, least: int) -> list[str]:
                 [pa.array(list(c.keys()), pa.string()), pa.array([label] * len(c), pa.int32()),
                  pa.array(list(c.values()), pa.int64())], names=["term", "label", "n"])
 
-    by_term = sample.select("label", "text").mapInArrow(counted, "term string, label int, n long").groupBy("term").agg(
+    tallied = sample.select("label", "text").mapInArrow(counted, "term string, label int, n long").groupBy("term").agg(
         F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("bad"),
-        F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("good"))
-    # share of the bad among its documents, smoothed, times how many it reaches
-    worth = (F.col("bad") + 0.5) / (F.col("bad") + F.col("good") + 1.0)
-    best = by_term.filter((F.col("bad") >= least) & (worth >= 0.9)).orderBy(
-        F.desc(worth * F.log1p("bad")), "term").limit(size)
+        F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("good")).filter(F.col("bad") >= least)
+    by_term = kept(tallied)
+    share = sizes[1] / (sizes[0] + sizes[1])
+    bad, good = F.col("bad"), F.col("good")
+    ratio = 2 * (bad * F.log(bad / ((bad + good) * share)) + F.when(good > 0, good * F.log(
+        good / ((bad + good) * (1 - share)))).otherwise(0.0))
+    worth = (bad / sizes[1]) / (bad / sizes[1] + good / sizes[0])
+    best = by_term.filter((worth >= 0.99) & (ratio >= 2 * math.log(max(by_term.count(), 2)))).orderBy(
+        F.desc(ratio), "term").limit(size)
     return [r.term for r in best.select("term").collect()]
 
 
@@ -115,14 +124,17 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 40) -> np.ndarray
         else:
             damp = np.ones(m)
         share = np.clip(q.mean(), 1e-3, 1 - 1e-3)
-        hit, miss = np.log(a / b) * damp, np.log((1 - a) / (1 - b)) * damp
-        logit = np.log(share / (1 - share)) + votes @ hit + (1 - votes) @ miss
+        # a voter that abstains says nothing; that all abstain is evidence of its own
+        silent = np.clip([((q * (fires == 0)).sum() + 0.01) / (q.sum() + 1),
+                          (((1 - q) * (fires == 0)).sum() + 1) / ((1 - q).sum() + 1.02)], 1e-4, 1 - 1e-4)
+        logit = np.log(share / (1 - share)) + votes @ (np.log(a / b) * damp) + np.where(
+            fires == 0, np.log(silent[0] / silent[1]), np.log((1 - silent[0]) / (1 - silent[1])))
         q = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
     return q
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2500, lexicon: int = 400, least: int = 3,
-                 folds: int = 5, held: int = 0, steps: int = 400) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 3000, lexicon: int = 500, least: int = 3,
+                 folds: int = 5, held: int = 0, steps: int = 20) -> ToxicityModel:
     """Lexicon, label model and classifier from labelled documents outside the held-out fold.
 
     The sample is bounded: ``per_class`` ids of each label, first in hash order,
@@ -134,7 +146,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2500, lexi
     if len(sizes) < 2:
         return ToxicityModel(prior=float(next(iter(sizes), 0)))
     # a small sample cannot ask for as many occurrences
-    terms = induced_lexicon(sample, lexicon, least if sizes[1] >= 20 else 1)
+    terms = induced_lexicon(sample, sizes, lexicon, least if sizes[1] >= 20 else 1)
     model = ToxicityModel({t: i for i, t in enumerate(terms)}, len(terms) + len(_PATTERNS))
 
     def fired(batches):
@@ -148,14 +160,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2500, lexi
     for i, r in enumerate(rows):
         votes[i, r.fired] = 1
     posterior = label_model(votes, sizes[1] / len(rows))
-    # logistic regression on the posteriors, full batch, weights kept small and not negative
-    w, bias = np.full(model.voters, 0.5), -2.0
+    # logistic regression on the posteriors by Newton steps with a ridge; a voter never counts against its class
+    x = np.concatenate([votes, np.ones((len(rows), 1))], axis=1)
+    w = np.zeros(model.voters + 1)
+    ridge = np.diag([0.05] * model.voters + [1e-3])
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(votes @ w + bias, -30, 30)))
-        d = p - posterior
-        w = np.maximum(w - 2.0 * (votes.T @ d / len(rows) * 10 + 1e-4 * w), 0)
-        bias -= 2.0 * d.mean()
-    model.weights, model.bias = w, float(bias)
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = (x * (p * (1 - p))[:, None]).T @ x + ridge
+        w -= np.linalg.solve(slope, x.T @ (p - posterior) + ridge @ w)
+        w[:-1] = np.maximum(w[:-1], 0)
+    model.weights, model.bias = w[:-1], float(w[-1])
     return model
 
 
