@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from noticeboard.llm import (
-    bpe_automaton, char_cnn_secrets, ftrl_langid, knn_quality, tput_search, url_shift_and, vp_search, weak_toxicity)
+    bayes_join, bpe_automaton, budget_mix, char_cnn_secrets, ftrl_langid, knn_quality,
+    tput_search, url_shift_and, vp_search, weak_toxicity)
 from noticeboard.llm.common import read
 
 QUERIES, ORACLES = {}, {}
@@ -38,10 +39,10 @@ def op3_tput_search(spark: SparkSession, sf: str) -> DataFrame:
 
 ORACLES["op3_tput_search"] = """
 WITH v AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS e
+  SELECT DISTINCT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
@@ -61,12 +62,28 @@ def op5_char_cnn_secrets(spark: SparkSession, sf: str) -> DataFrame:
     return char_cnn_secrets.secret_findings(docs, char_cnn_secrets.fit_scanner(docs))
 
 
+@query
+def op6_budget_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return budget_mix.mixed_copies(read(spark, sf, "documents")).select("doc_id", *budget_mix.LEVELS, "copies")
+
+
+ORACLES["op6_budget_mix"] = budget_mix.mix_sql()
+
+
 @query
 def op7_ftrl_langid(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents")
     return ftrl_langid.languages_of(docs, ftrl_langid.fit_languages(docs))
 
 
+@query
+def op8_bayes_join(spark: SparkSession, sf: str) -> DataFrame:
+    return bayes_join.near_duplicates(read(spark, sf, "documents"))
+
+
+ORACLES["op8_bayes_join"] = bayes_join.near_duplicates_sql()
+
+
 @query
 def op9_bpe_automaton(spark: SparkSession, sf: str) -> DataFrame:
     return bpe_automaton.bpe_digests(read(spark, sf, "documents"), public_tokenizers.path(VOCABULARY))
@@ -75,3 +92,6 @@ def op9_bpe_automaton(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op10_url_shift_and(spark: SparkSession, sf: str) -> DataFrame:
     return url_shift_and.filtered_pages(read(spark, sf, "pages"))
+
+
+ORACLES["op10_url_shift_and"] = url_shift_and.filtered_pages_sql()

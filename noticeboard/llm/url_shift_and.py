@@ -7,6 +7,7 @@ for every URL in the same few vector operations.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -175,3 +176,37 @@ def filtered_pages(pages: DataFrame, rules: Sequence[Rule] = RULES,
     split = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     return split.withColumn("_j", judge_urls(F.col("host"), F.col("path"), rules, block_globs)).select(
         "page_id", "host", "path", "_j.rule", "_j.verdict")
+
+
+def filtered_pages_sql(pages: str = "pages", rules: Sequence[Rule] = RULES, block_globs: Sequence[str] = BLOCK_GLOBS) -> str:
+    """The same in SQL, the rules one after the other and the globs as regular expressions."""
+    def text(s: str) -> str:
+        return "'" + s.replace("'", "''") + "'"
+
+    def regex(glob: str) -> str:
+        out, i = "(?s)", 0
+        while i < len(glob):
+            if glob[i:i + 2] == "**":
+                out, i = out + ".*", i + 2
+                continue
+            if glob[i] == "\\":
+                i += 1
+                out += re.escape(glob[i])
+            else:
+                out += {"*": "[^/]*", "?": "."}.get(glob[i]) or re.escape(glob[i])
+            i += 1
+        return out
+
+    ordered = sorted(rules, key=lambda r: -len(r.name))
+    fits = [f"(host = {text(r.host)} OR ends_with(host, {text('.' + r.host)})) AND starts_with(path, {text(r.path)})" for r in ordered]
+    names = " ".join(f"WHEN {f} THEN {text(r.name)}" for f, r in zip(fits, ordered))
+    verdicts = " ".join(f"WHEN {f} THEN {text(r.verdict)}" for f, r in zip(fits, ordered))
+    blocked = " OR ".join(f"regexp_full_match('.' || host || path, {text(regex(g))})" for g in block_globs)
+    return f"""
+WITH split AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '{HOST}', 1), ''), '{UPPER}', '{LOWER}') AS host,
+    coalesce(regexp_extract(url, '{PATH}', 1), '') AS path
+  FROM {pages})
+SELECT page_id, host, path, CASE {names} END AS rule,
+  CASE {verdicts} WHEN {blocked} THEN 'block' ELSE 'allow' END AS verdict
+FROM split"""
