@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from noticeboard.session import shared_dir
 
+LOG = logging.getLogger(__name__)
+
 
 def not_in_ledger(notices: DataFrame, ledger: DataFrame) -> DataFrame:
     """Notices whose unique_id and dedup_key are both unknown to the ledger.
@@ -32,8 +35,7 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
         F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")).select(*keys, "_row.*").select(*df.columns)
 
 
-def greedy_first(notices: DataFrame, order: Sequence[str], uid: str = "unique_id", dkey: str = "dedup_key",
-                 tail_rows: int = 20_000) -> DataFrame:
+def greedy_first(notices: DataFrame, order: Sequence[str], uid: str = "unique_id", dkey: str = "dedup_key") -> DataFrame:
     """Keep a row, in order, iff neither of its keys belongs to a row already kept.
 
     ``order`` must be a total order.  A dropped row does not claim its other
@@ -41,56 +43,28 @@ def greedy_first(notices: DataFrame, order: Sequence[str], uid: str = "unique_id
     'first row per key' passes would be wrong.
 
     Each round keeps all rows that come first under both of their keys and then
-    drops the rows that share a key with one of them.  Rows alone under both
-    keys are settled in the first round.  Copies that agree in both keys are
-    merged before, so groups of copies never travel.  Rounds end when nothing
-    is left; a remainder of at most ``tail_rows`` rows (a checked bound on key
-    triples, not a cut) is settled by one task.
+    drops the rows that share a key with one of them, until none is left.  Rows
+    alone under both keys are settled in the first round, and copies that agree
+    in both keys are merged before, so groups of copies never travel.  A chain in
+    which every row shares a key with the next costs a round per two rows; the
+    rounds are logged.
     """
-    spark = notices.sparkSession
-    shared_dir(spark)
+    shared_dir(notices.sparkSession)
     rank = F.struct(*order)
-    open_ = notices.groupBy(uid, dkey).agg(F.min(rank).alias("rank"))
-    chosen = None
-    while True:
-        open_ = open_.checkpoint()
-        left = open_.limit(tail_rows + 1).count()
-        if left == 0:
-            break
-        if left <= tail_rows:
-            taken = _settle_in_one_task(open_, uid, dkey)
-        else:
-            by_uid = open_.groupBy(uid).agg(F.min("rank").alias("rank"))
-            by_key = open_.groupBy(dkey).agg(F.min("rank").alias("rank"))
-            # ranks are unique, so a rank that is first under both keys is one row
-            taken = by_uid.join(by_key, "rank").checkpoint()
+    open_ = notices.groupBy(uid, dkey).agg(F.min(rank).alias("rank")).checkpoint()
+    chosen, rounds = None, 0
+    while not open_.isEmpty():
+        by_uid = open_.groupBy(uid).agg(F.min("rank").alias("rank"))
+        by_key = open_.groupBy(dkey).agg(F.min("rank").alias("rank"))
+        # ranks are unique, so a rank that is first under both keys is one row
+        taken = by_uid.join(by_key, "rank").checkpoint()
         chosen = taken if chosen is None else chosen.unionByName(taken)
-        if left <= tail_rows:
-            break
         open_ = (open_.join(taken.select(uid), uid, "left_anti")
-                 .join(taken.select(dkey), dkey, "left_anti"))
+                 .join(taken.select(dkey), dkey, "left_anti")).checkpoint()
+        rounds += 1
+    LOG.info("two-key dedup settled in %d rounds", rounds)
     if chosen is None:
         return notices.limit(0)
     ranked = notices.withColumn("_rank", rank)
     return ranked.join(chosen.select(F.col("rank").alias("_rank")), "_rank", "left_semi").drop("_rank").select(
         *notices.columns)
-
-
-def _settle_in_one_task(open_: DataFrame, uid: str, dkey: str) -> DataFrame:
-    """The greedy loop itself, for a remainder whose size was checked."""
-    def settle(batches):
-        used_uid, used_key = set(), set()
-        for pdf in batches:
-            keep = []
-            for u, d in zip(pdf[uid], pdf[dkey]):
-                free = u not in used_uid and d not in used_key
-                if free:
-                    used_uid.add(u)
-                    used_key.add(d)
-                keep.append(free)
-            yield pdf[keep]
-
-    kept = open_.coalesce(1).sortWithinPartitions("rank").select(uid, dkey).mapInPandas(
-        settle, f"{uid} string, {dkey} string")
-    # pairs of keys are unique here, so a pair names its rank
-    return open_.join(kept, [uid, dkey], "left_semi").select("rank", uid, dkey)
