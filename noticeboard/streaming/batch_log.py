@@ -20,22 +20,39 @@ class BatchLog:
 
     def write(self, df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        if self.marker() is None:
+            stored = self.only(batch).agg(F.lit(batch).cast("long").alias("first_batch"),
+                                          F.current_timestamp().alias("initialised_at"), F.count("*").alias("row_count"))
+            stored.coalesce(1).write.mode("overwrite").parquet(self.path + ".initialised")
 
-    def _all(self) -> DataFrame | None:
+    def _read(self, path: str) -> DataFrame | None:
         try:
-            return self.spark.read.parquet(self.path)
+            return self.spark.read.parquet(path)
         except AnalysisException as e:
             if "PATH_NOT_FOUND" in str(e):
                 return None
             raise
 
+    def marker(self):
+        """Row (first_batch, initialised_at, row_count) of the batch that began the log; None before it."""
+        stored = self._read(self.path + ".initialised")
+        return None if stored is None else stored.first()
+
     def before(self, batch: int) -> DataFrame | None:
-        """Rows of all earlier batches; NULL when there is no earlier batch."""
-        rows = self._all()
-        if rows is None:
+        """Rows of all earlier batches; None when no earlier batch was ever completed.
+
+        The stored marker decides, so the first batch finds no earlier one however
+        often it runs, and an earlier batch without rows still counts.
+        """
+        begun = self.marker()
+        if begun is None or begun.first_batch >= batch:
             return None
-        rows = rows.filter(F.col("batch") < batch)
-        return None if not rows.inputFiles() and batch == 0 else rows.drop("batch")
+        return self.spark.read.parquet(self.path).filter(F.col("batch") < batch).drop("batch")
+
+    def newest(self) -> int | None:
+        """Number of the newest batch with rows."""
+        rows = self._read(self.path)
+        return None if rows is None else rows.agg(F.max("batch")).first()[0]
 
     def only(self, batch: int) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/batch={batch}")

@@ -36,6 +36,12 @@ def test_rounds_lifecycle(spark, tmp_path):
 
     ledger, log = BatchLog(spark, f"{tmp_path}/ledger"), BatchLog(spark, f"{tmp_path}/log")
     policy = filters.Policy(today="2026-08-25")
+    # a first round is the baseline whatever its number and however often it runs
+    late, late_log = BatchLog(spark, f"{tmp_path}/late"), BatchLog(spark, f"{tmp_path}/late_log")
+    for _ in range(2):
+        assert rounds.run_round(pages(range(1, 4)), policy, now(), late, late_log, 1).count() == 0
+    assert late.rows().filter("state = 2").count() == 3
+    assert (late.marker().first_batch, late.marker().row_count) == (1, 3)
     assert rounds.run_round(pages(range(1, 6)), policy, now(), ledger, log, 0).count() == 0
     assert ledger.rows().filter("state = 2").count() == 5
     for _ in range(2):
