@@ -12,38 +12,34 @@ from pyspark.sql import functions as F
 from noticeboard import fixed_values as V
 from noticeboard.functions.text import array_of
 from noticeboard.operators import filters
-from noticeboard.session import spread
 
 TODAY = "2024-03-15"
-TEXT_TABLES = {"documents", "pages"}  # much work per row
 PLACES = ["深圳市", "北京市", "上海市", "杭州市"]
 KINDS = ["公告", "通知", "名单", "办理指南"]
 TERMS = [*V.WEAK_TERMS, *V.MEDIUM_TERMS, *V.STRONG_TERMS]
 OFFICES = ["住房保障中心", "人才服务局", "教育局"]
 DEADLINES = [
-    "申报截止日期为2024年8月31日", "受理时间：2024年8月19日16:00至2024年9月3日18:00",
-    "2024年度项目于8月1日至8月31日受理", "自公告发布之日起十五个工作日内提交材料",
-    "请于2024年13月5日前提交，最迟不迟于2024-10-9", "自发布之日起30日内办理", "长期有效",
+    "报名不得晚于2025年4月6日", "窗口开放时段2025年2月3日9:30至2025年2月27日17:30", "本年度（2025年）征集3月4日至3月29日",
+    "自通告发布之日起二十个工作日内递交", "2025年14月2日前提交者无效，截止2025-12-3", "从收件之日起45日内答复", "常年开放",
 ]
 AMOUNTS = [
-    "博士10万元、硕士5万元、本科2万元", "每月补贴 1500 元", "给予一次性生活补贴3万元",
-    "补助标准为：2.5万", "硕士3000元，硕士3000元，技师800元", "另行通知",
+    "硕士7万元、高级工4万元、大专1万元", "租金每月标准为 860 元", "购房给一次性奖励6万元",
+    "资助额度：4.5万", "本科2500元，本科2500元，专科900元", "标准面议",
 ]
-QUOTAS = ["共提供208套；推出221套，其中170套、38套", "合计30间，配租12户", "房源充足"]
+QUOTAS = ["提供64套，配租35套，另有12套", "合计17户，推出9间", "房源若干"]
 AUDIENCES = [
-    "面向毕业2年内的应届高校毕业生", "限博士后、领军人才及留学回国人员", "本科以上、高职学历的新就业职工和创业团队",
-    "毕业三年以内的往届毕业生", "不限",
+    "毕业四年内的应届生与学士", "海外高层次人才、博士研究生", "大专、技能人才以及创业人员、新就业大学生",
+    "毕业五年以内的硕士与往届毕业生", "人人可报",
 ]
-AGES = ["年龄35周岁以下", "不超过18周岁的子女，本人未满40岁", "年龄18-45周岁", "未满16周岁的儿童"]
+AGES = ["年龄在42岁以下", "不满16岁的儿童，申请人不超过55岁", "年龄20至50岁", "未满14周岁未成年人"]
 CHANNELS = [
-    "登录“深圳市人才安居服务平台”申请", "网址 https://apply.example.org/youth/system?id=1.",
-    "附件 https://static.example.org/files/guide.pdf，通过市政务服务网办理", "现场办理",
+    "通过“滨海市青年服务小程序”报名", "见 http://apply.sample.org/form/start?no=7;",
+    "海报 https://img.sample.org/poster/one.JPG，进入安居云平台查看", "请到现场",
 ]
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def pick(words: list[str], index: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,6 +19,7 @@ SETTINGS = {
     "spark.sql.files.maxPartitionBytes": "128m",
     # call sites of column expressions cost more than the expressions themselves
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -39,8 +41,8 @@ def build_session(app: str = "noticeboard", master: str | None = None,
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster, named by ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder: on a cluster the
-    executors would not see it.
+    Only a session in one local process may fall back to a temporary folder: on a
+    cluster, a simulated one included, the executors would not see it.
     """
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir")
@@ -48,7 +50,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not folder and current.isDefined():
         return current.get()
     if not folder:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="noticeboard-")
     if not current.isDefined():
@@ -60,11 +62,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input of few splits; larger inputs are left alone.
-
-    A parquet file of one row group is one task however many cores are idle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df

@@ -12,7 +12,6 @@ from noticeboard import fixed_values as V
 from noticeboard.functions.dates import parse_date_text
 from noticeboard.functions.text import bind, strip, squeeze
 from noticeboard.functions.urls import resolve_url
-from noticeboard.operators.joins import join_dimension
 from noticeboard.sources.rules import rule_problems
 
 
@@ -39,8 +38,12 @@ def first_failures(fetches: DataFrame, key: str = "rule_id", page: str = "page",
 
 
 def before_failure(rows: DataFrame, failures: DataFrame, key: str = "rule_id", page: str = "page") -> DataFrame:
-    """Rows of pages before the first failed page of their source; the rows are not moved for it."""
-    return join_dimension(rows, failures, key, "left").filter(
+    """Rows of pages before the first failed page of their source.
+
+    A plain join: the failures are small and broadcast where Spark's size limit
+    allows, and adaptive execution splits a source with very many rows otherwise.
+    """
+    return rows.join(failures, key, "left").filter(
         F.col("first_failed").isNull() | (F.col(page) < F.col("first_failed"))).drop("first_failed")
 
 
@@ -56,9 +59,12 @@ def _widened(charset: Column) -> Column:
     return F.when(charset.isin("gb2312", "gb_2312-80", "gbk"), "gb18030").otherwise(charset)
 
 
-def declared_charset(content: Column, forced: Column, header: Column) -> Column:
-    """Forced charset, else the one of a meta tag near the start, else the header's, else UTF-8."""
-    head = F.decode(F.substring(content, 1, 4096), "ISO-8859-1")
+def declared_charset(content: Column, forced: Column, header: Column, head_bytes: int | None = None) -> Column:
+    """Forced charset, else the first one of a meta tag, else the header's, else UTF-8.
+
+    The whole content is searched unless ``head_bytes`` limits it.
+    """
+    head = F.decode(content if head_bytes is None else F.substring(content, 1, head_bytes), "ISO-8859-1")
     meta = F.nullif(F.lower(F.regexp_extract(head, V.META_CHARSET, 1)), F.lit(""))
     sent = F.lower(F.nullif(header, F.lit("")))
     sent = F.when(~sent.isin("iso-8859-1", "ascii"), sent)
@@ -118,7 +124,12 @@ def source_results(rules: DataFrame, fetch_log: DataFrame, items: DataFrame) ->
     ``fetch_log`` decides by the first page of a rule; ``items(rule_id, title,
     pos)`` are counted before the join, so a large source is one row in it.
     """
-    first = fetch_log.filter(F.col("page") == 1).select(
+    # of several attempts the last one counts
+    tried = ["kind", "http_status", "error"]
+    when = F.struct("fetched_at") if "fetched_at" in fetch_log.columns else F.struct(F.lit(0))
+    last = fetch_log.filter(F.col("page") == 1).groupBy("rule_id").agg(
+        F.max_by(F.struct(*tried), F.struct(when, F.struct(*tried))).alias("_a")).select("rule_id", "_a.*")
+    first = last.select(
         F.col("rule_id").alias("id"), F.lit(True).alias("_fetched"),
         fetch_outcome(F.col("kind"), F.col("http_status"), F.col("error")).alias("_outcome"),
         F.coalesce("error", F.concat(F.lit("HTTP "), F.col("http_status").cast("string"))).alias("_message"))

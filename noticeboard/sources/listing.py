@@ -14,7 +14,6 @@ from noticeboard.functions.dates import heuristic_date, parse_date_text
 from noticeboard.functions.facts import clean_text
 from noticeboard.functions.text import bind, squeeze, strip
 from noticeboard.functions.urls import resolve_from, split_base
-from noticeboard.operators.joins import join_dimension
 from noticeboard.sources.html_nodes import nodes_of
 
 ITEM_TYPE = "struct<title:string,url:string,publish_date:string,position:int>"
@@ -87,11 +86,12 @@ def first_by_url(items: Column) -> Column:
 
 
 def heuristic_items(nodes: Column, base_url: Column, min_title_chars: int = V.HEURISTIC_MIN_TITLE_CHARS,
-                    max_rows: int = V.HEURISTIC_ROWS_MAX) -> Column:
+                    max_rows: int | None = None, max_links: int | None = None) -> Column:
     """Notices of the block of links that looks most like a list.
 
-    Containers with 3 to 100 links compete; an earlier kind of tag, then an
-    earlier place on the page, wins a tie.
+    Containers with 3 links or more compete; an earlier kind of tag, then an
+    earlier place on the page, wins a tie.  ``max_rows`` cuts the rows of a
+    block and ``max_links`` leaves larger containers out.
     """
     def rows_of(c: Column) -> Column:
         def below(tags: Sequence[str], direct: bool) -> Column:
@@ -119,14 +119,14 @@ def heuristic_items(nodes: Column, base_url: Column, min_title_chars: int = V.HE
 
     def candidate(c: Column, page: Column) -> Column:
         items = bind(F.array_compact(F.transform(rows_of(c["at"]), lambda row: item(row, page))), first_by_url)
-        return bind(F.slice(items, 1, max_rows), lambda x: F.when(
+        return bind(items if max_rows is None else F.slice(items, 1, max_rows), lambda x: F.when(
             F.size(x) >= 2, F.struct(list_score(x).alias("score"), (-c["kind"]).alias("kind"), (-c["at"]).alias("at"),
                                      x.alias("items"))))
 
     tags = F.array(*[F.lit(t) for t in V.LIST_CONTAINER_TAGS])
     places = F.array_compact(F.transform(nodes, lambda n, i: F.when(
         n["tag"].isin(V.LIST_CONTAINER_TAGS) & ~n["chrome"]
-        & n["n_links"].between(V.HEURISTIC_LINKS_MIN, V.HEURISTIC_LINKS_MAX),
+        & (n["n_links"] >= V.HEURISTIC_LINKS_MIN) & (F.lit(True) if max_links is None else n["n_links"] <= max_links),
         F.struct(i.alias("at"), F.array_position(tags, n["tag"]).cast("int").alias("kind")))))
     best = F.array_max(F.array_compact(bind(split_base(base_url), lambda page: F.transform(
         places, lambda c: candidate(c, page)))))
@@ -141,7 +141,7 @@ def listing_items(pages: DataFrame, rules: DataFrame, html_column: str = "html")
     """
     kept = ["rule_id", "city", "district", "source_name", "category"]
     compiled = with_selectors(rules).select(*kept, "selectors")
-    parsed = join_dimension(pages, compiled, "rule_id").withColumn("nodes", nodes_of(F.col(html_column)))
+    parsed = pages.join(compiled, "rule_id").withColumn("nodes", nodes_of(F.col(html_column)))
     by_rule = bind(rule_items(F.col("nodes"), F.col("selectors"), F.col("url")), lambda x: F.struct(
         (F.size(x) == 0).alias("from_fallback"),
         F.when(F.size(x) > 0, x).otherwise(heuristic_items(F.col("nodes"), F.col("url"))).alias("items")))
