@@ -84,13 +84,25 @@ def subscriptions_without_rule(subscriptions: DataFrame, rules: DataFrame) -> Da
 
 
 def audit(catalog: DataFrame, hints: DataFrame) -> DataFrame:
-    """Catalogue rows whose url has none of the hints of its city, or names no right department.
+    """Catalogue rows whose url has none of the domain hints of its city, or names no right department.
 
-    ``hints(city, type, hint)``: a hint with a NULL type is for all sources of a city.
+    ``hints(city, type, hint)``: a hint without type is a domain, one with a type
+    names a department for sources of that type; a hint without city is for all
+    cities.  Sources of a type that no hint names have no department to name.
     """
     rows = catalog.filter(F.coalesce("url", F.lit("")) != "").select("city", "type", "source_name", "url")
-    joined = rows.join(hints.select("city", F.col("type").alias("hint_type"), "hint"), "city")
-    relevant = joined.filter(F.col("hint_type").isNull() | (F.col("hint_type") == F.col("type")))
-    return relevant.groupBy("city", "type", "source_name", "url", "hint_type").agg(
-        F.bool_or(F.contains("url", F.col("hint"))).alias("ok")).filter(~F.col("ok")).select(
-        "city", "type", "source_name", "url", F.when(F.col("hint_type").isNull(), "domain").otherwise("department").alias("problem"))
+    given = hints.select(F.col("city").alias("_city"), F.col("type").alias("_type"), "hint")
+    # hints for all cities are a short list: one array
+    anywhere = given.filter(F.col("_city").isNull()).agg(F.collect_set(F.struct("_type", "hint"))).scalar()
+
+    def unmet(left: DataFrame, by_type: bool) -> DataFrame:
+        kind = F.col("_type").isNotNull() if by_type else F.col("_type").isNull()
+        at_city = [F.col("city") == F.col("_city"), F.contains("url", F.col("hint"))] + [
+            F.col("type") == F.col("_type")] * by_type
+        here = left.join(given.filter(kind & F.col("_city").isNotNull()), at_city, "left_anti")
+        return here.withColumn("_all", anywhere).filter(~F.exists("_all", lambda h: F.coalesce(
+            (h["_type"] == F.col("type")) if by_type else h["_type"].isNull(), F.lit(False)) & F.contains("url", h["hint"]))).drop("_all")
+
+    typed = rows.join(given.filter(F.col("_type").isNotNull()).select(F.col("_type").alias("type")).distinct(), "type", "left_semi")
+    return unmet(rows, False).withColumn("problem", F.lit("domain")).unionByName(
+        unmet(typed, True).withColumn("problem", F.lit("department")))
