@@ -32,18 +32,14 @@ STATE_NAMES = {0: "pending", 1: "sent", 2: "baseline", 3: "abandoned"}
 SCORE_THRESHOLD = 2.5
 MAX_AGE_DAYS = 45
 MAX_NOTIFY_ATTEMPTS = 5
-MAX_ERROR_CHARS = 500
-MAX_BATCH_ERROR_CHARS = 400
 HEALTH_RUNS = 20
 BROKEN_STREAK = 3
 PUSH_LIMIT = 30
 PENDING_VIEW_LIMIT = 100
-SEARCH_LIMIT_MAX = 500
 DETAIL_LIMIT = 20
 ALERT_COOLDOWN_HOURS = 24
 KEEP_LOG_DAYS = 30
-HEURISTIC_ROWS_MAX = 40
-HEURISTIC_LINKS_MIN, HEURISTIC_LINKS_MAX = 3, 100
+HEURISTIC_LINKS_MIN = 3
 MIN_MAIN_TEXT_CHARS = 120
 MIN_DETAIL_CHARS = 40
 MAX_LINK_TEXT_SHARE = 0.35
@@ -225,12 +221,11 @@ AUDIENCE_PATTERNS = [
     ("创业(?:者|人员|团队)", "创业人员"),
 ]
 GRADUATED_WITHIN = rf"毕业{_S}([0-9]|[一二三四五]){_S}年(?:以)?内"
-MAX_AUDIENCE_TAGS = 5
 AGE_BELOW = rf"年龄{_S}(?:在)?{_S}([0-9]{{2}}){_S}(?:周)?岁{_S}(?:及)?{_S}(?:以下|以内|below)"
 AGE_NOT_OVER = rf"(?:不超过|未满|不满){_S}([0-9]{{2}}){_S}(?:周)?岁(?!{_S}的?{_S}(?:子女|儿童|未成年人))"
 AGE_BETWEEN = rf"年龄{_S}([0-9]{{2}}){_S}[-—~至]{_S}([0-9]{{2}}){_S}(?:周)?岁"
 CHANNEL_URL = rf"(https?://[^{WS}，。；、）)】\"'<>]{{8,120}})"
-CHANNEL_ASSET = r"\.([jJ][pP][gG]|[jJ][pP][eE][gG]|[pP][nN][gG]|[gG][iI][fF]|[cC][sS][sS]|[jJ][sS]|[iI][cC][oO]|[pP][dD][fF])$"
+CHANNEL_ASSET = r"(?i)\.(jpg|jpeg|png|gif|css|js|ico|pdf)$"
 CHANNEL_NAME = (
     rf"(?:登录|登陆|通过|进入|访问){_S}[“\"']?"
     rf"([^{WS}，。；、“”\"']{{4,30}}?(?:网|平台|系统|APP|app|小程序|公众号|窗口))[”\"']?"

@@ -91,10 +91,10 @@ def _unit(hit_unit: Column) -> Column:
     return F.when(hit_unit.isin("万元", "万"), "万元").otherwise("元")
 
 
-def tiered_amount(text: Column) -> Column:
-    """'degree number unit' parts when at least two are listed; the first four count."""
+def tiered_amount(text: Column, max_parts: int | None = None) -> Column:
+    """'degree number unit' parts when at least two are listed; ``max_parts`` cuts them for display."""
     def parts(hits: Column) -> Column:
-        rows = F.transform(F.slice(hits, 1, 4), lambda h: F.struct(
+        rows = F.transform(_first(hits, max_parts), lambda h: F.struct(
             F.concat_ws(" ", group(h, V.TIERED_AMOUNT, 1), group(h, V.TIERED_AMOUNT, 2)).alias("key"),
             F.concat(group(h, V.TIERED_AMOUNT, 1), group(h, V.TIERED_AMOUNT, 2),
                      _unit(group(h, V.TIERED_AMOUNT, 3))).alias("label")))
@@ -127,21 +127,25 @@ def quotas(text: Column) -> Column:
     return bind(_hits(text, V.QUOTA, ["套", "间", "户"]), build)
 
 
-def amount(text: Column) -> Column:
-    """The first kind of amount found, then home quotas; two parts at most."""
+def _first(items: Column, n: int | None) -> Column:
+    return items if n is None else F.slice(items, 1, n)
+
+
+def amount(text: Column, max_parts: int | None = None) -> Column:
+    """The first kind of amount found, then home quotas; ``max_parts`` cuts them for display."""
     money = F.coalesce(
         tiered_amount(text),
         _single_amount(text, V.MONTHLY_AMOUNT, ["月"], "每月 ", plain_unit=True),
         _single_amount(text, V.ONE_OFF_AMOUNT, ["一次性", "共计", "合计", "总额"], "一次性 "),
         _single_amount(text, V.GENERIC_AMOUNT, ["补贴", "补助", "资助", "奖励"], ""))
     parts = F.concat(F.array_compact(F.array(money)), quotas(text))
-    return bind(parts, lambda p: F.when(F.size(p) > 0, F.array_join(F.slice(p, 1, 2), " ｜ ")))
+    return bind(parts, lambda p: F.when(F.size(p) > 0, F.array_join(_first(p, max_parts), " ｜ ")))
 
 
-def audience(text: Column, title: Column, head_chars: int | None = None) -> Column:
-    """Degree and identity labels over title and text, five at most.
+def audience(text: Column, title: Column, head_chars: int | None = None, max_labels: int | None = None) -> Column:
+    """Degree and identity labels over title and text.
 
-    The whole text counts unless ``head_chars`` limits it.
+    The whole text counts unless ``head_chars`` limits it; ``max_labels`` cuts the labels for display.
     """
     body = text if head_chars is None else F.substring(text, 1, head_chars)
     combined = F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), body)
@@ -151,7 +155,7 @@ def audience(text: Column, title: Column, head_chars: int | None = None) -> Colu
             F.lit("毕业"), _spoken_number(group(h, V.GRADUATED_WITHIN, 1)), F.lit("年内")))
         labels = F.array_distinct(F.concat(joined_labels(c, V.AUDIENCE_PATTERNS), F.array_compact(F.array(within))))
         return bind(labels, lambda x: F.when(
-            F.size(x) > 0, F.array_join(F.slice(x, 1, V.MAX_AUDIENCE_TAGS), " / ")))
+            F.size(x) > 0, F.array_join(_first(x, max_labels), " / ")))
 
     return bind(combined, build)
 

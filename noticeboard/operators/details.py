@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeboard import fixed_values as V
 from noticeboard.functions.facts import apply_facts
 
 
@@ -15,11 +14,12 @@ def top_by_score(notices: DataFrame, limit: int, key: str) -> DataFrame:
 
 
 def enrich_with_details(notices: DataFrame, details: DataFrame, key: str = "unique_id",
-                        limit: int | None = V.DETAIL_LIMIT, head_chars: int | None = None) -> DataFrame:
+                        limit: int | None = None, head_chars: int | None = None) -> DataFrame:
     """Overwrite fields of the best notices with facts from ``details(key, main_text)``.
 
     The other notices, and those without a usable detail page, pass unchanged.
-    With a limit only the details of the chosen notices reach the join.
+    All notices get their details unless ``limit`` gives a budget; then only the
+    details of the chosen notices reach the join.
     """
     if limit is not None:
         chosen = top_by_score(notices, limit, key).select(key)

@@ -133,4 +133,4 @@ def search(ledger: DataFrame, city: str | None = None, category: str | None = No
         out = out.filter(F.col("category") == category)
     if text:
         out = out.filter(has(["city", "district", "title", "source_name"], text.strip()))
-    return out.orderBy(F.desc("first_seen_at"), F.desc("publish_date"), "unique_id").limit(max(1, min(limit, V.SEARCH_LIMIT_MAX)))
+    return out.orderBy(F.desc("first_seen_at"), F.desc("publish_date"), "unique_id").limit(limit)

@@ -16,6 +16,23 @@ def failed() -> Column:
     return (F.col("status") != "SUCCESS") | (F.coalesce("items_found", F.lit(0)) == 0)
 
 
+def _at() -> Column:
+    return F.struct("created_at", "id")
+
+
+def _since_success(run_log: DataFrame) -> DataFrame:
+    """The log with ``_good``, time and id of the source's last useful run."""
+    good = run_log.groupBy(*[F.col(c).alias(f"_{c}") for c in SOURCE]).agg(F.max(F.when(~failed(), _at())).alias("_good"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in SOURCE]
+    return run_log.join(good, same).drop(*[f"_{c}" for c in SOURCE])
+
+
+def open_runs(run_log: DataFrame) -> DataFrame:
+    """The last useful run of every source and all runs after it: what its health depends on."""
+    rows = _since_success(run_log).filter(F.col("_good").isNull() | (_at() >= F.col("_good")))
+    return rows.select(*run_log.columns)
+
+
 def latest_runs(run_log: DataFrame, runs: int = V.HEALTH_RUNS, salts: int = SALTS) -> DataFrame:
     """The newest runs of every source with their position ``rn``.
 
@@ -33,17 +50,15 @@ def latest_runs(run_log: DataFrame, runs: int = V.HEALTH_RUNS, salts: int = SALT
 
 
 def health_report(run_log: DataFrame, broken_streak: int = V.BROKEN_STREAK) -> DataFrame:
-    """Per source: leading failures, last run and last useful run among the newest runs."""
-    return summarise(latest_runs(run_log), broken_streak)
+    """Per source over the whole log: failures since the last useful run, last run and last useful run.
 
-
-def summarise(latest: DataFrame, broken_streak: int = V.BROKEN_STREAK) -> DataFrame:
-    bad, rn = failed(), F.col("rn")
-    last = F.min_by(F.struct("status", "error_message", "items_found"), rn)
-    return latest.groupBy(*SOURCE).agg(
-        F.coalesce(F.min(F.when(~bad, rn)) - 1, F.count("*")).cast("int").alias("consecutive_failures"),
-        last.alias("_last"),
-        F.max(F.when(~bad, F.col("created_at"))).alias("last_success_at"),
+    Aggregates with a partial step, so a source with a large share of the log is
+    no hot spot.
+    """
+    last = F.max_by(F.struct("status", "error_message", "items_found"), _at())
+    return _since_success(run_log).groupBy(*SOURCE).agg(
+        F.count_if(F.col("_good").isNull() | (_at() > F.col("_good"))).cast("int").alias("consecutive_failures"),
+        last.alias("_last"), F.max("_good.created_at").alias("last_success_at"),
     ).select(
         *SOURCE, "consecutive_failures",
         F.col("_last.status").alias("last_status"), F.col("_last.error_message").alias("last_error"),
@@ -90,12 +105,12 @@ def alert_rounds(rounds: DataFrame, group: list[str], cooldown_hours: int = V.AL
 
 
 def run_log_rows(results: DataFrame, now: Column) -> DataFrame:
-    """Collector results as run-log rows; error text cut to the stored length, '' as NULL."""
+    """Collector results as run-log rows; the whole error text, '' as NULL."""
     ok = F.col("error").isNull()
     return results.select(
         "id", "source_name", "city", F.when(ok, "SUCCESS").otherwise("FAILED").alias("status"),
         F.when(ok, F.coalesce("items_found", F.lit(0))).otherwise(0).alias("items_found"),
-        F.nullif(F.substring("error", 1, V.MAX_ERROR_CHARS), F.lit("")).alias("error_message"),
+        F.nullif("error", F.lit("")).alias("error_message"),
         now.cast("timestamp").alias("created_at"))
 
 

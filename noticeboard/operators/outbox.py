@@ -60,7 +60,7 @@ def batch_outcome(deliveries: DataFrame) -> DataFrame:
         lambda x: x["text"])
     return deliveries.groupBy("batch_id").agg(
         F.bool_or("ok").alias("delivered"), F.max("at").alias("at"),
-        F.substring(F.array_join(failures, "; "), 1, V.MAX_BATCH_ERROR_CHARS).alias("errors"))
+        F.array_join(failures, "; ").alias("errors"))
 
 
 def apply_attempts(ledger: DataFrame, attempts: DataFrame) -> DataFrame:
@@ -80,7 +80,7 @@ def apply_attempts(ledger: DataFrame, attempts: DataFrame) -> DataFrame:
     tries = F.col("notify_attempts") + F.coalesce("_failed", F.lit(0))
     error = (F.when(F.col("_last").isNull(), F.col("notify_error"))
              .when(F.col("_last.ok"), F.lit(None).cast("string"))
-             .otherwise(F.substring(F.coalesce("_last.error", F.lit("")), 1, V.MAX_ERROR_CHARS)))
+             .otherwise(F.coalesce("_last.error", F.lit(""))))
     state = (F.when(F.coalesce("_sent", F.lit(False)), V.STATE_SENT)
              .when((F.col("state") == V.STATE_PENDING) & (tries >= V.MAX_NOTIFY_ATTEMPTS), V.STATE_ABANDONED)
              .otherwise(F.col("state")))

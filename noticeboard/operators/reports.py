@@ -117,10 +117,17 @@ def cut_to_bytes(text: Column, max_bytes: int) -> Column:
     return F.when(F.octet_length(text) > max_bytes, F.concat(cut, F.lit("\n\n…（内容过长已截断）"))).otherwise(text)
 
 
-def digest(batches: DataFrame, style: str = "markdown", header: str = "新政策") -> DataFrame:
+def _cut(text: Column, chars: int | None) -> Column:
+    return text if chars is None else F.substring(text, 1, chars)
+
+
+def digest(batches: DataFrame, style: str = "markdown", header: str = "新政策", headline_chars: int | None = None,
+           max_cities: int | None = None, max_bytes: int | None = None) -> DataFrame:
     """Message text and subject parts per batch; ``pos`` orders the notices of a batch.
 
-    ``header`` heads the short variant.  Batches come out of the delivery queue, whose limit bounds their size.
+    ``header`` heads the short variant.  Nothing is cut unless the last three
+    parameters ask for it: characters of the headline, cities of the subject and
+    bytes of the short variant.  A batch is one message, as large as its queue's limit made it.
     """
     rows = batches.withColumn("_text", _digest_lines(style))
     ordered = F.array_sort(F.collect_list(F.struct("pos", "_text", "city", "title")))
@@ -128,11 +135,14 @@ def digest(batches: DataFrame, style: str = "markdown", header: str = "新政策
         "batch_id", F.size("_rows").alias("n"),
         F.array_join(F.transform("_rows", lambda x: x["_text"]), "\n").alias("body"),
         F.array_distinct(F.filter(F.transform("_rows", lambda x: x["city"]), lambda c: c != "")).alias("_cities"),
-        F.substring(F.get("_rows", F.lit(0))["title"], 1, 22).alias("headline"))
+        _cut(F.get("_rows", F.lit(0))["title"], headline_chars).alias("headline"))
     if style == "wecom":
         header = F.concat(F.lit(f"### 🏠 {header} · "), F.col("n").cast("string"), F.lit(" 条新动态\n\n"))
-        out = out.withColumn("body", cut_to_bytes(F.concat(header, "body"), V.WECOM_MAX_BYTES))
-    label = F.concat(F.array_join(F.slice("_cities", 1, 3), "/"), F.when(F.size("_cities") > 3, "等").otherwise(""))
+        out = out.withColumn("body", F.concat(header, "body"))
+        if max_bytes is not None:
+            out = out.withColumn("body", cut_to_bytes(F.col("body"), max_bytes))
+    label = F.array_join("_cities", "/") if max_cities is None else F.concat(
+        F.array_join(F.slice("_cities", 1, max_cities), "/"), F.when(F.size("_cities") > max_cities, "等").otherwise(""))
     return out.select("batch_id", F.col("n").cast("int").alias("n"), "body", F.concat(
         F.lit("【政策速递】"), label, F.lit(" "), F.col("n").cast("string"), F.lit(" 条新政策 · "), "headline", F.lit("…")
     ).alias("subject"))

@@ -57,7 +57,7 @@ def sql_unit(u: str) -> str:
 
 def sql_tiered(t: str) -> str:
     p = sql_text(V.TIERED_AMOUNT)
-    zipped = (f"list_zip(regexp_extract_all({t}, {p}, 1), regexp_extract_all({t}, {p}, 2), regexp_extract_all({t}, {p}, 3))[1:4]")
+    zipped = (f"list_zip(regexp_extract_all({t}, {p}, 1), regexp_extract_all({t}, {p}, 2), regexp_extract_all({t}, {p}, 3))")
     kept_ = (f"list_filter({zipped}, lambda x, i: len(list_filter(({zipped})[1:i - 1], "
              f"lambda y: y[1] = x[1] AND y[2] = x[2])) = 0)")
     return (f"CASE WHEN len(regexp_extract_all({t}, {p}, 1)) >= 2 THEN array_to_string(list_transform({kept_}, "
@@ -80,7 +80,7 @@ def sql_amount(t: str) -> str:
     money = (f"coalesce({sql_tiered(t)}, {single(V.MONTHLY_AMOUNT, '每月 ', True)}, "
              f"{single(V.ONE_OFF_AMOUNT, '一次性 ')}, {single(V.GENERIC_AMOUNT, '')})")
     parts = f"list_concat(list_filter([{money}], lambda x: x IS NOT NULL), {sql_quotas(t)})"
-    return f"nullif(array_to_string(({parts})[1:2], ' ｜ '), '')"
+    return f"nullif(array_to_string({parts}, ' ｜ '), '')"
 
 
 def sql_audience(t: str, title: str) -> str:
@@ -88,7 +88,7 @@ def sql_audience(t: str, title: str) -> str:
     labels = sql_labels(c, V.AUDIENCE_PATTERNS)
     within = f"'毕业' || {sql_number(sql_group(c, V.GRADUATED_WITHIN, 1))} || '年内'"
     every = f"list_concat({labels}, list_filter([{within}], lambda x: x IS NOT NULL))"
-    return f"nullif(array_to_string(({every})[1:{V.MAX_AUDIENCE_TAGS}], ' / '), '')"
+    return f"nullif(array_to_string(list_filter({every}, lambda x, i: list_position({every}, x) = i), ' / '), '')"
 
 
 def sql_age(t: str) -> str:
@@ -197,5 +197,5 @@ def x10(spark, sf):
 top AS (SELECT notice_id FROM kept ORDER BY relevance_score DESC, notice_id LIMIT {V.DETAIL_LIMIT})
 {ENRICHED_SQL} FROM kept LEFT JOIN (SELECT * FROM found WHERE doc_id IN (SELECT notice_id FROM top)) f ON doc_id = kept.notice_id""")
 def j2(spark, sf):
-    done = details.enrich_with_details(kept(spark, sf), detail_texts(spark, sf), "notice_id")
+    done = details.enrich_with_details(kept(spark, sf), detail_texts(spark, sf), "notice_id", limit=V.DETAIL_LIMIT)
     return done.select("notice_id", *FACT_COLUMNS, "detail_fetched")

@@ -14,11 +14,12 @@ from noticeboard.plans.registry import query
 LATEST_SQL = B.RUN_LOG_SQL + f""",
 numbered AS (SELECT *, row_number() OVER (PARTITION BY city, source_name ORDER BY created_at DESC, id DESC) AS rn FROM run_log),
 latest AS (SELECT *, (status <> 'SUCCESS' OR coalesce(items_found, 0) = 0) AS bad FROM numbered WHERE rn <= {V.HEALTH_RUNS}),
+whole AS (SELECT *, (status <> 'SUCCESS' OR coalesce(items_found, 0) = 0) AS bad FROM numbered),
 report AS (
   SELECT city, source_name, coalesce(min(rn) FILTER (NOT bad) - 1, count(*)) AS consecutive_failures,
     max(status) FILTER (rn = 1) AS last_status, max(error_message) FILTER (rn = 1) AS last_error,
     max(items_found) FILTER (rn = 1) AS last_items_found, CAST(max(created_at) FILTER (NOT bad) AS VARCHAR) AS last_success_at
-  FROM latest GROUP BY 1, 2)"""
+  FROM whole GROUP BY 1, 2)"""
 
 
 @query("w1_latest_runs", f"WITH {LATEST_SQL} SELECT id, city, source_name, rn FROM latest")
@@ -100,7 +101,7 @@ def results(spark, sf) -> DataFrame:
 
 
 @query("s16_run_log_rows", f"""WITH {RESULTS_SQL} SELECT id, source_name, city, CASE WHEN error IS NULL THEN 'SUCCESS' ELSE 'FAILED' END AS status,
-  CASE WHEN error IS NULL THEN items_found ELSE 0 END AS items_found, nullif(left(error, 500), '') AS error_message FROM results""")
+  CASE WHEN error IS NULL THEN items_found ELSE 0 END AS items_found, nullif(error, '') AS error_message FROM results""")
 def s16(spark, sf):
     return health.run_log_rows(results(spark, sf), F.to_timestamp(F.lit("2024-03-15 08:00:00"))).drop("created_at")
 

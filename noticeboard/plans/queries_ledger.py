@@ -64,7 +64,7 @@ def u2(spark, sf):
        f"WITH RECURSIVE {KEYED_SQL}, {greedy_sql('keyed')} SELECT kept AS notice_id FROM walk WHERE kept IS NOT NULL")
 def u3(spark, sf):
     rows = keyed(spark, sf).select("notice_id", "unique_id", "dedup_key")
-    return dedup.greedy_first(rows, ["notice_id"], tail_rows=16).select("notice_id")
+    return dedup.greedy_first(rows, ["notice_id"]).select("notice_id")
 
 
 @query("i1_discover_new", f"""WITH RECURSIVE {KEYED_SQL}, {greedy_sql('fresh')}
@@ -120,7 +120,7 @@ deliveries AS (
   FROM lineitem GROUP BY 1, 2, 3),
 outcomes AS (
   SELECT batch_id, bool_or(ok) AS delivered,
-    left(coalesce(string_agg(channel || ': ' || error, '; ' ORDER BY channel_pos) FILTER (NOT ok), ''), 400) AS errors
+    coalesce(string_agg(channel || ': ' || error, '; ' ORDER BY channel_pos) FILTER (NOT ok), '') AS errors
   FROM deliveries GROUP BY 1)"""
 
 
@@ -212,7 +212,7 @@ def a12(spark, sf):
 @query("p8_search", f"""WITH {B.OUTBOX_SQL} SELECT notice_id, city, title FROM outbox
 WHERE (contains(lower(city), 'city_1') OR contains(lower(district), 'city_1'))
   AND (contains(lower(title), 'high') OR contains(lower(source_name), 'high') OR contains(lower(city), 'high') OR contains(lower(district), 'high'))
-ORDER BY first_seen_at DESC, publish_date DESC NULLS LAST, unique_id LIMIT 500""")
+ORDER BY first_seen_at DESC, publish_date DESC NULLS LAST, unique_id LIMIT 9999""")
 def p8(spark, sf):
     return filters.search(B.outbox(spark, sf), city="city_1", text=" HIGH ", limit=9999).select("notice_id", "city", "title")
 
@@ -260,12 +260,12 @@ def batches(spark, sf) -> DataFrame:
 
 @query("s17_digest_markdown", digest_sql("markdown"))
 def s17_markdown(spark, sf):
-    return reports.digest(batches(spark, sf), "markdown")
+    return reports.digest(batches(spark, sf), "markdown", headline_chars=22, max_cities=3)
 
 
 @query("s17_digest_plain", digest_sql("plain"))
 def s17_plain(spark, sf):
-    return reports.digest(batches(spark, sf), "plain")
+    return reports.digest(batches(spark, sf), "plain", headline_chars=22, max_cities=3)
 
 
 @query("s17_digest_wecom", f"""WITH {DIGEST_BATCH_SQL},
@@ -277,4 +277,4 @@ cut AS (SELECT batch_id, string_agg(ch, '' ORDER BY i) AS body FROM sized WHERE
 SELECT batch_id, CASE WHEN strlen(d.body) > {V.WECOM_MAX_BYTES} THEN cut.body || chr(10) || chr(10) || '…（内容过长已截断）' ELSE d.body END AS body
 FROM d JOIN cut USING (batch_id)""")
 def s17_wecom(spark, sf):
-    return reports.digest(batches(spark, sf), "wecom").select("batch_id", "body")
+    return reports.digest(batches(spark, sf), "wecom", max_bytes=V.WECOM_MAX_BYTES).select("batch_id", "body")

@@ -93,10 +93,8 @@ def i1_stream(spark, sf):
 @query("i5_stream_streaks", f"WITH {LATEST_SQL} SELECT city, source_name, consecutive_failures, last_status, last_success_at FROM report")
 def i5_stream(spark, sf):
     root = scratch_path(spark, "streaks")
-    q = streams.streak_stream(B.run_log_from(_stream(spark, sf, "events")), root)
-    q.awaitTermination()
-    last = q.lastProgress["batchId"] if q.lastProgress["numInputRows"] else q.recentProgress[-2]["batchId"]
-    return streams.streak_report(spark, root, last).select(
+    streams.streak_stream(B.run_log_from(_stream(spark, sf, "events")), root).awaitTermination()
+    return streams.streak_report(spark, root, BatchLog(spark, f"{root}/latest").newest()).select(
         "city", "source_name", "consecutive_failures", "last_status", F.col("last_success_at").cast("string").alias("last_success_at"))
 
 

@@ -71,9 +71,7 @@ def listing_pages(spark, sf) -> DataFrame:
     return rows.select(
         F.concat(F.lit("r"), F.col("kind").cast("string")).alias("rule_id"), "page_no", F.lit(1).alias("page"),
         F.concat(F.lit("https://gov"), number, F.lit(".example.org/list/a/index_"), number, F.lit(".html")).alias("url"),
-        page.alias("html"),
-        # few bytes but much work per page, so small inputs are spread over all cores
-    ).repartition(spark.sparkContext.defaultParallelism)
+        page.alias("html"))
 
 
 def listing_rules(spark) -> DataFrame:
@@ -85,19 +83,16 @@ def listing_rules(spark) -> DataFrame:
                                        "selectors struct<list_item:string,title:string,link:string,date:string>")
 
 
-def found(spark, sf, kind: int) -> DataFrame:
-    pages = listing_pages(spark, sf).filter(F.col("rule_id") == f"r{kind}")
-    return listing.listing_items(pages, listing_rules(spark)).select("title", "url", "publish_date", "from_fallback")
-
-
-@query("s5_rule_listing", f"WITH {LISTING_SQL} SELECT title, url, publish_date, false AS from_fallback FROM listed WHERE kind IN (0, 1)")
+@query("s5_rule_listing", f"WITH {LISTING_SQL} SELECT title, url, publish_date, kind = 2 AS from_fallback FROM listed")
 def s5(spark, sf):
-    return found(spark, sf, 0).unionByName(found(spark, sf, 1))
+    return listing.listing_items(listing_pages(spark, sf), listing_rules(spark)).select(
+        "title", "url", "publish_date", "from_fallback")
 
 
-@query("s8_heuristic_listing", f"WITH {LISTING_SQL} SELECT title, url, publish_date, true AS from_fallback FROM listed WHERE kind = 2")
+@query("s8_heuristic_listing", f"WITH {LISTING_SQL} SELECT title, url, publish_date FROM listed")
 def s8(spark, sf):
-    return found(spark, sf, 2)
+    pages = listing_pages(spark, sf).withColumn("nodes", html_nodes.nodes_of(F.col("html")))
+    return pages.select(F.inline(listing.heuristic_items(F.col("nodes"), F.col("url")))).select("title", "url", "publish_date")
 
 
 @query("s8_heuristic_on_pages")
@@ -109,9 +104,9 @@ def s8_pages(spark, sf):
     return items.filter(F.col("title").isNotNull()).select("page_id", "title", "url", "publish_date")
 
 
-@query("w3_best_container", f"WITH {LISTING_SQL} SELECT page_no, count(*) AS n FROM listed WHERE kind = 2 GROUP BY 1")
+@query("w3_best_container", f"WITH {LISTING_SQL} SELECT page_no, count(*) AS n FROM listed GROUP BY 1")
 def w3(spark, sf):
-    pages = listing_pages(spark, sf).filter(F.col("rule_id") == "r2")
+    pages = listing_pages(spark, sf)
     return pages.withColumn("nodes", html_nodes.nodes_of(F.col("html"))).select(
         "page_no", F.size(listing.heuristic_items(F.col("nodes"), F.col("url"))).cast("bigint").alias("n"))
 
@@ -377,13 +372,10 @@ def p7(spark, sf):
     return filters.select_rules_for_scan(rules(spark, sf), "CITY_1").select("id")
 
 
-@query("p10_city_list", f"""WITH {RULES_SQL} SELECT city, rank FROM (SELECT '{V.ALL_CITIES}' AS city, 0 AS rank UNION ALL
-  SELECT city, row_number() OVER (ORDER BY min(pos)) FROM rules GROUP BY city)""")
+@query("p10_city_list", f"""WITH {RULES_SQL} SELECT city, pos FROM (SELECT '{V.ALL_CITIES}' AS city, -1 AS pos UNION ALL
+  SELECT city, min(pos) FROM rules GROUP BY city)""")
 def p10(spark, sf):
-    listed = reports.city_list(rules(spark, sf), "pos")
-    # a list of distinct cities, numbered only to compare its order
-    numbered = listed.agg(F.array_sort(F.collect_list(F.struct("pos", "city"))).alias("x")).select(F.posexplode("x").alias("rank", "c"))
-    return numbered.select(F.col("c.city").alias("city"), F.col("rank").cast("bigint").alias("rank"))
+    return reports.city_list(rules(spark, sf), "pos")
 
 
 def changes(spark, sf) -> DataFrame:

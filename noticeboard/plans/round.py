@@ -55,7 +55,7 @@ def collect(inputs: Inputs) -> DataFrame:
 
 
 def plan_round(inputs: Inputs, policy: filters.Policy, now: Column, as_baseline: bool = False,
-               detail_limit: int = V.DETAIL_LIMIT) -> Round:
+               detail_limit: int | None = None) -> Round:
     """The round as DataFrames; nothing is stored but the items in the shared folder.
 
     The items feed the source results, the judgement and the ledger, so they
@@ -93,10 +93,10 @@ def run_round(inputs: Inputs, policy: filters.Policy, now: Column, ledger: Batch
     return outbox.delivery_queue(ledger.rows())
 
 
-def dry_run(inputs: Inputs, policy: filters.Policy, now: Column) -> DataFrame:
+def dry_run(inputs: Inputs, policy: filters.Policy, now: Column, detail_limit: int | None = None) -> DataFrame:
     """What a round would keep, best first, without storing anything."""
     judged = filters.judge(collect(inputs), policy)
     relevant = with_keys(filters.kept(judged))
     if inputs.details is not None:
-        relevant = details.enrich_with_details(relevant, inputs.details, "unique_id")
+        relevant = details.enrich_with_details(relevant, inputs.details, "unique_id", detail_limit)
     return relevant.orderBy(F.desc("relevance_score"), "rule_id", "page", "position")

@@ -38,11 +38,11 @@ def discover_stream(notices: DataFrame, root: str, order: list[str], now: Callab
 
 
 def streak_stream(run_log: DataFrame, root: str) -> StreamingQuery:
-    """Keep the newest runs of every source, batch by batch, below ``root``.
+    """Keep what the health of every source depends on, batch by batch, below ``root``.
 
-    The newest runs of two row sets are among the newest runs of each, so a
-    batch is trimmed before it is merged, late rows included, and the stored
-    state stays at a fixed number of rows per source.
+    That is its last useful run and the runs after it.  What a later batch adds
+    cannot make an older run count again, so each batch is trimmed before and
+    after it is merged, late rows included; only sources that keep failing grow.
     """
     state = BatchLog(run_log.sparkSession, f"{root}/latest")
     columns = run_log.columns
@@ -50,8 +50,8 @@ def streak_stream(run_log: DataFrame, root: str) -> StreamingQuery:
     def step(batch: DataFrame, number: int) -> None:
         rows = batch
         if number > 0:
-            rows = state.only(number - 1).select(*columns).unionByName(health.latest_runs(batch).select(*columns))
-        state.write(health.latest_runs(rows).select(*columns), number)
+            rows = state.only(number - 1).select(*columns).unionByName(health.open_runs(batch))
+        state.write(health.open_runs(rows), number)
 
     return _start(run_log, root, step)
 

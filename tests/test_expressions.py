@@ -71,26 +71,26 @@ def test_score_counts_contained_terms_once(spark):
 
 def test_deadlines(spark):
     assert values(spark, facts.deadline, [
-        "申报截止日期为2026年8月31日。", "受理时间：2026年8月19日16:00至2026年8月31日18:00", "2026年项目 8月1日至8月31日受理",
-        "自公告发布之日起十五个工作日内", "截止日期2026年13月1日，不迟于2026-9-1", "起30日内", "无"]) == [
-        "2026-08-31 截止", "2026-08-19 至 2026-08-31", "2026-08-01 至 2026-08-31", "公告发布起 15 工作日内",
-        "2026-09-01 截止", "公告发布起 30 日内", None]
+        "报名不得晚于2027年4月6日。", "窗口开放2027年2月3日9:30至2027年2月27日17:30", "2027年度征集 3月4日至3月29日",
+        "自通告发布之日起二十个工作日内", "截止日期2027年14月2日，不得晚于2027-12-3", "起45日内", "常年开放"]) == [
+        "2027-04-06 截止", "2027-02-03 至 2027-02-27", "2027-03-04 至 2027-03-29", "公告发布起 20 工作日内",
+        "2027-12-03 截止", "公告发布起 45 日内", None]
 
 
 def test_amounts_and_quotas(spark):
     assert values(spark, facts.amount, [
-        "博士10万元、硕士5万元、本科2万元", "每月补贴1500元", "给予一次性生活补贴3万元", "补贴标准：2.5万",
-        "共提供208套；推出221套，其中170套", "博士3万，博士3万元，共10间，共5套", "无"]) == [
-        "博士10万元 / 硕士5万元 / 本科2万元", "每月 1500 元", "一次性 3 万元", "2.5 万元", "房源 429 套",
-        "博士3万元 ｜ 房源 10 间", None]
+        "硕士7万元、高级工4万元、大专1万元", "租金每月标准为860元", "购房给一次性奖励6万元", "资助额度：4.5万",
+        "推出64套，另配租35套", "本科2万，本科2万元，共17户，合计9间", "面议"]) == [
+        "硕士7万元 / 高级工4万元 / 大专1万元", "每月 860 元", "一次性 6 万元", "4.5 万元", "房源 99 套",
+        "本科2万元 ｜ 房源 17 户 ｜ 房源 9 间", None]
 
 
 def test_audience_age_channel_summary(spark):
-    assert values(spark, lambda c: facts.audience(c, F.lit("")), ["应届高校毕业生、本科，毕业三年以内", "x"]) == [
-        "本科 / 应届毕业生 / 毕业3年内", None]
+    assert values(spark, lambda c: facts.audience(c, F.lit("")), ["学士、应届生，毕业五年内", "x"]) == [
+        "本科 / 应届毕业生 / 毕业5年内", None]
     assert values(spark, lambda c: facts.audience(c, F.lit(""), 5), ["12345本科"]) == [None]
-    assert values(spark, facts.age_limit, ["年龄35周岁以下", "不超过18周岁的子女", "未满18岁子女，未满40岁", "年龄18-45周岁"]) == [
-        "35周岁以下", None, "40周岁以下", "18-45周岁"]
+    assert values(spark, facts.age_limit, ["年龄在42岁以下", "不满16岁的儿童", "未满14岁儿童，不超过55岁", "年龄20至50岁"]) == [
+        "42周岁以下", None, "55周岁以下", "20-50周岁"]
     assert values(spark, facts.apply_channel, [
         "https://a.gov.cn/apply/x.", "https://a.gov.cn/x.pdf 登录“某市人才服务平台”", "现场"]) == [
         "https://a.gov.cn/apply/x", "某市人才服务平台", None]
