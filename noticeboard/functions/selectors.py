@@ -1,7 +1,8 @@
 """CSS selectors as data, and matching them against the nodes of a page.
 
-Supported: comma lists of descendant chains of ``tag#id.class`` parts.  A rule's
-selector is a column, so one plan serves any number of rules.
+Supported: comma lists of descendant chains of ``tag#id.class`` parts.  Anything
+else is refused as a whole and matches nothing.  A rule's selector is a column,
+so one plan serves any number of rules.
 """
 
 from __future__ import annotations
@@ -12,8 +13,20 @@ from pyspark.sql import functions as F
 from noticeboard.functions.text import bind, strip
 
 
+_PART = r"(?:[A-Za-z][A-Za-z0-9]*(?:[#.][\w-]+)*|(?:[#.][\w-]+)+)"
+SUPPORTED = rf"^\s*(?:{_PART}(?:\s+{_PART})*\s*(?:,\s*|$))*$"
+
+
+def is_supported(selector: Column) -> Column:
+    """Is it empty, or a comma list of descendant chains of ``tag#id.class`` parts?"""
+    return F.coalesce(selector, F.lit("")).rlike(SUPPORTED)
+
+
 def compile_selector(selector: Column) -> Column:
-    """array of alternatives, each an array of (tag, html_id, classes) from outermost to innermost."""
+    """array of alternatives, each an array of (tag, html_id, classes) from outermost to innermost.
+
+    A selector that is not supported gives an alternative that no node fits.
+    """
     def part(p: Column) -> Column:
         return F.struct(
             F.lower(F.regexp_extract(p, r"^([A-Za-z0-9]*)", 1)).alias("tag"),
@@ -21,7 +34,10 @@ def compile_selector(selector: Column) -> Column:
             F.regexp_extract_all(p, F.lit(r"\.([\w-]+)"), F.lit(1)).alias("classes"))
 
     alternatives = F.filter(F.transform(F.split(selector, ","), strip), lambda a: a != "")
-    return F.transform(alternatives, lambda a: F.transform(F.split(a, r"\s+"), part))
+    compiled = F.transform(alternatives, lambda a: F.transform(F.split(a, r"\s+"), part))
+    nothing = F.array(F.array(F.struct(F.lit("\0").alias("tag"), F.lit("").alias("html_id"),
+                                       F.array().cast("array<string>").alias("classes"))))
+    return F.when(is_supported(selector), compiled).otherwise(nothing)
 
 
 def _fits(node: Column, part: Column) -> Column:

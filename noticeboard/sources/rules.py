@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticeboard import fixed_values as V
+from noticeboard.functions.selectors import is_supported
 from noticeboard.schemas import RULE
 
 
@@ -49,6 +50,16 @@ def rule_problems(url: Column, city: Column, source_name: Column, parser_type: C
         F.when(~kind.isin(V.PARSER_TYPES), F.concat(F.lit(V.PROBLEM_PARSER), kind))))
 
 
+def selector_problems(selectors: Column) -> Column:
+    """Array of problems of a rule's selectors: those that cannot be read, which match nothing.
+
+    Such a rule is not refused: its pages are read by the list finder.
+    """
+    names = ["list_item", "title", "link", "date"]
+    return F.array_compact(F.array(*[F.when(~is_supported(selectors[n]), F.concat(
+        F.lit(f"{n}: "), selectors[n])) for n in names]))
+
+
 def check_rules(rules: DataFrame) -> DataFrame:
     return rules.withColumn("problems", rule_problems(
         F.col("url"), F.col("city"), F.col("source_name"), F.col("parser_type")))
