@@ -210,9 +210,9 @@ def s10(spark, sf):
     return fetched.json_items(json_pages(spark, sf)).select("title", "url", "publish_date")
 
 
-@query("s11_json_html", f"WITH {LISTING_SQL} SELECT title, url, publish_date FROM listed WHERE kind = 0")
+@query("s11_json_html", f"WITH {LISTING_SQL} SELECT title, url, publish_date FROM listed")
 def s11(spark, sf):
-    pages = listing_pages(spark, sf).filter(F.col("rule_id") == "r0")
+    pages = listing_pages(spark, sf)
     responses = pages.select("rule_id", "url", F.to_json(F.struct(F.struct("html").alias("data"))).alias("body"), F.struct(
         F.lit("data.html").alias("html")).alias("json_path"))
     return listing.listing_items(fetched.json_html_pages(responses), listing_rules(spark)).select("title", "url", "publish_date")

@@ -20,7 +20,12 @@ ORDER = ["negative_score", "rule_id", "page", "position"]
 
 @dataclass(frozen=True)
 class Inputs:
-    """Tables of a round.  ``pages(rule_id, url, page, html)`` are the pages read this time."""
+    """Tables of a round.
+
+    ``pages(rule_id, url, page, html)`` are the HTML pages read this time; pages of
+    bytes come as ``content, header_charset, forced_charset`` instead of ``html``.
+    ``responses(rule_id, url, page, body)`` are the bodies read from JSON sources.
+    """
 
     rules: DataFrame
     pages: DataFrame
@@ -28,6 +33,7 @@ class Inputs:
     details: DataFrame | None = None  # (unique_id, main_text)
     ledger: DataFrame | None = None
     run_log: DataFrame | None = None
+    responses: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -40,14 +46,36 @@ class Round:
     health: DataFrame | None
 
 
+KEPT = ["rule_id", "city", "district", "source_name", "category"]
+ITEM = ["page", "from_fallback", "title", "url", "publish_date", "position"]
+
+
+def found_items(inputs: Inputs, rules: DataFrame, failures: DataFrame) -> DataFrame:
+    """Items of all sources, each read the way its rule's parser type says.
+
+    HTML pages and the HTML inside JSON bodies go through the listing, plain
+    JSON bodies through their paths.
+    """
+    raw = inputs.pages if "html" in inputs.pages.columns else fetched.decode_pages(inputs.pages)
+    pages = fetched.before_failure(raw.select("rule_id", "url", "page", "html"), failures)
+    if inputs.responses is None:
+        return listing.listing_items(pages, rules).select(*KEPT, *ITEM)
+    kind = F.lower(F.coalesce("parser_type", F.lit("html")))
+    asked = rules.filter(kind.isin("json", "json_html")).select("rule_id", kind.alias("_kind"), "json_path")
+    bodies = fetched.before_failure(inputs.responses, failures).join(asked, "rule_id")
+    inside = fetched.json_html_pages(bodies.filter(F.col("_kind") == "json_html")).select("rule_id", "url", "page", "html")
+    plain = fetched.json_items(bodies.filter(F.col("_kind") == "json").drop("_kind")).withColumn("from_fallback", F.lit(False))
+    listed = listing.listing_items(pages.unionByName(inside), rules)
+    return listed.select(*KEPT, *ITEM).unionByName(plain.join(rules.select(*KEPT), "rule_id").select(*KEPT, *ITEM))
+
+
 def collect(inputs: Inputs) -> DataFrame:
     """Items of the successfully read pages of valid rules, each address once per source."""
     bad = fetched.fetch_outcome(F.col("kind"), F.col("http_status"), F.col("error")).isNotNull()
     failures = fetched.first_failures(inputs.fetch_log.withColumn("failed", bad))
-    pages = fetched.before_failure(inputs.pages, failures)
     rules = inputs.rules.filter(F.size(fetched.rule_problems(
         F.col("url"), F.col("city"), F.col("source_name"), F.col("parser_type"))) == 0).withColumnRenamed("id", "rule_id")
-    items = listing.listing_items(pages, rules).withColumns({
+    items = found_items(inputs, rules, failures).withColumns({
         "target_audience": F.lit(V.AUDIENCE_UNKNOWN), "deadline": F.lit(V.DEADLINE_UNKNOWN),
         **{c: F.lit(None).cast("string") for c in ("amount_or_quota", "age_limit", "apply_channel", "notes")},
         "raw_content": F.lit(""), "detail_fetched": F.lit(False)})
@@ -78,19 +106,60 @@ def plan_round(inputs: Inputs, policy: filters.Policy, now: Column, as_baseline:
 
 
 def run_round(inputs: Inputs, policy: filters.Policy, now: Column, ledger: BatchLog, run_log: BatchLog, number: int,
-              cold_start_baseline: bool = True) -> DataFrame:
+              cold_start_baseline: bool = True, outcomes: BatchLog | None = None, detail_limit: int | None = None) -> DataFrame:
     """Run and store a round; returns the delivery queue afterwards.
 
     The first round of a new ledger is its baseline.  A round that runs again
-    under the same number gives the same tables.
+    under the same number gives the same tables.  Health looks at the run log of
+    the earlier rounds, and the queue at the delivery outcomes stored by
+    ``record_delivery``.
     """
-    known = ledger.before(number)
+    known, earlier = ledger.before(number), run_log.before(number)
     planned = plan_round(
-        Inputs(inputs.rules, inputs.pages, inputs.fetch_log, inputs.details, known, inputs.run_log), policy, now,
-        as_baseline=known is None and cold_start_baseline)
+        Inputs(inputs.rules, inputs.pages, inputs.fetch_log, inputs.details, known,
+               inputs.run_log if earlier is None else earlier, inputs.responses), policy, now,
+        as_baseline=known is None and cold_start_baseline, detail_limit=detail_limit)
     ledger.write(planned.new_rows, number)
     run_log.write(planned.log_rows, number)
-    return outbox.delivery_queue(ledger.rows())
+    return outbox.delivery_queue(current_ledger(ledger, outcomes, number))
+
+
+def current_ledger(ledger: BatchLog, outcomes: BatchLog | None = None, number: int | None = None) -> DataFrame:
+    """The ledger with the delivery outcomes of earlier rounds applied; stored rows are never rewritten."""
+    done = None if outcomes is None else outcomes.rows_or_none() if number is None else outcomes.before(number)
+    return ledger.rows() if done is None else outbox.apply_attempts(ledger.rows(), done)
+
+
+def record_delivery(queue: DataFrame, deliveries: DataFrame, outcomes: BatchLog, number: int) -> None:
+    """Store what became of a round's queue: ``deliveries(channel_pos, channel, ok, error, at)`` of its channels.
+
+    The queue counts as delivered if one channel took it; without a channel nothing is stored as tried.
+    """
+    result = outbox.batch_outcome(deliveries.withColumn("batch_id", F.lit(number).cast("long")))
+    members = queue.select("unique_id", F.lit(number).cast("long").alias("batch_id"))
+    outcomes.write(members.join(result, "batch_id").select(
+        "unique_id", F.col("batch_id").alias("seq"), F.col("delivered").alias("ok"), F.col("errors").alias("error"), "at"), number)
+
+
+def alert_due(run_log: BatchLog, alerts: BatchLog, number: int, now: Column, cooldown_hours: int = V.ALERT_COOLDOWN_HOURS,
+              keep_days: int = V.KEEP_LOG_DAYS) -> DataFrame:
+    """One row ``(total, broken, due)`` after a round: is an alert to be sent?
+
+    Something is broken and the last delivered alert, the stored clock, is older
+    than the cooldown.  Health counts the log within its retention.
+    """
+    report = health.health_report(health.prune_log(run_log.rows(), now, keep_days))
+    summary = health.health_summary(report)
+    before = alerts.before(number)
+    clock = F.lit(None).cast("timestamp") if before is None else before.filter("delivered").agg(F.max("alert_at")).scalar()
+    waited = clock.isNull() | (now.cast("timestamp") > clock + F.make_dt_interval(F.lit(0), F.lit(cooldown_hours)))
+    return summary.withColumn("due", (F.col("broken") > 0) & waited)
+
+
+def record_alert(alerts: BatchLog, number: int, now: Column, delivered: bool) -> None:
+    """Store an alert that was tried; only a delivered one starts the cooldown."""
+    row = alerts.spark.range(1).select(now.cast("timestamp").alias("alert_at"), F.lit(delivered).alias("delivered"))
+    alerts.write(row, number)
 
 
 def dry_run(inputs: Inputs, policy: filters.Policy, now: Column, detail_limit: int | None = None) -> DataFrame:

@@ -163,9 +163,13 @@ def _at(body: Column, path: Column) -> Column:
 def json_array_at(body: Column, dotted: Column) -> Column:
     """Elements, as JSON texts, of the first array met on a dotted path; empty when there is none."""
     parts = F.split(dotted, r"\.")
-    steps = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: _at(body, _json_path(F.slice(parts, F.lit(1), k))))
-    arrays = F.filter(steps, lambda x: F.json_array_length(x).isNotNull())
-    return F.coalesce(F.from_json(F.get(arrays, F.lit(0)), "array<string>"), F.array().cast("array<string>"))
+
+    # the text met so far gets shorter with every step, and the walk stops at an array
+    def step(at: Column, part: Column) -> Column:
+        return F.when(F.json_array_length(at).isNotNull(), at).otherwise(_at(at, _json_path(F.array(part))))
+
+    met = F.aggregate(parts, body, step)
+    return F.coalesce(F.from_json(F.when(F.json_array_length(met).isNotNull(), met), "array<string>"), F.array().cast("array<string>"))
 
 
 def json_text_at(body: Column, dotted: Column) -> Column:
@@ -190,13 +194,15 @@ def json_items(responses: DataFrame) -> DataFrame:
         return strip(F.coalesce(F.try_element_at("_map", F.col(name)), F.lit("")))
 
     found = rows.withColumns({"_t": field("_title"), "_h": field("_link"), "_d": field("_date")})
+    page = ["page"] if "page" in responses.columns else []
     return found.filter((F.length("_t") >= V.RULE_MIN_TITLE_CHARS) & (F.col("_h") != "")).select(
-        "rule_id", "position", squeeze(F.col("_t")).alias("title"), resolve_url(F.col("url"), F.col("_h")).alias("url"),
+        "rule_id", *page, "position", squeeze(F.col("_t")).alias("title"), resolve_url(F.col("url"), F.col("_h")).alias("url"),
         parse_date_text(F.col("_d")).alias("publish_date"))
 
 
 def json_html_pages(responses: DataFrame) -> DataFrame:
     """JSON responses that carry a listing as HTML text, as pages of their rule."""
     path = F.coalesce(F.col("json_path.html"), F.lit("data.html"))
-    return responses.select("rule_id", "url", F.lit(1).alias("page"), json_text_at(F.col("body"), path).alias("html")).filter(
+    page = F.col("page") if "page" in responses.columns else F.lit(1)
+    return responses.select("rule_id", "url", page.alias("page"), json_text_at(F.col("body"), path).alias("html")).filter(
         F.col("html").isNotNull())

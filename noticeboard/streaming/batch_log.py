@@ -57,5 +57,9 @@ class BatchLog:
     def only(self, batch: int) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/batch={batch}")
 
+    def rows_or_none(self) -> DataFrame | None:
+        rows = self._read(self.path)
+        return None if rows is None else rows.drop("batch")
+
     def rows(self) -> DataFrame:
         return self.spark.read.parquet(self.path).drop("batch")
