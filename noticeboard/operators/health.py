@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,26 +83,32 @@ def alert_rounds(rounds: DataFrame, group: list[str], cooldown_hours: int = V.AL
     """Rounds that send an alert: something is broken and the last delivered alert is older than the cooldown.
 
     ``rounds(group.., round_at, broken, delivered)`` holds one row per scheduled
-    round; their number per group is bounded by time (one per hour), not by the
-    size of the log, so folding them in one array is safe.  An attempt that no
-    channel delivered does not reset the clock.
+    round.  Whether a round alerts depends on the one before, so a group's rounds
+    are read in order by one task, as a stream of which only the clock is kept;
+    groups spread over tasks.  An attempt that no channel delivered does not
+    reset the clock.
     """
     seconds = cooldown_hours * 3600
-    entry = F.struct(F.unix_timestamp("round_at").alias("s"), F.col("delivered").alias("d"))
-    ordered = F.array_sort(F.collect_list(F.when(F.col("broken") > 0, entry)))
-    start = F.struct(F.lit(None).cast("bigint").alias("clock"),
-                     F.array().cast("array<struct<s:bigint,d:boolean>>").alias("sent"))
-
-    def step(acc: Column, x: Column) -> Column:
-        due = acc["clock"].isNull() | (x["s"] - acc["clock"] > seconds)
-        return F.struct(
-            F.when(due & x["d"], x["s"]).otherwise(acc["clock"]).alias("clock"),
-            F.when(due, F.concat(acc["sent"], F.array(x))).otherwise(acc["sent"]).alias("sent"))
-
-    folded = rounds.groupBy(*group).agg(ordered.alias("_rounds")).select(
-        *group, F.aggregate("_rounds", start, step, lambda acc: acc["sent"]).alias("_sent"))
-    return folded.select(*group, F.explode("_sent").alias("_x")).select(
-        *group, F.timestamp_seconds("_x.s").alias("alert_at"), F.col("_x.d").alias("delivered"))
+    wanted = [*group, "_s", "delivered"]
+    ordered = rounds.filter(F.col("broken") > 0).select(*group, F.unix_timestamp("round_at").alias("_s"), "delivered")
+    schema = ordered.schema
+
+    def fold(batches):
+        key, clock = None, None
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in wanted]
+            sends = []
+            for *at, s, delivered in zip(*columns):
+                if at != key:
+                    key, clock = at, None
+                due = clock is None or s - clock > seconds
+                if due and delivered:
+                    clock = s
+                sends.append(due)
+            yield batch.filter(pa.array(sends, pa.bool_()))
+
+    sent = ordered.repartition(*group).sortWithinPartitions(*group, "_s").mapInArrow(fold, schema)
+    return sent.select(*group, F.timestamp_seconds("_s").alias("alert_at"), "delivered")
 
 
 def run_log_rows(results: DataFrame, now: Column) -> DataFrame:
