@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from noticeboard import fixed_values as V
 
+PAGES_AT_ONCE = 4
+
 # parent, last: positions (from 0) of the parent and of the last node of the subtree
 # path: positions of the ancestors, root first; texts have the tag '#text'
 # n_texts, text_chars, link_chars, n_links: totals of the subtree outside page chrome
@@ -181,7 +183,9 @@ def nodes_of(page: Column, chrome_tags: Sequence[str] = tuple(V.CHROME_TAGS)) ->
     tags = frozenset(chrome_tags)
 
     def run(pages: pa.Array) -> pa.Array:
-        return _node_array(pages, tags)
+        # a few pages at a time: only their nodes are Python objects at once
+        parts = [_node_array(pages.slice(i, PAGES_AT_ONCE), tags) for i in range(0, len(pages), PAGES_AT_ONCE)]
+        return pa.concat_arrays(parts) if parts else _node_array(pages, tags)
 
     # not deterministic, for the optimizer: it must not repeat the parse for a filter on its result
     return F.arrow_udf(run, f"array<{NODE_TYPE}>").asNondeterministic()(page)

@@ -58,3 +58,10 @@ def test_audit_knows_cities_without_hints_and_hints_without_city(spark):
     hints = spark.createDataFrame([("A", None, "a.org"), (None, None, "b.org"), (None, "subsidy", "dept")], "city string, type string, hint string")
     got = sorted((r.city, r.problem) for r in catalog.audit(cat, hints).collect())
     assert got == [("A", "department"), ("C", "domain"), ("C", "domain")]
+
+
+def test_pages_of_several_megabytes(spark):
+    rows = [(i, "<ul>" + "".join(f'<li><a href="/p/{i}/{j}">link {j}</a> text {j}</li>' for j in range(20000 + i)) + "</ul>") for i in range(6)]
+    pages = spark.createDataFrame(rows, "page_id int, html string").coalesce(1)
+    got = {r.page_id: r["count"] for r in html_nodes.nodes_table(pages).filter("tag = 'a'").groupBy("page_id").count().collect()}
+    assert got == {i: 20000 + i for i in range(6)}
