@@ -66,8 +66,8 @@ def array_of(words: Sequence[str]) -> Column:
     return F.expr("array(" + ", ".join(sql_string(w) for w in words) + ")").cast("array<string>")
 
 
-def substrings(c: Column, max_chars: int | None = None) -> Column:
-    """All distinct non-empty substrings of a short string.
+def substrings(c: Column, max_chars: int | Column | None = None) -> Column:
+    """All distinct non-empty substrings of a short string, of at most ``max_chars`` (1 or more) characters.
 
     They turn a containment join into an equi-join, so no pair of rows has to
     be compared that does not match.
@@ -78,7 +78,7 @@ def substrings(c: Column, max_chars: int | None = None) -> Column:
     def from_start(i: Column) -> Column:
         longest = n - i + 1
         if max_chars is not None:
-            longest = F.least(longest, F.lit(max_chars))
+            longest = F.least(longest, max_chars if isinstance(max_chars, Column) else F.lit(max_chars))
         return F.transform(F.sequence(F.lit(1), longest), lambda k: F.substring(c, i, k))
 
     return F.when(n > 0, F.array_distinct(F.flatten(F.transform(starts, from_start))))

@@ -19,10 +19,15 @@ def contains_pairs(texts: DataFrame, text: str, parts: DataFrame, part: str) ->
     """
     t = texts.select(text).distinct().filter(F.col(text) != "")
     p = parts.select(part).distinct().filter(F.col(part) != "")
-    pieces = t.select(text, F.explode(substrings(F.col(text))).alias("_piece"))
+    pieces = _no_longer(t, p, part).select(text, F.explode(substrings(F.col(text), F.col("_longest"))).alias("_piece"))
     return pieces.join(p, F.col("_piece") == F.col(part)).select(text, part)
 
 
+def _no_longer(texts: DataFrame, parts: DataFrame, part: str) -> DataFrame:
+    """The texts with ``_longest``, the length of the longest part; longer substrings match nothing."""
+    return texts.withColumn("_longest", parts.agg(F.max(F.length(part))).scalar()).filter(F.col("_longest") > 0)
+
+
 def clean_region(region: Column) -> Column:
     out = strip(region)
     for s in V.REGION_SUFFIXES:
@@ -79,7 +84,8 @@ def synthesize_rules(candidates: DataFrame) -> DataFrame:
 
 def subscriptions_without_rule(subscriptions: DataFrame, rules: DataFrame) -> DataFrame:
     """Subscribed cities that no rule's city contains."""
-    covered = rules.select("city").distinct().select(F.explode(substrings(F.col("city"))).alias("city")).distinct()
+    cities = _no_longer(rules.select("city").distinct(), subscriptions, "city")
+    covered = cities.select(F.explode(substrings(F.col("city"), F.col("_longest"))).alias("city")).distinct()
     return subscriptions.select("city").distinct().join(covered, "city", "left_anti")
 
 
