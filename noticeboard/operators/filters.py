@@ -66,7 +66,7 @@ def judge(notices: DataFrame, policy: Policy) -> DataFrame:
         return F.struct(*[t[c].alias(c) for c in ("title_clean", "blocked_term", "age_days", "relevance_score")],
                         reason.alias("reason"))
 
-    clean = titles.clean_title(F.col("title"), squeezed=True)
+    clean = titles.clean_title(F.col("title"))
     return with_struct(notices, bind(bind(bind(clean, tests), scored), verdict))
 
 
