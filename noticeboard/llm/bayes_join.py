@@ -295,9 +295,10 @@ def block_links(docs: DataFrame, classes: DataFrame, grouped: DataFrame, thresho
     mates = placed.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
         "doc_id", "node", "copies", "group", "chunk", F.least("chunk", "mate").alias("low"), F.greatest("chunk", "mate").alias("high"),
         F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("group"), F.lit(bins))).otherwise(F.lit(-1)).alias("bin"))
+    # a merge join at every size: the ids grow with the documents, so a broadcast would not last
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).join(
-        inside.select("doc_id").distinct(), "doc_id", "left_semi")
-    rows = texts.join(mates, "doc_id").withColumn("own", F.when(F.col("bin") < 0, F.col("group")))
+        inside.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
+    rows = texts.join(mates.hint("merge"), "doc_id").withColumn("own", F.when(F.col("bin") < 0, F.col("group")))
     return rows.groupBy("bin", "own", "low", "high").applyInPandas(
         _block_links(threshold, tolerance), "node binary, links long, root binary")
 
