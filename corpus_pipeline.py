@@ -32,7 +32,8 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     classes = written(bayes_join.near_duplicates(docs.filter(F.col("doc_id").isNotNull())), "classes")
     ids = classes.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.count("*").alias("n"))
     ids = written(ids.filter("doc_id = class_id").select("doc_id", "n"), "kept_ids")
-    kept_rows = docs.join(ids.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    # the ids grow with the documents: a merge join at every size
+    kept_rows = docs.join(ids.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
     repeated = ids.filter("n > 1").select("doc_id")
     if not repeated.isEmpty():
         kept_rows = kept_rows.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(
