@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticeboard.llm.common import batches_of, codes, hashed_ngrams, kept, remainder, smallest_per_key
@@ -103,7 +103,6 @@ def fit_languages(docs: DataFrame, per_language: int = 600, languages: int = 64,
     each.  Document frequencies are part of the fitted model.  A fifth of the
     sample calibrates the temperature.  Without a usable row every text is ``und``.
     """
-    from pyspark.sql import Window
     usable = docs.select("doc_id", "lang", "text").filter(
         (remainder(F.col("doc_id"), folds) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     top = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
