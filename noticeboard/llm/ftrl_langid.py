@@ -82,11 +82,11 @@ class LanguageModel:
 
 
 def _temperature(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The temperature of least log loss, by golden section on its logarithm."""
+    """The temperature of least log loss, by golden section on its logarithm; few rows move it little from 1."""
     def loss(u: float) -> float:
         s = scores / math.exp(u)
         s = s - s.max(axis=1, keepdims=True)
-        return float((np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(s)), labels]).mean())
+        return float((np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(s)), labels]).mean() + u * u / (2 * len(s)))
 
     low, high, ratio = math.log(0.02), math.log(20.0), (math.sqrt(5) - 1) / 2
     for _ in range(40):
@@ -95,22 +95,29 @@ def _temperature(scores: np.ndarray, labels: np.ndarray) -> float:
     return math.exp((low + high) / 2)
 
 
-def fit_languages(docs: DataFrame, per_language: int = 600, languages: int = 64, folds: int = 5, epochs: int = 3) -> LanguageModel:
+def fit_languages(docs: DataFrame, per_language: int = 600, rows: int = 38_400, least: int = 20, folds: int = 5,
+                  epochs: int = 3) -> LanguageModel:
     """Train on documents with a language whose id is not in the fold held out.
 
-    The sample is bounded: the ``per_language`` documents first in hash order of
-    each of the ``languages`` most frequent values of ``lang``; the whole text of
-    each.  Document frequencies are part of the fitted model.  A fifth of the
-    sample calibrates the temperature.  Without a usable row every text is ``und``.
+    Every value of ``lang`` among them is learned.  The sample is bounded by rows:
+    of each language the ``per_language`` documents first in hash order, fewer
+    where all languages together would exceed ``rows``, but not fewer than
+    ``least``; the whole text of each.  Model and training grow with the number of
+    languages.  Document frequencies are part of the fitted model.  Every fifth
+    sample row of a language calibrates the temperature, so a language of fewer
+    than five is trained on whole; the temperature is 1 only where no language
+    has five or there is but one.  Without a usable row every text is ``und``.
     """
     usable = docs.select("doc_id", "lang", "text").filter(
         (remainder(F.col("doc_id"), folds) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    top = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
-    ids = smallest_per_key(usable.select("doc_id", "lang").join(F.broadcast(top.select("lang")), "lang"),
-                           "lang", F.xxhash64("doc_id"), per_language)
-    # of rows that repeat an id, one counts; at most languages x per_language ids are broadcast
-    one = Window.partitionBy("doc_id").orderBy("lang", "text")
-    found = usable.join(F.broadcast(kept(ids.distinct())), ["doc_id", "lang"])
+    # a repeated id counts once in its language, or its repeats would crowd out the others
+    pairs = kept(usable.select("doc_id", "lang").distinct())
+    languages = pairs.select("lang").distinct().count()
+    each = max(least, min(per_language, rows // max(languages, 1)))
+    ids = smallest_per_key(pairs, "lang", F.xxhash64("doc_id"), each)
+    # at most max(rows, languages x least) ids are broadcast
+    one = Window.partitionBy("doc_id", "lang").orderBy("text")
+    found = usable.join(F.broadcast(kept(ids)), ["doc_id", "lang"])
     sample = kept(found.withColumn("_n", F.row_number().over(one)).filter("_n = 1").select("doc_id", "lang", "text"))
 
     def sparse(batches):
@@ -126,20 +133,23 @@ def fit_languages(docs: DataFrame, per_language: int = 600, languages: int = 64,
                 [batch.column("doc_id"), batch.column("lang"), pa.array(at, pa.binary()), pa.array(values, pa.binary())],
                 names=["doc_id", "lang", "at", "values"])
 
-    rows = sample.mapInArrow(sparse, "doc_id long, lang string, at binary, values binary").orderBy(
-        F.xxhash64("doc_id"), "doc_id").toArrow().to_pylist()
-    names = sorted({r["lang"] for r in rows})
-    if not rows:
+    drawn = sample.mapInArrow(sparse, "doc_id long, lang string, at binary, values binary").orderBy(
+        F.xxhash64("doc_id"), "doc_id", "lang").toArrow().to_pylist()
+    names = sorted({r["lang"] for r in drawn})
+    if not drawn:
         return LanguageModel([], np.zeros(DIMS), np.zeros((0, DIMS)), 1.0)
-    at = [np.frombuffer(r["at"], np.int32) for r in rows]
+    at = [np.frombuffer(r["at"], np.int32) for r in drawn]
     df = sum(np.bincount(a, minlength=DIMS) for a in at)
-    idf = np.log((1 + len(rows)) / (1 + df)) + 1
+    idf = np.log((1 + len(drawn)) / (1 + df)) + 1
     values = []
-    for a, r in zip(at, rows):
+    for a, r in zip(at, drawn):
         x = np.log1p(np.frombuffer(r["values"], np.float32).astype(float)) * idf[a]
         values.append(x / max(np.linalg.norm(x), 1e-12))
-    label = np.array([names.index(r["lang"]) for r in rows])
-    held = np.arange(len(rows)) % 5 == 0 if len(rows) >= 50 else np.zeros(len(rows), bool)
+    number = {name: i for i, name in enumerate(names)}
+    label = np.array([number[r["lang"]] for r in drawn])
+    held = np.zeros(len(drawn), bool)
+    for i in range(len(names)):
+        held[np.flatnonzero(label == i)[4::5]] = True
     model = Ftrl(len(names), DIMS)
     for _ in range(epochs):
         for i in np.flatnonzero(~held):

@@ -77,6 +77,35 @@ def test_languages_of_odd_rows(spark):
     assert ftrl_langid.languages_of(docs, model).filter("lang_pred = 'und'").count() == len(ROWS)
 
 
+def alphabet(k, i):
+    """A text in the letters of the k-th language."""
+    r = np.random.default_rng((k, i))
+    return " ".join("".join(chr(0x4E00 + 40 * k + c) for c in r.integers(0, 40, 5)) for _ in range(30))
+
+
+def test_every_language_is_learned(spark):
+    # 70 languages; the rarest, last in order of count, have one document, and one shares its id with another's
+    rows = [(100 * k + i, alphabet(k, i), f"l{k:02}", None, 0) for k in range(70) for i in range(6 if k < 60 else 1)]
+    rows.append((0, alphabet(70, 0), "m", None, 0))
+    # an id repeated often does not hide its language
+    rows += [(7000, alphabet(71, 0), "n", None, 0)] * 3000
+    model = ftrl_langid.fit_languages(documents(spark, rows), folds=100_000)
+    assert model.languages == [f"l{k:02}" for k in range(70)] + ["m", "n"]
+    texts = [alphabet(k, 50) for k in range(72)]
+    assert model.predict(texts)[0] == model.languages
+
+
+def test_the_budget_of_rows_is_shared_by_all_languages(spark):
+    rows = [(100 * k + i, alphabet(k, i), f"l{k}", None, 0) for k in range(10) for i in range(8)]
+    model = ftrl_langid.fit_languages(documents(spark, rows), rows=20, least=3, folds=100_000)
+    assert len(model.languages) == 10
+
+
+def test_small_samples_are_calibrated_too(spark):
+    rows = [(100 * k + i, alphabet(k, i), f"l{k}", None, 0) for k in range(2) for i in range(10)]
+    assert ftrl_langid.fit_languages(documents(spark, rows), folds=100_000).temperature != 1.0
+
+
 def test_label_model_finds_the_class_without_labels():
     r = np.random.default_rng(3)
     y = r.random(600) < 0.3
