@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -104,6 +105,17 @@ def test_network_adds_what_looks_like_a_finding(spark):
     assert {r.doc_id: r.t for r in clean} == {1: "value [SECRET] and mail annapost.17 in buildings12north", 2: None}
 
 
+def test_threshold_keeps_the_recall_of_hard_findings(spark):
+    # one value in eleven is a finding and no window tells which: the word before it is too far away
+    rng = random.Random(11)
+    value = lambda: "".join(rng.choice("abcdefgh12345678") for _ in range(20)) + "a1"
+    values = [value() for _ in range(660)]
+    rows = [(i, ("token:" if i % 11 == 0 else "entry ") + " " * 30 + v, None, None, 0) for i, v in enumerate(values)]
+    scanner = char_cnn_secrets.fit_scanner(documents(spark, rows))
+    found = np.concatenate([scanner.probability(t, [(36, len(t))]) for i, t, *_ in rows if i % 11 == 0]) >= scanner.threshold
+    assert len(found) == 60 and found.mean() > 0.9
+
+
 def test_secrets_odd_rows(spark):
     docs = documents(spark)
     rows = char_cnn_secrets.secret_findings(docs, char_cnn_secrets.fit_scanner(docs)).collect()
