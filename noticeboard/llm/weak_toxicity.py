@@ -67,11 +67,25 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(s, -30, 30))))
 
 
-def induced_lexicon(sample: DataFrame, sizes: dict[int, int], size: int, least: int) -> list[str]:
-    """The terms that tell the labels apart best, counted over the sample by Spark.
+def least_count(terms_by_bad: dict[int, int], share: float) -> tuple[int, int]:
+    """The least count at which a term can pass the test of ``induced_lexicon``, and how many terms have it.
+
+    A term's ratio is at most that of one never found in a good document; terms
+    that cannot pass even then are not looked at and do not make the test harder.
+    """
+    k, left = 1, sum(terms_by_bad.values())
+    while left and k * -math.log(share) < math.log(max(left, 2)):
+        left -= terms_by_bad.get(k, 0)
+        k += 1
+    return k, left
+
+
+def induced_lexicon(sample: DataFrame, sizes: dict[int, int]) -> list[str]:
+    """All terms that tell the labels apart, best first, counted over the sample by Spark.
 
     A term must be far more frequent among the bad documents, and so much that
     chance would not do it once among all terms looked at (likelihood ratio).
+    Nothing else limits their number or how often one must occur.
     """
     def counted(batches):
         tally: dict[int, Counter] = {0: Counter(), 1: Counter()}
@@ -87,15 +101,15 @@ def induced_lexicon(sample: DataFrame, sizes: dict[int, int], size: int, least:
 
     tallied = sample.select("label", "text").mapInArrow(counted, "term string, label int, n long").groupBy("term").agg(
         F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("bad"),
-        F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("good")).filter(F.col("bad") >= least)
+        F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("good")).filter("bad > 0")
     by_term = kept(tallied)
     share = sizes[1] / (sizes[0] + sizes[1])
     bad, good = F.col("bad"), F.col("good")
     ratio = 2 * (bad * F.log(bad / ((bad + good) * share)) + F.when(good > 0, good * F.log(
         good / ((bad + good) * (1 - share)))).otherwise(0.0))
     worth = (bad / sizes[1]) / (bad / sizes[1] + good / sizes[0])
-    best = by_term.filter((worth >= 0.99) & (ratio >= 2 * math.log(max(by_term.count(), 2)))).orderBy(
-        F.desc(ratio), "term").limit(size)
+    least, looked_at = least_count({r.bad: r["count"] for r in by_term.groupBy("bad").count().collect()}, share)
+    best = by_term.filter((bad >= least) & (worth >= 0.99) & (ratio >= 2 * math.log(max(looked_at, 2)))).orderBy(F.desc(ratio), "term")
     return [r.term for r in best.select("term").collect()]
 
 
@@ -133,8 +147,8 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 40) -> np.ndarray
     return q
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 3000, lexicon: int = 500, least: int = 3,
-                 folds: int = 5, held: int = 0, steps: int = 20) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 3000, folds: int = 5, held: int = 0,
+                 steps: int = 20) -> ToxicityModel:
     """Lexicon, label model and classifier from labelled documents outside the held-out fold.
 
     The sample is bounded: ``per_class`` ids of each label, first in hash order,
@@ -145,8 +159,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 3000, lexi
     sizes = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
     if len(sizes) < 2:
         return ToxicityModel(prior=float(next(iter(sizes), 0)))
-    # a small sample cannot ask for as many occurrences
-    terms = induced_lexicon(sample, sizes, lexicon, least if sizes[1] >= 20 else 1)
+    terms = induced_lexicon(sample, sizes)
     model = ToxicityModel({t: i for i, t in enumerate(terms)}, len(terms) + len(_PATTERNS))
 
     def fired(batches):

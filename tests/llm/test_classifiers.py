@@ -106,6 +106,24 @@ def test_small_samples_are_calibrated_too(spark):
     assert ftrl_langid.fit_languages(documents(spark, rows), folds=100_000).temperature != 1.0
 
 
+def test_lexicon_holds_every_term_that_passes_the_test(spark):
+    # 600 words of three letters, each in 15 of 300 toxic documents
+    word = lambda i: "".join(chr(97 + i // 26 ** j % 26) for j in range(3))
+    rows = [(d, " ".join(word(17 * i + 1000) for i in range(600) if d in {(i + 20 * j) % 300 for j in range(15)}), None, None, 0)
+            for d in range(300)]
+    rows += [(300 + d, f"plain words of number {d}", None, None, 0) for d in range(300)]
+    labels = spark.createDataFrame([(d, 1, int(d < 300)) for d in range(600)], LABELS)
+    model = weak_toxicity.fit_toxicity(documents(spark, rows), labels, folds=100_000, held=99_999)
+    assert len(model.lexicon) == 600
+
+
+def test_least_count_follows_from_the_test():
+    # log(1 / share) a document: two are enough where one term has as many and toxic rows are rare
+    assert weak_toxicity.least_count({1: 50, 2: 1}, 0.05) == (2, 1)
+    assert weak_toxicity.least_count({1: 50, 30: 600}, 0.5)[0] == 10
+    assert weak_toxicity.least_count({}, 0.5)[1] == 0
+
+
 def test_label_model_finds_the_class_without_labels():
     r = np.random.default_rng(3)
     y = r.random(600) < 0.3
