@@ -13,6 +13,8 @@ from noticeboard.session import scratch_path, shared_dir
 
 SLICE = 256  # texts turned into Python strings at once
 _SHARES = 1_000_003
+# ASCII letters in lower case, digits and all bytes of other characters; anything else is a blank
+WORD_BYTES = bytes(b if b >= 128 or chr(b).isalnum() and not chr(b).isupper() else b + 32 if chr(b).isupper() else 32 for b in range(256))
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,6 +95,12 @@ def batches_of(texts: pa.Array) -> Iterator[list[str]]:
         yield [t or "" for t in texts.slice(i, SLICE).to_pylist()]
 
 
+def bytes_of(texts: pa.Array) -> Iterator[list[bytes]]:
+    """The UTF-8 bytes of a few texts at a time; a null text has none."""
+    for i in range(0, len(texts), SLICE):
+        yield [t or b"" for t in texts.slice(i, SLICE).cast(pa.binary()).to_pylist()]
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit mixer (the finaliser of splitmix64), elementwise."""
     x = x.astype(np.uint64)

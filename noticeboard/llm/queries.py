@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from noticeboard.llm import (
-    bayes_join, bpe_automaton, budget_mix, char_cnn_secrets, ftrl_langid, knn_quality,
-    tput_search, url_shift_and, vp_search, weak_toxicity)
+    aho_search, bayes_join, bpe_automaton, budget_mix, char_cnn_secrets, ftrl_langid, hypergeometric_shards, knn_quality,
+    overlap_resampling, tput_search, url_shift_and, vp_search, weak_toxicity)
 from noticeboard.llm.common import read
 
 QUERIES, ORACLES = {}, {}
@@ -95,3 +95,24 @@ def op10_url_shift_and(spark: SparkSession, sf: str) -> DataFrame:
 
 
 ORACLES["op10_url_shift_and"] = url_shift_and.filtered_pages_sql()
+
+
+@query
+def op11_overlap_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    return overlap_resampling.importance_ranks(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+
+
+ORACLES["op11_overlap_resampling"] = overlap_resampling.importance_sql()
+
+
+@query
+def op12_hypergeometric_shards(spark: SparkSession, sf: str) -> DataFrame:
+    return hypergeometric_shards.shard_digests(read(spark, sf, "documents"))
+
+
+@query
+def op13_aho_search(spark: SparkSession, sf: str) -> DataFrame:
+    return aho_search.lexical_top(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+
+
+ORACLES["op13_aho_search"] = aho_search.lexical_sql()
