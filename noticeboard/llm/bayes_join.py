@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticeboard.llm.common import batches_of, constants, kept, mixed, written
@@ -144,8 +144,13 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """128 bits for an id, null ones included, with its text: rows that agree in both are one document."""
+    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(doc_id.cast("long").cast("string"), F.lit("")), F.coalesce(text, F.lit("")))))
+
+
 def shingled(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, size, sig), written: the one pass over all texts. ``node`` is null for a text without words."""
+    """(doc_id, key, node, size, sig), written: the one pass over all texts. ``node`` is null for a text without words."""
     def run(batches):
         for batch in batches:
             node, size, sig = [], [], []
@@ -155,11 +160,12 @@ def shingled(docs: DataFrame) -> DataFrame:
                     node.append(set_key(s) if len(s) else None)
                     size.append(len(s))
                     sig.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(node, pa.binary()), pa.array(size, pa.int64()), pa.array(sig, pa.binary())],
-                                             names=["doc_id", "node", "size", "sig"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("key"), pa.array(node, pa.binary()), pa.array(size, pa.int64()), pa.array(sig, pa.binary())],
+                names=["doc_id", "key", "node", "size", "sig"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, node binary, size long, sig binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("doc_id"), F.col("text")).alias("key"), "text").mapInArrow(
+        run, "doc_id long, key binary, node binary, size long, sig binary")
     return written(rows, "shingled")
 
 
@@ -254,8 +260,7 @@ def _block_links(threshold: float, tolerance: float):
             for row, (node, text) in enumerate(zip(part["node"], part["text"])):
                 node = bytes(node)
                 s = shingles(text)
-                # a repeated id may have brought another text
-                if node not in seen and set_key(s) == node:
+                if node not in seen:
                     seen.add(node)
                     sets.append(s)
                     sigs.append(signature(s))
@@ -285,7 +290,7 @@ def block_links(docs: DataFrame, classes: DataFrame, grouped: DataFrame, thresho
     A group of many shingles is cut into chunks and every pair of chunks is a
     block of bounded size; small groups are packed into bins of about that size.
     """
-    inside = written(classes.select("node", "doc_id", "copies", "size").join(grouped.withColumnRenamed("root", "group"), "node"), "inside")
+    inside = written(classes.select("node", "key", "copies", "size").join(grouped.withColumnRenamed("root", "group"), "node"), "inside")
     weights = written(inside.groupBy("group").agg(F.sum("size").alias("weight")).select(
         "group", "weight", F.ceil(F.col("weight") / BLOCK).cast("int").alias("chunks")), "weights")
     bins = max(1, math.ceil((weights.agg(F.sum("weight")).first()[0] or 0) / BLOCK))
@@ -293,30 +298,22 @@ def block_links(docs: DataFrame, classes: DataFrame, grouped: DataFrame, thresho
         "chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     # chunk c belongs to the blocks (0, c) .. (c, c) and (c, c + 1) .. (c, last)
     mates = placed.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
-        "doc_id", "node", "copies", "group", "chunk", F.least("chunk", "mate").alias("low"), F.greatest("chunk", "mate").alias("high"),
+        "key", "node", "copies", "group", "chunk", F.least("chunk", "mate").alias("low"), F.greatest("chunk", "mate").alias("high"),
         F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("group"), F.lit(bins))).otherwise(F.lit(-1)).alias("bin"))
-    # a merge join at every size: the ids grow with the documents, so a broadcast would not last
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).join(
-        inside.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
-    rows = texts.join(mates.hint("merge"), "doc_id").withColumn("own", F.when(F.col("bin") < 0, F.col("group")))
+    # one text a node; merge joins at every size: the keys grow with the documents, so a broadcast would not last
+    texts = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), "text").join(
+        inside.select("key").hint("merge"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    rows = texts.join(mates.hint("merge"), "key").withColumn("own", F.when(F.col("bin") < 0, F.col("group")))
     return rows.groupBy("bin", "own", "low", "high").applyInPandas(
         _block_links(threshold, tolerance), "node binary, links long, root binary")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """(doc_id, class_id, n_links) of every document.
-
-    Two documents are linked if the Jaccard similarity of their sets of five-word
-    shingles is at least ``threshold``; ``n_links`` counts the other documents a
-    document is linked with, copies included, and ``class_id`` is the least id
-    among all it is connected with.  A text of one to four words is one shingle.
-    A text that is null, empty or without words has no link and is its own class.
-    Rows that repeat an id count as documents of their own; rows with a null id
-    take part as well.  Only ``doc_id`` and ``text`` are read.
-    """
+def classified(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """(doc_id, key, root, class_id, n_links) of every row: ``root`` names the class, null for a text without words."""
     rows = shingled(docs)
     classes = written(rows.filter(F.col("node").isNotNull()).groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("size").alias("size"), F.min("sig").alias("sig")), "classes")
+        F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.count("*").alias("copies"),
+        F.first("size").alias("size"), F.min("sig").alias("sig")), "classes")
     grouped = components(candidate_edges(classes, threshold, tolerance))
     found = written(block_links(docs, classes, grouped, threshold, tolerance), "links")
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
@@ -324,12 +321,45 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     tied = classes.select("node", "doc_id", "copies").join(roots, "node").join(links, "node", "left")
     least = tied.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     result = classes.select("node", "doc_id", "copies").join(
-        tied.join(least, "root").select("node", "class_id", "links"), "node", "left").select(
-        "node", F.coalesce("class_id", "doc_id").alias("class_id"),
+        tied.join(least, "root").select("node", "root", "class_id", "links"), "node", "left").select(
+        "node", F.coalesce("root", "node").alias("root"), F.coalesce("class_id", "doc_id").alias("class_id"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    alone = rows.filter(F.col("node").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return rows.filter(F.col("node").isNotNull()).select("doc_id", "node").join(result, "node").select(
-        "doc_id", "class_id", "n_links").unionByName(alone)
+    alone = rows.filter(F.col("node").isNull()).select(
+        "doc_id", "key", F.col("node").alias("root"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return rows.filter(F.col("node").isNotNull()).select("doc_id", "key", "node").join(result, "node").select(
+        "doc_id", "key", "root", "class_id", "n_links").unionByName(alone)
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """(doc_id, class_id, n_links) of every document.
+
+    Two documents are linked if the Jaccard similarity of their sets of five-word
+    shingles is at least ``threshold``; ``n_links`` counts the other documents a
+    document is linked with, copies included, and ``class_id`` is the least id
+    among all it is connected with.  A text of one to four words is one shingle.
+    A text that is null, empty or without words has no link and is its own class.
+    Rows that repeat an id count as documents of their own, whatever their texts;
+    rows with a null id take part as well, and a class of such rows only has a
+    null ``class_id``.  Only ``doc_id`` and ``text`` are read.
+    """
+    return classified(docs, threshold, tolerance).select("doc_id", "class_id", "n_links")
+
+
+def deduplicated(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """One row of every class of near duplicates, with all columns of ``docs``: the one of the least id, a null id last.
+
+    Classes are those of texts, so an id with two texts may stay with both, with one
+    or with none of them.  Rows that agree in id and text are one document and become
+    one row.  Texts that are null, empty or without words all stay.
+    """
+    rows = classified(docs, threshold, tolerance).filter(F.col("root").isNotNull())
+    leaders = written(rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key")).alias("first")).select(
+        F.col("first.key").alias("_key")), "leaders")
+    worded = F.coalesce(F.col("text").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"), F.lit(False))
+    keyed = docs.filter(worded).select(row_key(F.col("doc_id"), F.col("text")).alias("_key"), F.struct(*docs.columns).alias("_row"))
+    # the keys grow with the documents: a merge join at every size
+    kept_rows = keyed.join(leaders.hint("merge"), "_key", "left_semi").groupBy("_key").agg(F.first("_row").alias("_row"))
+    return kept_rows.select("_row.*").unionByName(docs.filter(~worded))
 
 
 def near_duplicates_sql(documents: str = "documents", threshold: float = THRESHOLD) -> str:

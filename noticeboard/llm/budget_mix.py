@@ -143,14 +143,13 @@ def mixed_copies(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     gives no row.  Columns of ``docs`` named like the added ones are replaced by them.
     """
     cuts = leaf_cuts(docs, plan)
-    keys = dict(zip(LEVELS, _placed(docs)))
-    own = docs.withColumns({f"_{k}": c for k, c in keys.items()})
-    cut = cuts.select(*[F.col(k).alias(f"_{k}") for k in LEVELS], "full", F.col("cut").alias("_cut"))
+    added = (*LEVELS, "copies")
+    own = [c for c in docs.columns if c.lower() not in added]
+    # the row goes as one column, so none of its names can meet those of the cuts
+    rows = docs.select(F.struct(*own).alias("_row"), "doc_id", *_placed(docs))
     # the table of cuts has one row per leaf; Spark knows its written size and broadcasts it only if small
-    joined = own.drop("full").join(cut, [f"_{k}" for k in LEVELS])
-    copies = (F.col("full") + F.when(_order(plan.seed) <= F.col("_cut"), 1).otherwise(0)).cast("int")
-    return joined.withColumn("copies", copies).filter("copies > 0").drop("full", "_cut", *LEVELS).withColumnsRenamed(
-        {f"_{k}": k for k in LEVELS})
+    copies = (F.col("full") + F.when(_order(plan.seed) <= F.col("cut"), 1).otherwise(0)).cast("int")
+    return rows.join(cuts, list(LEVELS)).withColumn("copies", copies).filter("copies > 0").select("_row.*", *added)
 
 
 def mixed_documents(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:

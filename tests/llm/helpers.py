@@ -17,7 +17,7 @@ LABELS = "doc_id long, quality int, toxic int"
 def documents(spark, rows=None):
     """The rows with extra columns whose names the operators use themselves."""
     df = spark.createDataFrame(ROWS if rows is None else rows, SCHEMA).repartition(3)
-    return df.withColumns({c: F.lit(7) for c in ("score", "copies", "full", "label", "node", "place", "spans")})
+    return df.withColumns({c: F.lit(7) for c in ("score", "copies", "full", "label", "node", "place", "spans", "_cut", "_row", "_key", "_place", "key", "shard", "rank")})
 
 
 def pairs(rows):

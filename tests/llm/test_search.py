@@ -89,7 +89,3 @@ def test_scores_beyond_exact_integers_are_refused(spark):
     with pytest.raises(Exception, match="exact integers"):
         tput_search.exact_top_k(df, F.col("vec_id") % 50 == 0).collect()
 
-
-def test_queries_give_all_ranks(spark):
-    e = spark.read.parquet(f"{SF}/embeddings.parquet")
-    assert e.count() > 20

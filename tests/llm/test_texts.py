@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 from noticeboard.llm import bayes_join, bpe_automaton, budget_mix, char_cnn_secrets, queries, url_shift_and
 from tests.conftest import SF
-from tests.llm.helpers import LONG, ROWS, SCHEMA, documents
+from tests.llm.helpers import LONG, ROWS, documents
 
 FILE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -185,6 +185,10 @@ def test_mixing_odd_rows(spark):
     mixed = budget_mix.mixed_documents(docs)
     assert mixed.columns == docs.columns
     assert budget_mix.mixed_documents(documents(spark, [])).count() == 0
+    odd = docs.withColumns({c: F.lit(7) for c in ("_cut", "_row", "cut", "domain", "rest", "_domain", "tokens", "Copies")})
+    more = budget_mix.mixed_copies(odd)
+    assert more.count() == budget_mix.mixed_copies(docs).count() and {"domain", "language", "origin", "copies"} <= set(more.columns)
+    assert budget_mix.mixed_documents(odd).columns == odd.columns
     plan = mixed._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
@@ -230,6 +234,30 @@ def test_join_equals_brute_force(spark):
     assert sorted((tuple(r) for r in got), key=repr) == brute_join(rows)
 
 
+def test_near_copies_with_null_and_repeated_ids(spark):
+    """Texts are told apart by themselves, not by their ids."""
+    a = " ".join(f"word{i}" for i in range(120))
+    b = " ".join(f"other{i}" for i in range(120))
+    changed = a.replace("word119", "changed")
+    rows = [(None, a, None, None, 0), (1, changed, None, None, 0), (None, b, None, None, 0), (None, b, None, None, 0),
+            (5, b + " end", None, None, 0), (5, a, None, None, 0), (5, "ganz kurz", None, None, 0)] + [(7, b, None, None, 0)] * 40
+    got = bayes_join.near_duplicates(documents(spark, rows)).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute_join(rows)
+    nulls = [(None, a, None, None, 0), (None, changed, None, None, 0)]
+    assert [tuple(r) for r in bayes_join.near_duplicates(documents(spark, nulls)).collect()] == [(None, None, 1)] * 2
+
+
+def test_one_row_of_each_class_stays(spark):
+    long = lambda w: " ".join(f"{w}{i}" for i in range(90))
+    a, b, c = long("a"), long("b"), long("c")
+    rows = [(3, b), (5, a), (5, b), (9, a), (None, c), (None, c + " more"), (None, a), (4, ""), (4, ""), (6, None), (8, c.upper()), (8, c.upper())]
+    docs = documents(spark, [(i, t, "en", "x", 0) for i, t in rows])
+    got = bayes_join.deduplicated(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(
+        [(3, b), (5, a), (4, ""), (4, ""), (6, None), (8, c.upper())], key=repr)
+
+
 def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(bayes_join, "BLOCK", 2000)
     rows = near_copies(90, 120, 6, 5, 100) + near_copies(20, 60, 3, 6, 300)
@@ -252,7 +280,3 @@ def test_long_texts_hash_alike_in_slabs(monkeypatch):
 def test_pruning_spares_pairs_at_the_threshold():
     least = bayes_join.least_matches(0.8, 1e-6)
     assert list(least) == sorted(least) and 0 < least[0] < 16 and least[-1] < 0.8 * 128
-
-
-def test_shared_schema():
-    assert SCHEMA.startswith("doc_id")
