@@ -23,22 +23,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each class of near duplicates.
-
-    Texts without words are classes of their own and stay.  Rows that repeat an
-    id are one document: its equal texts become one row.  Rows with a null id
-    cannot be told apart and stay.
-    """
-    classes = written(bayes_join.near_duplicates(docs.filter(F.col("doc_id").isNotNull())), "classes")
-    ids = classes.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.count("*").alias("n"))
-    ids = written(ids.filter("doc_id = class_id").select("doc_id", "n"), "kept_ids")
-    # the ids grow with the documents: a merge join at every size
-    kept_rows = docs.join(ids.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
-    repeated = ids.filter("n > 1").select("doc_id")
-    if not repeated.isEmpty():
-        kept_rows = kept_rows.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(
-            kept_rows.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
-    return kept_rows.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """One document of each class of near duplicates; texts without words stay."""
+    return bayes_join.deduplicated(docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
