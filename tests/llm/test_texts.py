@@ -113,7 +113,45 @@ def test_threshold_keeps_the_recall_of_hard_findings(spark):
     rows = [(i, ("token:" if i % 11 == 0 else "entry ") + " " * 30 + v, None, None, 0) for i, v in enumerate(values)]
     scanner = char_cnn_secrets.fit_scanner(documents(spark, rows))
     found = np.concatenate([scanner.probability(t, [(36, len(t))]) for i, t, *_ in rows if i % 11 == 0]) >= scanner.threshold
-    assert len(found) == 60 and found.mean() > 0.9
+    assert len(found) == 60 and found.mean() >= 0.97
+
+
+def test_candidates_are_all_runs():
+    text = "x Zx9Qw3Lm7Ta hQvXkPzmWnRtYcLs short wordwords é" + "b" * 8
+    assert [text[s:e] for s, e in char_cnn_secrets.candidates(text)] == ["Zx9Qw3Lm7Ta", "hQvXkPzmWnRtYcLs", "wordwords", "b" * 8]
+
+
+def test_windows_of_many_texts_equal_those_of_each():
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab é1 ") for _ in range(rng.randrange(90))) + "x" * rng.choice([0, 9, 45, 130]) for _ in range(40)] + ["", "a" * 100]
+    want = [w for t in texts for s, e in char_cnn_secrets.candidates(t) for w in char_cnn_secrets.windows(t, s, e)]
+    raw = np.concatenate([np.append(char_cnn_secrets.classes(t), 0).astype(np.uint8) for t in texts])
+    edge = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+    starts, ends = char_cnn_secrets.runs(raw)
+    own = np.searchsorted(edge, starts, side="right") - 1
+    got = np.concatenate([x for _, x in char_cnn_secrets.window_rows(raw, starts, ends, edge[own], edge[own + 1] - 1)])
+    assert (got == char_cnn_secrets._encoded(want)).all()
+    network = char_cnn_secrets.Network()
+    assert np.allclose(network.logits(got), network.forward(got)[3], atol=1e-4)
+
+
+def varied(n, seed):
+    """Findings of every length from 8 on, with and without digits, among words and names."""
+    rng = random.Random(seed)
+    value = lambda: "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz" + "23456789" * rng.randrange(2)) for _ in range(rng.randrange(8, 60)))
+    plain = ["president", "government", "understanding", "Wednesday", "beautiful", "therefore", "mountains", "candidate"]
+    rows = [(i, f"the {rng.choice(['token', 'password', 'secret'])} = {value()} was set", None, None, 0) for i in range(n)]
+    return rows + [(n + i, " ".join(rng.choice(plain) for _ in range(12)) + " Building9 west2024wing", None, None, 0) for i in range(n)], value
+
+
+def test_short_and_digit_free_secrets_are_found(spark):
+    rows, value = varied(400, 8)
+    scanner = char_cnn_secrets.fit_scanner(documents(spark, rows))
+    held = [f"we saw {value()} there" for _ in range(300)]
+    hit = [any(k == 3 for _, k, _ in s) for s in scanner.spans_of(held)]
+    assert np.mean(hit) >= 0.95
+    clean = ["the government had beautiful mountains on Wednesday and understanding presidents", "Building9 of west2024wing"] * 50
+    assert scanner.spans_of(clean) == [[]] * 100
 
 
 def test_secrets_odd_rows(spark):
