@@ -79,18 +79,40 @@ def prune_log(run_log: DataFrame, now: Column, keep_days: int = V.KEEP_LOG_DAYS)
     return run_log.filter(F.col("created_at") >= now - F.make_dt_interval(F.lit(keep_days)))
 
 
+def _segments(rounds: DataFrame, group: list[str], seconds: int) -> DataFrame:
+    """The rounds with ``_segment``, a new one after every gap longer than ``seconds``.
+
+    Time is cut into spans of that length: such a gap always lies between the last
+    round of one span and the first of a later one, so a row a span tells where
+    the segments begin, and only those rows are ordered within their group.
+    """
+    width = max(seconds, 1)
+    span = F.floor(F.col("_s") / width)
+    rows = rounds.withColumn("_span", span)
+    spans = rows.groupBy(*[F.col(c).alias(f"_{c}") for c in group], F.col("_span").alias("_at")).agg(
+        F.min("_s").alias("_low"), F.max("_s").alias("_high"))
+    running = Window.partitionBy(*[f"_{c}" for c in group]).orderBy("_at")
+    begins = F.coalesce(F.col("_low") - F.lag("_high").over(running) > seconds, F.lit(True))
+    spans = spans.withColumn("_begins", begins.cast("int")).withColumn("_segment", F.sum("_begins").over(running))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in group] + [F.col("_span") == F.col("_at")]
+    return rows.join(spans.drop("_low", "_high", "_begins"), same).drop("_span", "_at", *[f"_{c}" for c in group])
+
+
 def alert_rounds(rounds: DataFrame, group: list[str], cooldown_hours: int = V.ALERT_COOLDOWN_HOURS) -> DataFrame:
     """Rounds that send an alert: something is broken and the last delivered alert is older than the cooldown.
 
     ``rounds(group.., round_at, broken, delivered)`` holds one row per scheduled
-    round.  Whether a round alerts depends on the one before, so a group's rounds
-    are read in order by one task, as a stream of which only the clock is kept;
-    groups spread over tasks.  An attempt that no channel delivered does not
-    reset the clock.
+    round.  An attempt that no channel delivered does not reset the clock.
+
+    Whether a round alerts depends on the one before, but after a gap longer than
+    the cooldown any clock has run out.  So a group is cut at those gaps, and its
+    segments are folded by separate tasks, each as an ordered stream of which only
+    the clock is kept.  A group broken without such a gap is one segment.
     """
     seconds = cooldown_hours * 3600
-    wanted = [*group, "_s", "delivered"]
-    ordered = rounds.filter(F.col("broken") > 0).select(*group, F.unix_timestamp("round_at").alias("_s"), "delivered")
+    wanted = [*group, "_segment", "_s", "delivered"]
+    broken = rounds.filter(F.col("broken") > 0).select(*group, F.unix_timestamp("round_at").alias("_s"), "delivered")
+    ordered = _segments(broken, group, seconds).select(*wanted)
     schema = ordered.schema
 
     def fold(batches):
@@ -107,7 +129,7 @@ def alert_rounds(rounds: DataFrame, group: list[str], cooldown_hours: int = V.AL
                 sends.append(due)
             yield batch.filter(pa.array(sends, pa.bool_()))
 
-    sent = ordered.repartition(*group).sortWithinPartitions(*group, "_s").mapInArrow(fold, schema)
+    sent = ordered.repartition(*group, "_segment").sortWithinPartitions(*group, "_segment", "_s").mapInArrow(fold, schema)
     return sent.select(*group, F.timestamp_seconds("_s").alias("alert_at"), "delivered")
 
 

@@ -11,6 +11,7 @@ from noticeboard.operators import dedup, filters, outbox, reports
 from noticeboard.plans import bindings as B
 from noticeboard.plans.queries_notices import sql_norm_title, sql_url
 from noticeboard.plans.registry import query
+from noticeboard.session import scratch_path
 
 NOW_TEXT = "2024-03-15 08:00:00"
 
@@ -55,6 +56,15 @@ def j1(spark, sf):
     return dedup.not_in_ledger(keyed(spark, sf), ledger(spark, sf)).select("notice_id", "unique_id", "dedup_key")
 
 
+@query("j1_bucketed_ledger", f"WITH {KEYED_SQL} SELECT notice_id, unique_id, dedup_key FROM fresh")
+def j1_bucketed(spark, sf):
+    """The ledger is entered in two batches and then stays where it lies."""
+    index, known = dedup.KeyIndex(spark, scratch_path(spark, "ledger-keys")), ledger(spark, sf)
+    for part in (0, 1):
+        index.add(known.filter(F.col("notice_id") % 2 == part))
+    return index.unknown(keyed(spark, sf)).select("notice_id", "unique_id", "dedup_key")
+
+
 @query("u2_new_minus_known", f"WITH {KEYED_SQL} SELECT count(*) AS new_rows FROM fresh")
 def u2(spark, sf):
     return dedup.not_in_ledger(keyed(spark, sf), ledger(spark, sf)).agg(F.count("*").alias("new_rows"))
