@@ -9,7 +9,7 @@ from noticeboard.functions.keys import with_keys
 from noticeboard.operators import health, outbox
 from noticeboard.plans import bindings as B
 from noticeboard.plans import round as rounds
-from noticeboard.plans.queries_health import LATEST_SQL
+from noticeboard.plans.queries_health import LATEST_SQL, ROUNDS_SQL
 from noticeboard.plans.queries_ledger import ATTEMPTS_SQL, KEYED_SQL, NOW_TEXT, attempts, greedy_sql, keyed, ledger, now
 from noticeboard.plans.queries_notices import POLICY, sql_clean_title, sql_norm_title, sql_refine, sql_score
 from noticeboard.plans.queries_sources import LISTING_SQL, listing_pages
@@ -107,10 +107,28 @@ def i1_stream(spark, sf):
 def i5_stream(spark, sf):
     root = scratch_path(spark, "streaks")
     streams.streak_stream(B.run_log_from(_stream(spark, sf, "events")), root).awaitTermination()
-    return streams.streak_report(spark, root, BatchLog(spark, f"{root}/latest").newest()).select(
+    return streams.streak_report(spark, root).select(
         "city", "source_name", "consecutive_failures", "last_status", F.col("last_success_at").cast("string").alias("last_success_at"))
 
 
+SEEN_SQL = ROUNDS_SQL.replace("min(id) % 3 <> 0 AS delivered", "bool_or(id % 3 <> 0) AS delivered").replace(
+    "WHERE broken > 0)", "WHERE broken > 0 AND epoch_ms(round_at) + 3600000 <= (SELECT max(epoch_ms(created_at)) FROM run_log))")
+
+
+def seen_runs(run_log: DataFrame) -> DataFrame:
+    """Every run as a part of its city's round."""
+    return run_log.select("city", F.col("created_at").alias("at"), (F.col("status") == "FAILED").cast("int").alias("broken"),
+                          (F.col("id") % 3 != 0).alias("delivered"))
+
+
+@query("i6_stream_alerts", f"WITH RECURSIVE {SEEN_SQL} SELECT city, s AS alert_at, delivered FROM walk WHERE sent")
+def i6_stream(spark, sf):
+    """The alerts of all rounds that are over when the stream has been read."""
+    root = scratch_path(spark, "alerts")
+    streams.alert_stream(seen_runs(B.run_log_from(_stream(spark, sf, "events"))), root, ["city"], lateness="0 seconds").awaitTermination()
+    return BatchLog(spark, f"{root}/alerts").rows().select("city", F.unix_timestamp("alert_at").alias("alert_at"), "delivered")
+
+
 @query("i3_stream_attempts", f"""WITH {ATTEMPTS_SQL} SELECT unique_id, sent, failed,
   CASE WHEN last_ok THEN NULL ELSE last_error END AS last_error FROM folded""")
 def i3_stream(spark, sf):

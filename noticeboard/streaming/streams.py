@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from noticeboard import fixed_values as V
 from noticeboard.functions.keys import with_keys
 from noticeboard.operators import health, outbox
+from noticeboard.streaming import stateful
 from noticeboard.streaming.batch_log import BatchLog
 
 
@@ -37,28 +40,46 @@ def discover_stream(notices: DataFrame, root: str, order: list[str], now: Callab
     return _start(notices, root, step)
 
 
-def streak_stream(run_log: DataFrame, root: str) -> StreamingQuery:
-    """Keep what the health of every source depends on, batch by batch, below ``root``.
+@contextmanager
+def _rocks(spark: SparkSession):
+    """Stateful processors need the state store on RocksDB; a query keeps the setting it was started with."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
-    That is its last useful run and the runs after it.  What a later batch adds
-    cannot make an older run count again, so each batch is trimmed before and
-    after it is merged, late rows included; only sources that keep failing grow.
-    """
-    state = BatchLog(run_log.sparkSession, f"{root}/latest")
-    columns = run_log.columns
-
-    def step(batch: DataFrame, number: int) -> None:
-        rows = batch
-        if number > 0:
-            rows = state.only(number - 1).select(*columns).unionByName(health.open_runs(batch))
-        state.write(health.open_runs(rows), number)
 
-    return _start(run_log, root, step)
+def streak_stream(run_log: DataFrame, root: str, lateness_hours: int = 48) -> StreamingQuery:
+    """Keep the health of every source as keyed state; every batch stores the sources it touched below ``root``.
 
-
-def streak_report(spark, root: str, batch: int) -> DataFrame:
-    """Health report from the state after a batch."""
-    return health.health_report(BatchLog(spark, f"{root}/latest").only(batch))
+    The state of a source is its streak, its last run and the failures of the last
+    ``lateness_hours``; rows may arrive that much late.
+    """
+    spark = run_log.sparkSession
+    out = BatchLog(spark, f"{root}/latest")
+    rows = run_log.select(
+        *health.SOURCE, F.unix_micros("created_at").alias("run_at"), F.col("id").cast("long").alias("run_id"), health.failed().alias("is_failed"),
+        "status", "error_message", F.coalesce("items_found", F.lit(0)).cast("long").alias("items"))
+    kind = ", ".join(f"{c} {run_log.schema[c].dataType.simpleString()}" for c in health.SOURCE)
+    reports = rows.groupBy(*health.SOURCE).transformWithStateInPandas(
+        stateful.Streak(lateness_hours * 3_600_000_000, health.SOURCE), f"{kind}, {stateful.STREAK_OUTPUT}", "Update", "None")
+    with _rocks(spark):
+        return (reports.writeStream.outputMode("update").foreachBatch(out.write).option("checkpointLocation", f"{root}/checkpoint")
+                .trigger(availableNow=True).start())
+
+
+def streak_report(spark, root: str, broken_streak: int = V.BROKEN_STREAK) -> DataFrame:
+    """Health report from the newest row of every source."""
+    rows = spark.read.parquet(f"{root}/latest")
+    rest = [c for c in rows.columns if c not in (*health.SOURCE, "batch")]
+    newest = rows.groupBy(*health.SOURCE).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*health.SOURCE, "_r.*")
+    return newest.select(
+        *health.SOURCE, F.col("consecutive_failures").cast("int").alias("consecutive_failures"), "last_status", "last_error",
+        F.col("last_items_found").cast("int").alias("last_items_found"), F.timestamp_micros("last_success_us").alias("last_success_at"),
+        (F.col("consecutive_failures") >= broken_streak).alias("is_broken"))
 
 
 def attempt_fold(attempts: DataFrame) -> DataFrame:
@@ -72,24 +93,28 @@ def attempt_fold(attempts: DataFrame) -> DataFrame:
         F.max_by(F.when(~F.col("ok"), F.col("error")), "seq").alias("last_error"))
 
 
-def alert_stream(run_log: DataFrame, root: str, rounds: Callable[[DataFrame], DataFrame], group: list[str],
-                 cooldown_hours: int = 24) -> StreamingQuery:
-    """Rounds that send an alert, re-derived per batch from the rounds so far.
+def alert_stream(seen: DataFrame, root: str, group: list[str], cooldown_hours: int = V.ALERT_COOLDOWN_HOURS,
+                 round_seconds: int = 3600, lateness: str = "1 hour") -> StreamingQuery:
+    """Rounds that send an alert, each stored once below ``root`` in the batch that closed it.
 
-    A round is one row per group and hour, so the kept rows are bounded by time.
-    Partial rounds of one hour from several batches are merged before the fold.
+    ``seen(group.., at, broken, delivered)`` are parts of rounds: a round of a group
+    covers ``round_seconds``, sums up what was broken, and counts as delivered if one
+    part was.  It is over once the watermark, ``lateness`` behind the newest ``at``,
+    has passed its end; what arrives later is dropped.
     """
-    seen = BatchLog(run_log.sparkSession, f"{root}/rounds")
-    sent = BatchLog(run_log.sparkSession, f"{root}/alerts")
-
-    def merge(df: DataFrame) -> DataFrame:
-        return df.groupBy(*group, "round_at").agg(F.sum("broken").alias("broken"), F.bool_or("delivered").alias("delivered"))
+    spark = seen.sparkSession
+    sent = BatchLog(spark, f"{root}/alerts")
+    at = F.unix_timestamp("at")
+    parts = seen.withWatermark("at", lateness).select(
+        *group, "at", (at - F.pmod(at, F.lit(round_seconds))).alias("round_start"), F.col("broken").cast("long").alias("broken"),
+        F.coalesce("delivered", F.lit(False)).alias("delivered"))
+    kind = ", ".join(f"{c} {seen.schema[c].dataType.simpleString()}" for c in group)
+    alerts = parts.groupBy(*group).transformWithStateInPandas(
+        stateful.Cooldown(cooldown_hours * 3600, round_seconds, group), f"{kind}, round_start long, delivered boolean", "Append", "EventTime")
 
     def step(batch: DataFrame, number: int) -> None:
-        now = rounds(batch)
-        earlier = seen.before(number)
-        seen.write(now, number)
-        every = seen.only(number) if earlier is None else earlier.unionByName(seen.only(number))
-        sent.write(health.alert_rounds(merge(every), group, cooldown_hours), number)
+        sent.write(batch.select(*group, F.timestamp_seconds("round_start").alias("alert_at"), "delivered"), number)
 
-    return _start(run_log, root, step)
+    with _rocks(spark):
+        return (alerts.writeStream.outputMode("append").foreachBatch(step).option("checkpointLocation", f"{root}/checkpoint")
+                .trigger(availableNow=True).start())
