@@ -1,8 +1,9 @@
 """Facts in the text of a notice: deadline, amount, audience, age, channel, summary.
 
-Each fact is a chain of patterns; the first that gives a value wins.  Every
-pattern needs one of a few literal words, so a plain substring test spares most
-rows the regular expression.
+Each fact is a chain of patterns; the first that gives a value wins.  The
+patterns read the ``dense`` text, in which long stretches of other scripts are
+cut, and every pattern needs one of a few literal words, so a plain substring
+test spares most rows the regular expression.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from noticeboard import fixed_values as V
 from noticeboard.functions.dates import checked_iso
-from noticeboard.functions.text import bind, contains_any, group, strip, to_int
+from noticeboard.functions.text import bind, contains_any, dense, first_by, group, strip, to_int
 from noticeboard.functions.titles import joined_labels
 
 
@@ -59,6 +60,10 @@ def _iso_of(hit: Column, pattern: str, first: int) -> Column:
 
 def deadline(text: Column) -> Column:
     """Explicit end date, date range, month-day range with a year, or relative period."""
+    return bind(dense(text), _deadline)
+
+
+def _deadline(text: Column) -> Column:
     def explicit(pattern: str, words: list[str]) -> Column:
         return bind(_hit(text, pattern, words),
                     lambda h: F.concat(_iso_of(h, pattern, 1), F.lit(" 截止")))
@@ -93,14 +98,16 @@ def _unit(hit_unit: Column) -> Column:
 
 def tiered_amount(text: Column, max_parts: int | None = None) -> Column:
     """'degree number unit' parts when at least two are listed; ``max_parts`` cuts them for display."""
+    return bind(dense(text), lambda t: _tiered_amount(t, max_parts))
+
+
+def _tiered_amount(text: Column, max_parts: int | None = None) -> Column:
     def parts(hits: Column) -> Column:
         rows = F.transform(_first(hits, max_parts), lambda h: F.struct(
             F.concat_ws(" ", group(h, V.TIERED_AMOUNT, 1), group(h, V.TIERED_AMOUNT, 2)).alias("key"),
             F.concat(group(h, V.TIERED_AMOUNT, 1), group(h, V.TIERED_AMOUNT, 2),
                      _unit(group(h, V.TIERED_AMOUNT, 3))).alias("label")))
-        return bind(rows, lambda r: F.array_join(F.transform(
-            F.filter(r, lambda x, i: ~F.exists(F.slice(r, F.lit(1), i), lambda y: y["key"] == x["key"])),
-            lambda x: x["label"]), " / "))
+        return F.array_join(F.transform(first_by(rows, "key"), lambda x: x["label"]), " / ")
 
     return bind(_hits(text, V.TIERED_AMOUNT, ["元", "万"]), lambda h: F.when(F.size(h) >= 2, parts(h)))
 
@@ -115,6 +122,10 @@ def _single_amount(text: Column, pattern: str, words: list[str], prefix: str, pl
 
 def quotas(text: Column) -> Column:
     """Array of 'number of homes' parts, one per unit in order of first appearance."""
+    return bind(dense(text), _quotas)
+
+
+def _quotas(text: Column) -> Column:
     def build(hits: Column) -> Column:
         rows = F.transform(hits, lambda h: F.struct(
             group(h, V.QUOTA, 2).alias("unit"), group(h, V.QUOTA, 1).cast("long").alias("n")))
@@ -133,12 +144,16 @@ def _first(items: Column, n: int | None) -> Column:
 
 def amount(text: Column, max_parts: int | None = None) -> Column:
     """The first kind of amount found, then home quotas; ``max_parts`` cuts them for display."""
+    return bind(dense(text), lambda t: _amount(t, max_parts))
+
+
+def _amount(text: Column, max_parts: int | None = None) -> Column:
     money = F.coalesce(
-        tiered_amount(text),
+        _tiered_amount(text),
         _single_amount(text, V.MONTHLY_AMOUNT, ["月"], "每月 ", plain_unit=True),
         _single_amount(text, V.ONE_OFF_AMOUNT, ["一次性", "共计", "合计", "总额"], "一次性 "),
         _single_amount(text, V.GENERIC_AMOUNT, ["补贴", "补助", "资助", "奖励"], ""))
-    parts = F.concat(F.array_compact(F.array(money)), quotas(text))
+    parts = F.concat(F.array_compact(F.array(money)), _quotas(text))
     return bind(parts, lambda p: F.when(F.size(p) > 0, F.array_join(_first(p, max_parts), " ｜ ")))
 
 
@@ -148,6 +163,10 @@ def audience(text: Column, title: Column, head_chars: int | None = None, max_lab
     The whole text counts unless ``head_chars`` limits it; ``max_labels`` cuts the labels for display.
     """
     body = text if head_chars is None else F.substring(text, 1, head_chars)
+    return _audience(dense(body), title, max_labels)
+
+
+def _audience(body: Column, title: Column, max_labels: int | None = None) -> Column:
     combined = F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), body)
 
     def build(c: Column) -> Column:
@@ -161,6 +180,10 @@ def audience(text: Column, title: Column, head_chars: int | None = None, max_lab
 
 
 def age_limit(text: Column) -> Column:
+    return bind(dense(text), _age_limit)
+
+
+def _age_limit(text: Column) -> Column:
     def below(pattern: str, words: list[str]) -> Column:
         return F.concat(group(_where_word(text, words), pattern, 1), F.lit("周岁以下"))
 
@@ -171,27 +194,34 @@ def age_limit(text: Column) -> Column:
 
 def apply_channel(text: Column) -> Column:
     """First address unless it names an asset file, else a named platform."""
-    url = bind(_hit(text, V.CHANNEL_URL, ["http"]), lambda h: F.regexp_replace(h, "[.,;]+$", ""))
+    return bind(F.struct(text.alias("whole"), dense(text).alias("dense")), lambda x: _apply_channel(x["whole"], x["dense"]))
+
+
+def _apply_channel(whole: Column, text: Column) -> Column:
+    url = bind(_hit(whole, V.CHANNEL_URL, ["http"]), lambda h: F.regexp_replace(h, "[.,;]+$", ""))
     named = strip(group(_where_word(text, ["登录", "登陆", "通过", "进入", "访问"]), V.CHANNEL_NAME, 1))
     return F.coalesce(bind(url, lambda u: F.when(~u.rlike(V.CHANNEL_ASSET), u)), named)
 
 
-def summary(text: Column, max_chars: int = V.SUMMARY_MAX_CHARS) -> Column:
-    """First line with substance, cut for display."""
+def summary(text: Column, max_chars: int | None = None) -> Column:
+    """First line with substance; ``max_chars`` cuts it for display."""
     lines = F.transform(F.split(text, "\n"), strip)
     good = F.filter(lines, lambda x: (F.length(x) >= V.SUMMARY_MIN_CHARS)
                     & ~x.rlike(V.SUMMARY_DOC_NUMBER) & ~x.rlike(V.SUMMARY_BOILERPLATE))
-    return bind(F.get(good, F.lit(0)), lambda x: F.when(
+    first = F.get(good, F.lit(0))
+    return first if max_chars is None else bind(first, lambda x: F.when(
         F.length(x) > max_chars, F.concat(F.substring(x, 1, max_chars), F.lit("…"))).otherwise(x))
 
 
-def facts(text: Column, title: Column, head_chars: int | None = None) -> dict[str, Column]:
+def facts(text: Column, title: Column, thin: Column | None = None, head: Column | None = None) -> dict[str, Column]:
+    """The value of every fact.  ``thin`` is the dense text, ``head`` the part of it the audience is read from."""
+    thin = dense(text) if thin is None else thin
     return {
-        "deadline": deadline(text),
-        "amount_or_quota": amount(text),
-        "target_audience": audience(text, title, head_chars),
-        "age_limit": age_limit(text),
-        "apply_channel": apply_channel(text),
+        "deadline": _deadline(thin),
+        "amount_or_quota": _amount(thin),
+        "target_audience": _audience(thin if head is None else head, title),
+        "age_limit": _age_limit(thin),
+        "apply_channel": _apply_channel(text, thin),
         "raw_content": summary(text),
     }
 
@@ -199,9 +229,10 @@ def facts(text: Column, title: Column, head_chars: int | None = None) -> dict[st
 def apply_facts(notices: DataFrame, text: str = "main_text", head_chars: int | None = None) -> DataFrame:
     """Overwrite fields with facts found in the text; short texts change nothing."""
     usable = F.coalesce(F.length(text) >= V.MIN_DETAIL_CHARS, F.lit(False))
-    known = notices.withColumn("_body", F.when(usable, F.col(text)))
-    found = facts(F.col("_body"), F.col("title"), head_chars)
+    known = notices.withColumn("_body", F.when(usable, F.col(text))).withColumn("_dense", dense(F.col("_body")))
+    head = None if head_chars is None else dense(F.substring("_body", 1, head_chars))
+    found = facts(F.col("_body"), F.col("title"), F.col("_dense"), head)
     return known.withColumns({
         **{name: F.coalesce(value, F.col(name)) for name, value in found.items()},
         "detail_fetched": F.col("_body").isNotNull() | F.col("detail_fetched"),
-    }).drop("_body")
+    }).drop("_body", "_dense")

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from noticeboard import fixed_values as V
-from noticeboard.functions.text import array_of, bind, contains_any, sql_string
+from noticeboard.functions.text import array_of, bind, contains_any, reduced, sql_string
 
 
 @dataclass(frozen=True)
@@ -36,8 +36,16 @@ class Lexicon:
 
 def blocked_by(title: Column, blocklist: Sequence[str]) -> Column:
     """First blocklist term the title contains, NULL when there is none."""
-    return bind(title, lambda t: F.get(
-        F.filter(array_of(list(blocklist)), lambda x: F.contains(t, x)), F.lit(0)))
+    return bind(reduced(title, blocklist), lambda t: first_present(t, blocklist))
+
+
+def first_present(title: Column, blocklist: Sequence[str]) -> Column:
+    return F.get(F.filter(array_of(list(blocklist)), lambda x: F.contains(title, x)), F.lit(0))
+
+
+def relevant_part(title: Column, lexicon: Lexicon) -> Column:
+    """The title ``reduced`` to what the lexicon looks for: all of its tests may read it instead."""
+    return reduced(title, [*lexicon.terms, *lexicon.action_words, *lexicon.object_words, *lexicon.blocklist])
 
 
 def _term_table(lexicon: Lexicon) -> Column:
@@ -50,7 +58,10 @@ def _term_table(lexicon: Lexicon) -> Column:
 
 
 def matched_terms(title: Column, lexicon: Lexicon) -> Column:
-    """Terms that count: present, and in no longer term that is present too."""
+    """Terms that count: present, and in no longer term that is present too.
+
+    One look for each term, so ``title`` should be the ``reduced`` one.
+    """
     return F.filter(_term_table(lexicon), lambda x: F.contains(title, x["term"])
                     & ~F.exists(x["longer"], lambda s: F.contains(title, s)))
 
@@ -61,14 +72,17 @@ def score(title: Column, category: Column, source_name: Column, lexicon: Lexicon
     Weights are added longest term first, so sums equal a sequential fold bit
     for bit and comparisons with the threshold are stable.
     """
-    def build(t: Column) -> Column:
-        base = (F.aggregate(matched_terms(t, lexicon), F.lit(0.0), lambda acc, x: acc + x["weight"])
-                if lexicon.terms else F.lit(0.0))
-        pair = contains_any(t, lexicon.action_words) & contains_any(t, lexicon.object_words)
-        total = base + F.when(pair, V.PAIR_BONUS).otherwise(0.0)
-        total = total + F.when(category.isin(list(lexicon.categories)), V.CATEGORY_BONUS).otherwise(0.0)
-        total = total + F.when(contains_any(source_name, lexicon.source_hints), V.SOURCE_BONUS).otherwise(0.0)
-        total = total * F.when(F.length(t) < V.SHORT_TITLE_CHARS, V.SHORT_TITLE_FACTOR).otherwise(1.0)
-        return F.when(t == "", F.lit(0.0)).otherwise(total)
-
-    return bind(title, build)
+    return bind(F.struct(title.alias("whole"), relevant_part(title, lexicon).alias("part")),
+                lambda x: score_of(x["whole"], x["part"], category, source_name, lexicon))
+
+
+def score_of(title: Column, part: Column, category: Column, source_name: Column, lexicon: Lexicon) -> Column:
+    """The same, with the title's ``relevant_part`` at hand."""
+    base = (F.aggregate(matched_terms(part, lexicon), F.lit(0.0), lambda acc, x: acc + x["weight"])
+            if lexicon.terms else F.lit(0.0))
+    pair = contains_any(part, lexicon.action_words) & contains_any(part, lexicon.object_words)
+    total = base + F.when(pair, V.PAIR_BONUS).otherwise(0.0)
+    total = total + F.when(category.isin(list(lexicon.categories)), V.CATEGORY_BONUS).otherwise(0.0)
+    total = total + F.when(contains_any(source_name, lexicon.source_hints), V.SOURCE_BONUS).otherwise(0.0)
+    total = total * F.when(F.length(title) < V.SHORT_TITLE_CHARS, V.SHORT_TITLE_FACTOR).otherwise(1.0)
+    return F.when(title == "", F.lit(0.0)).otherwise(total)

@@ -30,6 +30,21 @@ def with_struct(df: DataFrame, value: Column) -> DataFrame:
     return df.select("*", F.inline_outer(F.array(value)))
 
 
+def first_by(items: Column, key: str) -> Column:
+    """The structs of an array whose ``key`` did not occur before, in their order.
+
+    Sorted by key and position, a struct is the first of its key if it differs from
+    the one before it: two sorts instead of a look at all earlier items for each.
+    """
+    def firsts(ordered: Column) -> Column:
+        fresh = F.filter(ordered, lambda x, i: (i == 0) | ~x["key"].eqNullSafe(F.get(ordered, i - 1)["key"]))
+        return F.transform(F.array_sort(F.transform(fresh, lambda x: F.struct(x["at"].alias("at"), x["item"].alias("item")))),
+                           lambda x: x["item"])
+
+    placed = F.transform(items, lambda x, i: F.struct(x[key].alias("key"), i.alias("at"), x.alias("item")))
+    return bind(F.array_sort(placed), firsts)
+
+
 def strip(c: Column) -> Column:
     """Trim all Unicode whitespace."""
     return F.btrim(c, F.lit(V.WS_CHARS))
@@ -57,6 +72,43 @@ def contains_any(c: Column, words: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(c, F.lit(w)) for w in words])
 
 
+def reduced(c: Column, words: Sequence[str]) -> Column:
+    """The text without runs of characters that occur in none of the words, each run one separator.
+
+    It contains a word exactly if the text does, so any number of words is looked
+    for after one pass over the text.  Characters close to each other are taken as
+    ranges; keeping some more does no harm.
+    """
+    points = sorted({ord(ch) for w in words for ch in w})
+    if not points:
+        return c
+    # two ranges at most: a test of many costs more than the few characters it would drop
+    widest = max(range(1, len(points)), key=lambda i: points[i] - points[i - 1], default=0)
+    edges = [0, widest, len(points)] if widest and points[widest] - points[widest - 1] > 2000 else [0, len(points)]
+    kept = [(points[a], points[b - 1]) for a, b in zip(edges, edges[1:])]
+    ranges = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in kept)
+    separator = next(chr(p) for p in (10, *range(1, 10), *range(11, 1 << 16)) if not any(a <= p <= b for a, b in kept))
+    return F.regexp_replace(c, f"[^{ranges}]+", separator)
+
+
+# all characters but CJK ones, digits, slashes and line ends
+_SPARSE = r"\x{1}-\x{9}\x{B}-\x{2E}\x{3A}-\x{2E7F}"
+_HEAD = 48
+
+
+def dense(c: Column) -> Column:
+    """The text without most of long stretches of other scripts.
+
+    Of a stretch without CJK characters, digits, slashes and line ends the first 48
+    characters stay, followed by a mark.  Patterns that begin with one of these
+    characters and bridge at most 30 others, or any number of blanks, find in it
+    what they find in the text, in the same order: a stretch of blanks alone stays
+    whole, and ``.*`` matches across as before.
+    """
+    stretch = f"([{_SPARSE}]{{{_HEAD}}})[{V.WS}&&[{_SPARSE}]]{{0,200}}+[{_SPARSE}&&[^{V.WS}]][{_SPARSE}]{{40,}}+"
+    return F.regexp_replace(c, stretch, "$1\x01")
+
+
 def sql_string(word: str) -> str:
     return "'" + word.replace("\\", "\\\\").replace("'", "\\'") + "'"
 

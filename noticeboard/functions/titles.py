@@ -16,10 +16,10 @@ def normalize_title(title: Column) -> Column:
     return F.translate(F.coalesce(title, F.lit("")), V.WS_CHARS + V.TITLE_MARKS, "")
 
 
-def clean_title(title: Column) -> Column:
+def clean_title(title: Column, squeezed: bool = False) -> Column:
     """Title without the date prefix, date suffix and 'more' link of a list row.
 
-    Blanks are collapsed first.  Once they are, a date suffix fits into a short tail, and a
+    Blanks are collapsed first, unless the title is ``squeezed`` already.  Once they are, a date suffix fits into a short tail, and a
     'more' link ends in an arrow, so long titles are not searched as a whole.
     """
     def without_date_suffix(t: Column) -> Column:
@@ -31,7 +31,8 @@ def clean_title(title: Column) -> Column:
         return F.when(t.endswith(">") | t.endswith("》"),
                       strip(F.regexp_replace(t, V.TITLE_MORE_SUFFIX, ""))).otherwise(t)
 
-    t = squeeze(F.coalesce(title, F.lit("")))
+    t = F.coalesce(title, F.lit(""))
+    t = t if squeezed else squeeze(t)
     t = F.regexp_replace(t, V.TITLE_DATE_PREFIX, "")
     return bind(bind(t, without_date_suffix), without_more)
 

@@ -24,5 +24,6 @@ def enrich_with_details(notices: DataFrame, details: DataFrame, key: str = "uniq
     if limit is not None:
         chosen = top_by_score(notices, limit, key).select(key)
         details = details.join(chosen, key, "left_semi")
-    joined = notices.join(details.select(key, "main_text"), key, "left")
+    # texts swell when they are read, so their stored size is no reason to broadcast them
+    joined = notices.join(details.select(key, "main_text").hint("merge"), key, "left")
     return apply_facts(joined, "main_text", head_chars).select(*notices.columns)

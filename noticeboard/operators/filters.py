@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from noticeboard import fixed_values as V
 from noticeboard.functions import dates, lexicon as lx, titles
-from noticeboard.functions.text import bind, squeeze, strip, with_struct
+from noticeboard.functions.text import bind, dense, squeeze, strip, with_struct
 
 
 @dataclass(frozen=True)
@@ -39,22 +39,25 @@ def is_fresh(age: Column, max_age_days: int | None) -> Column:
 
 
 def judge(notices: DataFrame, policy: Policy) -> DataFrame:
-    """Add title_clean, blocked_term, age_days, relevance_score and reason.
+    """Add title_clean, blocked_term, age_days, relevance_score and reason to ``validated`` notices.
 
     Cheap tests come first: a blocked or stale notice is never scored and its
     relevance_score stays NULL.
     """
     today = F.lit(policy.today).cast("date")
 
-    def tests(title: Column) -> Column:
+    def parts(title: Column) -> Column:
+        return F.struct(title.alias("title_clean"), lx.relevant_part(title, policy.lexicon).alias("part"))
+
+    def tests(t: Column) -> Column:
         return F.struct(
-            title.alias("title_clean"),
-            lx.blocked_by(title, policy.lexicon.blocklist).alias("blocked_term"),
+            t["title_clean"].alias("title_clean"), t["part"].alias("part"),
+            lx.first_present(t["part"], policy.lexicon.blocklist).alias("blocked_term"),
             dates.age_days(dates.publish_date(F.col("publish_date")), today).alias("age_days"))
 
     def scored(t: Column) -> Column:
         open_ = t["blocked_term"].isNull() & is_fresh(t["age_days"], policy.max_age_days)
-        value = lx.score(t["title_clean"], F.col("category"), F.col("source_name"), policy.lexicon)
+        value = lx.score_of(t["title_clean"], t["part"], F.col("category"), F.col("source_name"), policy.lexicon)
         return F.struct(t["title_clean"].alias("title_clean"), t["blocked_term"].alias("blocked_term"),
                         t["age_days"].alias("age_days"), F.when(open_, value).alias("relevance_score"))
 
@@ -66,8 +69,8 @@ def judge(notices: DataFrame, policy: Policy) -> DataFrame:
         return F.struct(*[t[c].alias(c) for c in ("title_clean", "blocked_term", "age_days", "relevance_score")],
                         reason.alias("reason"))
 
-    clean = titles.clean_title(F.col("title"))
-    return with_struct(notices, bind(bind(bind(clean, tests), scored), verdict))
+    clean = titles.clean_title(F.col("title"), squeezed=True)
+    return with_struct(notices, bind(bind(bind(bind(clean, parts), tests), scored), verdict))
 
 
 def funnel(judged: DataFrame) -> DataFrame:
@@ -83,14 +86,14 @@ def kept(judged: DataFrame) -> DataFrame:
 
 
 def enrich_from_title(notices: DataFrame) -> DataFrame:
-    title = F.col("title_clean")
-    return notices.withColumns({
-        "title": title,
+    title = F.col("_dense")
+    return notices.withColumn("_dense", dense(F.col("title_clean"))).withColumns({
+        "title": F.col("title_clean"),
         "target_audience": titles.title_audience(title, F.col("target_audience")),
         "amount_or_quota": titles.title_amount(title, F.col("amount_or_quota")),
         "notes": titles.title_notes(title, F.col("notes")),
         "category": titles.refine_category(title, F.col("category")),
-    }).drop("title_clean", "blocked_term", "age_days", "reason")
+    }).drop("title_clean", "blocked_term", "age_days", "reason", "_dense")
 
 
 def select_rules_by_city(rules: DataFrame, target: str) -> DataFrame:
@@ -117,8 +120,11 @@ def select_rules_by_subscription(rules: DataFrame, subscriptions: DataFrame | No
 
 
 def search(ledger: DataFrame, city: str | None = None, category: str | None = None,
-           text: str | None = None, limit: int = 100) -> DataFrame:
-    """Stored notices, newest first; text tests ignore ASCII case and treat % and _ as plain."""
+           text: str | None = None, limit: int | None = None) -> DataFrame:
+    """Stored notices, newest first; text tests ignore ASCII case and treat % and _ as plain.
+
+    ``limit`` cuts the result for display.
+    """
     def has(columns: Sequence[str], needle: str) -> Column:
         wanted = F.lit(needle.lower())
         out = F.lit(False)
@@ -133,4 +139,5 @@ def search(ledger: DataFrame, city: str | None = None, category: str | None = No
         out = out.filter(F.col("category") == category)
     if text:
         out = out.filter(has(["city", "district", "title", "source_name"], text.strip()))
-    return out.orderBy(F.desc("first_seen_at"), F.desc("publish_date"), "unique_id").limit(limit)
+    out = out.orderBy(F.desc("first_seen_at"), F.desc("publish_date"), "unique_id")
+    return out if limit is None else out.limit(limit)

@@ -144,5 +144,5 @@ def digest(batches: DataFrame, style: str = "markdown", header: str = "新政策
     label = F.array_join("_cities", "/") if max_cities is None else F.concat(
         F.array_join(F.slice("_cities", 1, max_cities), "/"), F.when(F.size("_cities") > max_cities, "等").otherwise(""))
     return out.select("batch_id", F.col("n").cast("int").alias("n"), "body", F.concat(
-        F.lit("【政策速递】"), label, F.lit(" "), F.col("n").cast("string"), F.lit(" 条新政策 · "), "headline", F.lit("…")
+        F.lit("【政策速递】"), label, F.lit(" "), F.col("n").cast("string"), F.lit(" 条新政策 · "), "headline", F.lit("" if headline_chars is None else "…")
     ).alias("subject"))

@@ -112,10 +112,9 @@ def sql_strip(t: str) -> str:
 
 
 def sql_summary(t: str) -> str:
-    line = (f"list_filter(list_transform(string_split({t}, chr(10)), lambda s: {sql_strip('s')}), "
+    return (f"list_filter(list_transform(string_split({t}, chr(10)), lambda s: {sql_strip('s')}), "
             f"lambda x: length(x) >= 25 AND NOT regexp_matches(x, {sql_text(V.SUMMARY_DOC_NUMBER)}) "
             f"AND NOT regexp_matches(x, {sql_text(V.SUMMARY_BOILERPLATE)}))[1]")
-    return f"left({line}, 130) || CASE WHEN length({line}) > 130 THEN '…' ELSE '' END"
 
 
 def sql_clean(t: str) -> str:

@@ -222,9 +222,9 @@ def a12(spark, sf):
 @query("p8_search", f"""WITH {B.OUTBOX_SQL} SELECT notice_id, city, title FROM outbox
 WHERE (contains(lower(city), 'city_1') OR contains(lower(district), 'city_1'))
   AND (contains(lower(title), 'high') OR contains(lower(source_name), 'high') OR contains(lower(city), 'high') OR contains(lower(district), 'high'))
-ORDER BY first_seen_at DESC, publish_date DESC NULLS LAST, unique_id LIMIT 9999""")
+ORDER BY first_seen_at DESC, publish_date DESC NULLS LAST, unique_id""")
 def p8(spark, sf):
-    return filters.search(B.outbox(spark, sf), city="city_1", text=" HIGH ", limit=9999).select("notice_id", "city", "title")
+    return filters.search(B.outbox(spark, sf), city="city_1", text=" HIGH ").select("notice_id", "city", "title")
 
 
 DIGEST_BATCH_SQL = B.OUTBOX_SQL + """,
@@ -250,8 +250,7 @@ def sql_digest(style: str) -> str:
     return "concat_ws(chr(10), " + ", ".join(lines) + ")"
 
 
-SUBJECT_SQL = """'【政策速递】' || array_to_string(cities[1:3], '/') || CASE WHEN len(cities) > 3 THEN '等' ELSE '' END
-  || ' ' || n || ' 条新政策 · ' || headline || '…' AS subject"""
+SUBJECT_SQL = """'【政策速递】' || array_to_string(cities, '/') || ' ' || n || ' 条新政策 · ' || headline AS subject"""
 
 
 def digest_sql(style: str) -> str:
@@ -259,7 +258,7 @@ def digest_sql(style: str) -> str:
 city_pos AS (SELECT batch_id, city, min(pos) AS p FROM batches GROUP BY 1, 2),
 city_lists AS (SELECT batch_id, list(city ORDER BY p) AS cities FROM city_pos GROUP BY 1),
 d AS (SELECT batch_id, count(*) AS n, string_agg({sql_digest(style)}, chr(10) ORDER BY pos) AS body,
-    left(arg_min(title, pos), 22) AS headline FROM batches GROUP BY 1)
+    arg_min(title, pos) AS headline FROM batches GROUP BY 1)
 SELECT batch_id, n, body, {SUBJECT_SQL} FROM d JOIN city_lists USING (batch_id)"""
 
 
@@ -270,21 +269,16 @@ def batches(spark, sf) -> DataFrame:
 
 @query("s17_digest_markdown", digest_sql("markdown"))
 def s17_markdown(spark, sf):
-    return reports.digest(batches(spark, sf), "markdown", headline_chars=22, max_cities=3)
+    return reports.digest(batches(spark, sf), "markdown")
 
 
 @query("s17_digest_plain", digest_sql("plain"))
 def s17_plain(spark, sf):
-    return reports.digest(batches(spark, sf), "plain", headline_chars=22, max_cities=3)
+    return reports.digest(batches(spark, sf), "plain")
 
 
-@query("s17_digest_wecom", f"""WITH {DIGEST_BATCH_SQL},
-d AS (SELECT batch_id, '### 🏠 新政策 · ' || count(*) || ' 条新动态' || chr(10) || chr(10)
-    || string_agg({sql_digest('wecom')}, chr(10) ORDER BY pos) AS body FROM batches GROUP BY 1),
-chars AS (SELECT batch_id, unnest(string_split(body, '')) AS ch, generate_subscripts(string_split(body, ''), 1) AS i FROM d),
-sized AS (SELECT *, sum(strlen(ch)) OVER (PARTITION BY batch_id ORDER BY i) AS bytes FROM chars),
-cut AS (SELECT batch_id, string_agg(ch, '' ORDER BY i) AS body FROM sized WHERE bytes <= {V.WECOM_MAX_BYTES} GROUP BY 1)
-SELECT batch_id, CASE WHEN strlen(d.body) > {V.WECOM_MAX_BYTES} THEN cut.body || chr(10) || chr(10) || '…（内容过长已截断）' ELSE d.body END AS body
-FROM d JOIN cut USING (batch_id)""")
+@query("s17_digest_wecom", f"""WITH {DIGEST_BATCH_SQL}
+SELECT batch_id, '### 🏠 新政策 · ' || count(*) || ' 条新动态' || chr(10) || chr(10)
+  || string_agg({sql_digest('wecom')}, chr(10) ORDER BY pos) AS body FROM batches GROUP BY 1""")
 def s17_wecom(spark, sf):
-    return reports.digest(batches(spark, sf), "wecom", max_bytes=V.WECOM_MAX_BYTES).select("batch_id", "body")
+    return reports.digest(batches(spark, sf), "wecom").select("batch_id", "body")

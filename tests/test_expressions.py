@@ -1,11 +1,14 @@
 """Literal inputs and expected values of the column expressions."""
 
+import random
 from urllib.parse import urljoin
 
 import pytest
 from pyspark.sql import functions as F
 
+from noticeboard import fixed_values as V
 from noticeboard.functions import admission, dates, facts, keys, lexicon, titles, urls
+from noticeboard.functions import text as T
 
 
 def values(spark, expr, inputs):
@@ -95,7 +98,8 @@ def test_audience_age_channel_summary(spark):
         "https://a.gov.cn/apply/x.", "https://a.gov.cn/x.pdf 登录“某市人才服务平台”", "现场"]) == [
         "https://a.gov.cn/apply/x", "某市人才服务平台", None]
     long = "内容" * 80
-    assert values(spark, facts.summary, ["各有关单位：" + "内容" * 20 + "\n" + long, "短"]) == [long[:130] + "…", None]
+    assert values(spark, facts.summary, ["各有关单位：" + "内容" * 20 + "\n" + long, "短"]) == [long, None]
+    assert values(spark, lambda c: facts.summary(c, V.SUMMARY_MAX_CHARS), [long, "短"]) == [long[:130] + "…", None]
 
 
 def test_admission(spark):
@@ -111,3 +115,45 @@ def test_actionable(spark):
                                   ("", "2026-01-01", None)], "a string, d string, p string")
     assert [r[0] for r in rows.select(keys.has_actionable_detail(F.col("a"), F.col("d"), F.col("p"))).collect()] == [
         False, True, True]
+
+
+WORDS = ["公告", "公告栏", "住房保障", "Notice", "名单a", "补贴", "a"]
+
+
+def test_reduced_texts_contain_the_same_words(spark):
+    r = random.Random(2)
+    texts = ["".join(r.choice([*WORDS, "公", "告", "notice", " ", "Note", "房 保", "z" * 9, "\n"]) for _ in range(r.randrange(30))) for _ in range(200)]
+    for words in (WORDS, WORDS[:3], [], ["\n"]):
+        got = values(spark, lambda c: T.reduced(c, words), texts)
+        assert [[w in t for w in words] for t in texts] == [[w in t for w in words] for t in got]
+        assert all(len(g) <= len(t) for t, g in zip(texts, got))
+
+
+def test_dense_texts_hold_the_same_facts(spark):
+    r = random.Random(3)
+    prose = ["the quick brown fox jumps over the lazy dog " * 6, "naïve éé ", " " * 300, "\n", "x" * 200, "see https://a.example.org/" + "p" * 90 + " now ",
+             "2025-3-4", " - ", "至", "below"]
+    facts_ = ["年龄在42岁以下", "年龄 35 岁 below ", "截止日期：2025年4月6日", "一次性", "补贴", "博士5万元、硕士4万元", "通过", "青年服务小程序", "毕业四年内", "提供64套", "每月 860 元"]
+    texts = ["".join(r.choice(prose if r.random() < 0.6 else facts_) for _ in range(r.randrange(1, 14))) for _ in range(300)]
+    thin = values(spark, T.dense, texts)
+    assert sum(map(len, thin)) < 0.6 * sum(map(len, texts))
+    pattern = "一次性.*补贴|租赁"
+    raw = {"deadline": facts._deadline, "amount": facts._amount, "audience": lambda c: facts._audience(c, F.lit("t")), "age": facts._age_limit,
+           "channel": lambda c: facts._apply_channel(c, c), "category": lambda c: c.rlike(pattern), "batch": lambda c: titles.title_notes(c, F.lit(None))}
+    for name, expr in raw.items():
+        assert values(spark, expr, texts) == (values(spark, expr, thin) if name != "channel" else values(spark, facts.apply_channel, texts)), name
+    assert any(values(spark, facts.deadline, texts)) and any(values(spark, facts.age_limit, texts))
+
+
+def test_first_of_each_key_in_order(spark):
+    rows = spark.createDataFrame([([("b", 1), ("a", 2), ("b", 3), (None, 4), ("a", 5), (None, 6), ("c", 7)],), ([],)], "x array<struct<k:string,n:int>>")
+    got = [[y.n for y in r[0]] for r in rows.select(T.first_by(F.col("x"), "k")).collect()]
+    assert got == [[1, 2, 4, 7], []]
+
+
+def test_many_terms(spark):
+    lex = lexicon.Lexicon(terms={chr(0x4E00 + i % 5000) + chr(0x4E00 + i // 7) + "房": 1.0 for i in range(2000)}, blocklist=())
+    titles_ = ["一一房屋和" + "long english text " * 400, "丁一房丂一房"]
+    got = values(spark, lambda c: lexicon.score(c, F.lit("x"), F.lit("y"), lex), titles_)
+    want = [sum(w for t, w in lex.terms.items() if t in x) * (0.5 if len(x) < 10 else 1) for x in titles_]
+    assert got == want and got[0] > 0
