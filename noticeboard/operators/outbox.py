@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticeboard import fixed_values as V
@@ -118,12 +118,25 @@ def run_summary(queue: DataFrame, deliveries: DataFrame) -> DataFrame:
         F.when(F.col("attempted") == 0, "no_pending").when(F.col("n") == 0, "no_channel").alias("skipped_reason"))
 
 
+def stored_versions(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a ledger whose batches were written with fewer or more columns over time.
+
+    The columns of all files are united; where a file lacks one, its rows have NULL
+    there, for ``backfill`` to fill in.  Footers are read by tasks.
+    """
+    return spark.read.option("mergeSchema", "true").parquet(path)
+
+
 def backfill(ledger: DataFrame, expected: dict[str, str], defaults: dict[str, object] | None = None) -> DataFrame:
-    """Add missing columns with their defaults and compute missing keys; stored keys stay."""
+    """Add missing columns, fill in defaults and compute missing keys; stored values stay.
+
+    A column with a default has no NULL afterwards: a row older than the column
+    reads like one written with the default.
+    """
     out = ledger
     for name, kind in expected.items():
-        if name not in out.columns:
-            out = out.withColumn(name, F.lit((defaults or {}).get(name)).cast(kind))
+        default = F.lit((defaults or {}).get(name)).cast(kind)
+        out = out.withColumn(name, F.coalesce(F.col(name), default) if name in out.columns else default)
     return out.withColumns({
         "canonical_url": F.coalesce("canonical_url", keys.normalize_url(F.col("url"))),
         "dedup_key": F.coalesce("dedup_key", keys.dedup_key(F.col("city"), F.col("title"))),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from noticeboard.operators import health, reports
 from noticeboard.plans import bindings as B
 from noticeboard.plans.queries_ledger import STATES_SQL, STATS_DAY
 from noticeboard.plans.registry import query
+from noticeboard.session import scratch_path
+from noticeboard.streaming.dated_log import DatedLog
 
 LATEST_SQL = B.RUN_LOG_SQL + f""",
 numbered AS (SELECT *, row_number() OVER (PARTITION BY city, source_name ORDER BY created_at DESC, id DESC) AS rn FROM run_log),
@@ -82,6 +86,18 @@ def i7(spark, sf):
     return health.prune_log(B.run_log(spark, sf), F.to_timestamp(F.lit("2024-02-10 12:00:00"))).select("id")
 
 
+@query("i7_dated_log", f"WITH {B.RUN_LOG_SQL} SELECT id, status, created_at FROM run_log WHERE CAST(created_at AS DATE) >= DATE '2024-01-21'")
+def i7_dated(spark, sf):
+    """The run log stored in three batches, merged and pruned twice; old days are gone as partitions."""
+    log, runs = DatedLog(spark, scratch_path(spark, "dated")), B.run_log(spark, sf)
+    for n in range(3):
+        log.write(runs.filter(F.col("id") % 3 == n), n)
+        log.merge(n - 1)
+    for day in (11, 21):
+        log.keep_from(dt.date(2024, 1, day))
+    return log.rows().select("id", "status", "created_at")
+
+
 RESULTS_SQL = """
 results AS (SELECT event_id AS id, 'source ' || user_id AS source_name, 'city ' || (user_id % 12) AS city,
     CASE WHEN event_type = 'error' THEN repeat(props || ' ', 1 + event_id % 60) WHEN event_type = 'view' AND event_id % 5 = 0 THEN '' END AS error,

@@ -192,6 +192,28 @@ def i8(spark, sf):
     return full.select("notice_id", "canonical_url", "dedup_key", "notify_attempts", "district")
 
 
+@query("i8_mixed_versions", f"""WITH {B.OUTBOX_SQL},
+o AS (SELECT notice_id, title, city, 'HTTP://X.example.org:80/n/' || notice_id || '?b=2&a=1#top' AS url, attempts, notice_id % 3 AS version FROM (
+  SELECT notice_id, title, city, notify_attempts AS attempts FROM outbox))
+SELECT notice_id, 'https://x.example.org/n/' || notice_id || '?a=1&b=2' AS canonical_url,
+  CASE WHEN version = 2 THEN 'stored ' || notice_id ELSE md5(city || '|' || {sql_norm_title('title')}) END AS dedup_key,
+  CASE WHEN version = 0 THEN 0 ELSE attempts END AS notify_attempts, CASE WHEN version = 2 THEN 'east' ELSE '{V.WHOLE_CITY}' END AS district FROM o""")
+def i8_versions(spark, sf):
+    """A ledger whose batches have four, five and eight columns, read as one and brought up to date."""
+    root, i = scratch_path(spark, "versions"), F.col("notice_id")
+    name = i.cast("string")
+    rows = B.outbox(spark, sf).withColumn("url", F.concat(F.lit("HTTP://X.example.org:80/n/"), name, F.lit("?b=2&a=1#top")))
+    first, added = ["notice_id", "title", "city", "url"], {
+        "canonical_url": F.concat(F.lit("https://x.example.org/n/"), name, F.lit("?a=1&b=2")),
+        "dedup_key": F.concat(F.lit("stored "), name), "district": F.lit("east")}
+    rows.filter(i % 3 == 0).select(*first).write.parquet(f"{root}/batch=0")
+    rows.filter(i % 3 == 1).select(*first, "notify_attempts").write.parquet(f"{root}/batch=1")
+    rows.filter(i % 3 == 2).withColumns(added).select(*first, "notify_attempts", *added).write.parquet(f"{root}/batch=2")
+    full = outbox.backfill(outbox.stored_versions(spark, root), {"district": "string", "notify_attempts": "int"},
+                           {"district": V.WHOLE_CITY, "notify_attempts": 0})
+    return full.select("notice_id", "canonical_url", "dedup_key", "notify_attempts", "district")
+
+
 # --- reports ---------------------------------------------------------------------
 STATES_SQL = ", ".join(f"count(*) FILTER (state = {s}) AS {n}" for s, n in V.STATE_NAMES.items())
 STATS_DAY = "1998-03-15"
