@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeboard.functions.keys import with_keys
+from noticeboard import fixed_values as V
+from noticeboard.functions.keys import unique_id
+from noticeboard.functions.urls import normalize_url, resolve_url
 from noticeboard.operators import health, outbox
 from noticeboard.plans import bindings as B
 from noticeboard.plans import round as rounds
 from noticeboard.plans.queries_health import LATEST_SQL, ROUNDS_SQL
 from noticeboard.plans.queries_ledger import ATTEMPTS_SQL, KEYED_SQL, NOW_TEXT, attempts, greedy_sql, keyed, ledger, now
-from noticeboard.plans.queries_notices import POLICY, sql_clean_title, sql_norm_title, sql_refine, sql_score
-from noticeboard.plans.queries_sources import LISTING_SQL, listing_pages
+from noticeboard.plans.queries_notices import POLICY, sql_clean_title, sql_norm_title, sql_refine, sql_score, sql_url
+from noticeboard.plans.queries_sources import LISTING_SQL, listing_pages, listing_rows
 from noticeboard.plans.registry import query
 from noticeboard.session import scratch_path
 from noticeboard.streaming import streams
 from noticeboard.streaming.batch_log import BatchLog
+from noticeboard.streaming.dated_log import DatedLog
 
 # --- full round over the listing pages made of orders ---------------------------------
 TODAY = "2019-06-30"
@@ -71,6 +77,93 @@ def i9_second(spark, sf):
     return ledger.only(1).select("title", "url", "city", "category", "publish_date", F.round("relevance_score", 6).alias("relevance_score"))
 
 
+# --- rounds with every kind of input, deliveries, retention and alerts -------------------
+DETAIL = "经研究，现将有关事项公告如下，请符合条件的单位和个人按要求准备材料并提交申请，报名不得晚于2025年4月6日，逾期不再受理。"
+FULL_RULE = ("id string, city string, district string, source_name string, category string, url string, parser_type string, "
+             "selectors struct<list_item:string,title:string,link:string,date:string>, "
+             "json_path struct<list:string,title:string,link:string,date:string,html:string>")
+LAST_PAGES = (12, 40)
+
+
+def every_input(spark, sf) -> rounds.Inputs:
+    """HTML pages, the same kind of pages inside JSON bodies, JSON listings, and details of every second notice."""
+    shown = listing_pages(spark, sf).withColumn("page", (F.floor(F.col("page_no") / 3) + 1).cast("int"))
+    inside = shown.filter("rule_id = 'r1'").select(
+        F.lit("x1").alias("rule_id"), "url", "page", F.to_json(F.struct(F.struct("html").alias("data"))).alias("body"))
+    number = F.col("page_no").cast("string")
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "title", "href", "day"))), lambda x: F.struct(
+        x["title"].alias("name"), x["href"].alias("link"), x["day"].alias("pubDate")))
+    plain = listing_rows(spark, sf).filter("kind = 2").groupBy("page_no").agg(F.to_json(F.struct(rows.alias("rows"))).alias("body")).select(
+        F.lit("j2").alias("rule_id"), F.concat(F.lit("https://gov"), number, F.lit(".example.org/list/a/api")).alias("url"),
+        (F.floor(F.col("page_no") / 3) + 1).cast("int").alias("page"), "body")
+    pages, bodies = shown.filter("rule_id = 'r0'").select("rule_id", "url", "page", "html"), inside.unionByName(plain)
+    rules = spark.createDataFrame(
+        [("r0", "深圳", "全市", "住房保障中心", "housing", "https://gov.example.org", "html", ("ul.news-list li", "a", "a", "span.date"), None),
+         ("x1", "北京", "全市", "人社局", "subsidy", "https://gov.example.org", "json_html", ("table.list tr", "a", "a", None), None),
+         ("j2", "上海", "全市", "人社局", "employment", "https://gov.example.org", "json", None, ("rows", "name", "link", "pubDate", None)),
+         ("b3", "广州", "全市", "政府网", "other", "gov", "html", None, None)], FULL_RULE)
+    log = pages.select("rule_id", "page", F.lit("html").alias("kind")).unionByName(
+        bodies.select("rule_id", "page", F.when(F.col("rule_id") == "x1", "json_html").otherwise("json").alias("kind")))
+    log = log.withColumns({"http_status": F.when((F.col("rule_id") == "x1") & (F.col("page") == 90), 500).otherwise(200),
+                           "error": F.lit(None).cast("string")})
+    seen = listing_rows(spark, sf).filter(F.col("o_orderkey") % 2 == 0)
+    address = resolve_url(F.concat(F.lit("https://gov"), number, F.lit(".example.org/list/a/api")), F.col("href"))
+    texts = seen.select(unique_id(normalize_url(address)).alias("unique_id"), F.lit(DETAIL).alias("main_text"))
+    return rounds.Inputs(rules, pages, log, details=texts, responses=bodies)
+
+
+def until(inputs: rounds.Inputs, page: int) -> rounds.Inputs:
+    read = F.col("page") <= page
+    return replace(inputs, pages=inputs.pages.filter(read), fetch_log=inputs.fetch_log.filter(read), responses=inputs.responses.filter(read))
+
+
+_KINDS = "CASE kind WHEN 0 THEN {0} WHEN 1 THEN {1} ELSE {2} END"
+_QUEUE = "ORDER BY publish_date DESC NULLS LAST, score DESC, seen DESC, uid LIMIT 30"
+EVERY_SQL = LISTING_SQL + f""",
+found AS (SELECT o_orderkey, page_no, kind, title, url, publish_date FROM listed WHERE kind = 0 OR (kind = 1 AND page_no // 3 + 1 < 90)
+  UNION ALL SELECT o_orderkey, page_no, kind, title, CASE WHEN o_orderkey % 10 = 3 THEN 'javascript:void(0)'
+    WHEN o_orderkey % 10 = 5 THEN 'https://gov' || page_no || '.example.org/f/' || o_orderkey || '.PDF?x=1' ELSE url END AS url, publish_date
+  FROM listing_rows WHERE kind = 2 AND o_orderkey % 10 <> 7
+    AND (o_orderkey % 10 <> 3 OR o_orderkey = (SELECT min(o_orderkey) FROM listing_rows WHERE kind = 2 AND o_orderkey % 10 = 3))),
+items AS (SELECT *, {_KINDS.format("'深圳'", "'北京'", "'上海'")} AS city, {_KINDS.format("'housing'", "'subsidy'", "'employment'")} AS category,
+    {_KINDS.format("'住房保障中心'", "'人社局'", "'人社局'")} AS source_name FROM found),
+cleaned AS (SELECT *, {sql_clean_title('title')} AS title_clean FROM items),
+scored AS (SELECT *, {sql_score('title_clean', 'category', 'source_name')} AS score,
+    list_filter({B.sql_list(list(POLICY.lexicon.blocklist))}, lambda t: contains(title_clean, t))[1] AS blocked FROM cleaned),
+relevant AS MATERIALIZED (SELECT *, {sql_refine('title_clean', 'category')} AS refined, md5({sql_url('url')}) AS uid,
+    CASE WHEN page_no // 3 + 1 <= {LAST_PAGES[0]} THEN 0 WHEN page_no // 3 + 1 <= {LAST_PAGES[1]} THEN 1 ELSE 2 END AS seen
+  FROM scored WHERE blocked IS NULL AND score >= 2.5 AND coalesce(datediff('day', CAST(publish_date AS DATE), DATE '{TODAY}') <= 1500, true)),
+q0 AS (SELECT o_orderkey FROM relevant WHERE seen = 0 {_QUEUE}),
+q1 AS (SELECT o_orderkey FROM relevant WHERE seen <= 1 {_QUEUE}),
+q2 AS (SELECT o_orderkey FROM relevant {_QUEUE})"""
+
+
+@query("i9_every_input", f"""WITH {EVERY_SQL} SELECT title_clean AS title, url, city, refined AS category, publish_date,
+  round(score, 6) AS relevance_score, CASE WHEN o_orderkey IN (FROM q2) THEN 1 ELSE 0 END AS state,
+  CASE WHEN o_orderkey IN (FROM q0) THEN 1 ELSE 0 END + CASE WHEN o_orderkey IN (FROM q1) THEN 1 ELSE 0 END AS notify_attempts,
+  o_orderkey % 2 = 0 AS detail_fetched, CASE WHEN o_orderkey % 2 = 0 THEN '2025年4月6日' ELSE '{V.DEADLINE_UNKNOWN}' END AS deadline,
+  4 AS sources, 1 AS broken, true AS alert_due FROM relevant""")
+def i9_every(spark, sf):
+    """Three rounds that read further each time; two deliveries fail, the third works; an alert is due for the refused rule."""
+    inputs = every_input(spark, sf)
+    ledger, outcomes, alerts = (BatchLog(spark, scratch_path(spark, name)) for name in ("ledger", "outcomes", "alerts"))
+    log = DatedLog(spark, scratch_path(spark, "run_log"))
+    for n, last in enumerate([*LAST_PAGES, None]):
+        at = F.to_timestamp(F.lit(NOW_TEXT)) + F.make_dt_interval(F.lit(n))
+        queue = rounds.run_round(inputs if last is None else until(inputs, last), ROUND_POLICY, at, ledger, log, n,
+                                 cold_start_baseline=False, outcomes=outcomes)
+        sent = spark.range(2).select(
+            F.col("id").cast("int").alias("channel_pos"), F.when(F.col("id") == 0, "mail").otherwise("hook").alias("channel"),
+            ((F.col("id") == 1) & F.lit(last is None)).alias("ok"), F.lit("down").alias("error"), at.alias("at"))
+        rounds.record_delivery(queue, sent, outcomes, n)
+        due = rounds.alert_due(log, alerts, n, at)
+        log.prune(dt.datetime.fromisoformat(NOW_TEXT) + dt.timedelta(days=n), V.KEEP_LOG_DAYS)
+    return rounds.current_ledger(ledger, outcomes).select(
+        "title", "url", "city", "category", "publish_date", F.round("relevance_score", 6).alias("relevance_score"), "state",
+        "notify_attempts", "detail_fetched", "deadline", due.select("total").scalar().alias("sources"),
+        due.select("broken").scalar().alias("broken"), due.select("due").scalar().alias("alert_due"))
+
+
 @query("i10_dry_run", f"WITH {ROUND_SQL} SELECT title_clean AS title, url, round(score, 6) AS relevance_score FROM relevant")
 def i10(spark, sf):
     return rounds.dry_run(round_inputs(spark, sf), ROUND_POLICY, now()).select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from noticeboard.plans.queries_facts import sql_clean, sql_strip
 from noticeboard.plans.queries_ledger import KEYED_SQL, keyed
 from noticeboard.plans.queries_notices import JUDGED_SQL, KEPT_SQL, judged, kept, sql_text
 from noticeboard.plans.registry import query
+from noticeboard.session import scratch_path
 from noticeboard.sources import fetched, html_nodes, listing, rules as rule_ops
 
 
@@ -126,6 +129,16 @@ def s4(spark, sf):
     return nodes.groupBy("page_id").agg(*counts, texts.alias("title"))
 
 
+@query("s4_nodes_in_sql", f"""SELECT page_id, {_count_sql('a')} AS n_a, {_count_sql('p')} AS n_p, {_count_sql('li')} AS n_li, {_count_sql('h1')} AS n_h1,
+  len(regexp_extract_all(html, ' href="')) AS n_links FROM pages""")
+def s4_sql(spark, sf):
+    """Nodes by the table function, in a lateral join."""
+    html_nodes.register_nodes_function(spark, chrome_tags=())
+    counts = ", ".join(f"count_if(tag = '{t}') AS n_{t}" for t in ("a", "p", "li", "h1"))
+    return spark.sql(f"SELECT page_id, {counts}, count_if(map_contains_key(attrs, 'href')) AS n_links "
+                     "FROM {pages}, LATERAL html_nodes(html) GROUP BY page_id", pages=B.table(spark, sf, "pages"))
+
+
 @query("x1_main_text_on_pages")
 def x1_pages(spark, sf):
     pages = B.table(spark, sf, "pages").withColumn("nodes", html_nodes.nodes_of(F.col("html")))
@@ -228,6 +241,39 @@ def s3(spark, sf):
     return fetched.decode_pages(raw).select("page_id", "charset", "html")
 
 
+CHARSETS = [None, "gbk", "utf-16"]
+
+
+def page_files(spark, sf) -> str:
+    """A new folder with every page as one file, in one of three charsets that only its bytes tell."""
+    folder = scratch_path(spark, "page-files")
+
+    def store(batches):
+        files, root = pyarrow.fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for row in batch.to_pylist():
+                charset = CHARSETS[row["page_id"] % 3]
+                sub = f"{root}/{row['page_id'] % 64}"
+                files.create_dir(sub)
+                head = f'<meta charset="{charset}">' if charset == "gbk" else ""
+                # a task that runs again writes the same bytes
+                with files.open_output_stream(f"{sub}/{row['page_id']}.html") as out:
+                    out.write((head + (row["html"] or "")).encode("gb18030" if charset == "gbk" else charset or "utf-8"))
+                yield pa.RecordBatch.from_pydict({"page_id": [row["page_id"]]})
+
+    pages = B.table(spark, sf, "pages").select("page_id", "html")
+    pages.mapInArrow(store, "page_id long").write.format("noop").mode("overwrite").save()
+    return folder
+
+
+@query("s3_page_files", """SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'gb18030' ELSE 'utf-16' END AS charset,
+  CASE WHEN page_id % 3 = 1 THEN '<meta charset="gbk">' || html ELSE html END AS html FROM pages""")
+def s3_files(spark, sf):
+    files = fetched.page_files(spark, page_files(spark, sf), "*.html")
+    number = F.regexp_extract("path", r"(\d+)\.html$", 1).cast("long")
+    return fetched.decode_pages(files).select(number.alias("page_id"), "charset", "html")
+
+
 # --- frontier, dedup within a source, outcomes -------------------------------------------------
 @query("s12_contiguous_prefix", """SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem l
 WHERE NOT EXISTS (SELECT 1 FROM lineitem f WHERE f.l_orderkey = l.l_orderkey AND f.l_returnflag = 'A' AND f.l_linenumber <= l.l_linenumber)
@@ -239,8 +285,8 @@ def s12(spark, sf):
 
 @query("w4_first_failure", "SELECT l_orderkey, min(l_linenumber) AS first_failed FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1")
 def w4(spark, sf):
-    f = B.table(spark, sf, "lineitem").filter(F.col("l_returnflag") == "A")
-    return f.groupBy("l_orderkey").agg(F.min("l_linenumber").alias("first_failed"))
+    f = B.table(spark, sf, "lineitem").withColumn("failed", F.col("l_returnflag") == "A")
+    return fetched.first_failures(f, "l_orderkey", "l_linenumber")
 
 
 @query("s12_page_frontier", """SELECT 'r' || s_suppkey AS id, p AS page,
@@ -323,9 +369,24 @@ def s2(spark, sf):
     return rule_ops.check_rules(flawed_rules(spark, sf)).select("id", F.array_join("problems", "; ").alias("problems"))
 
 
+SELECTORS = ["ul.news li", "li:first-child", "a[href]", "#main > p", "td.date, em", ""]
+
+
+@query("s2_selector_problems", f"""WITH {RULES_SQL} SELECT id, array_to_string({PROBLEMS_SQL}, '; ') AS problems,
+  array_to_string(list_filter([CASE WHEN pos % 6 IN (1, 2, 3) THEN 'list_item: ' || {B.sql_pick(SELECTORS, 'pos')} END,
+    CASE WHEN pos % 6 IN (0, 1, 2) THEN 'date: ' || {B.sql_pick(SELECTORS, 'pos + 1')} END], lambda x: x IS NOT NULL), '; ') AS selector_problems FROM rules""")
+def s2_selectors(spark, sf):
+    chosen = F.struct(B.pick(SELECTORS, F.col("pos")).alias("list_item"), F.lit("a").alias("title"), F.lit(None).cast("string").alias("link"),
+                      B.pick(SELECTORS, F.col("pos") + 1).alias("date"))
+    checked = rule_ops.check_rules(flawed_rules(spark, sf).withColumn("selectors", chosen))
+    return checked.select("id", *[F.array_join(c, "; ").alias(c) for c in ("problems", "selector_problems")])
+
+
 @query("s1_rule_listing", f"WITH {RULES_SQL} SELECT id, city, source_name, count(*) OVER () AS total FROM rules")
 def s1(spark, sf):
-    r = rules(spark, sf)
+    path = scratch_path(spark, "rules") + ".jsonl"
+    rules(spark, sf).write.json(path)
+    r = rule_ops.load_rules(spark, path)
     return r.select("id", "city", "source_name", r.agg(F.count("*").alias("total")).scalar().alias("total"))
 
 

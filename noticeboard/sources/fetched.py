@@ -5,7 +5,7 @@ from __future__ import annotations
 import codecs
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticeboard import fixed_values as V
@@ -99,6 +99,18 @@ def decode_pages(pages: DataFrame, content: str = "content") -> DataFrame:
         F.when(plain, F.make_valid_utf8(F.col(content).cast("string"))), other))
 
 
+def page_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """Pages stored one per file below ``path``: ``path, content, header_charset, forced_charset``.
+
+    A byte order mark forces the charset it tells; otherwise ``decode_pages`` looks
+    for a meta tag.  Files are packed into tasks by size, whatever their folder.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    mark = F.hex(F.substring("content", 1, 3))
+    told = (F.when(mark == "EFBBBF", "utf-8-sig").when(F.substring(mark, 1, 4).isin("FFFE", "FEFF"), "utf-16"))
+    return files.select("path", "content", F.lit(None).cast("string").alias("header_charset"), told.alias("forced_charset"))
+
+
 # --------------------------------------------------------------------------
 # outcomes
 # --------------------------------------------------------------------------

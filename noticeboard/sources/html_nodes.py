@@ -10,10 +10,10 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticeboard import fixed_values as V
@@ -200,3 +200,28 @@ def nodes_table(pages: DataFrame, html_column: str = "html", key: str = "page_id
         key, "node_id", F.col("n.parent").alias("parent_id"), F.size("n.path").alias("depth"), F.col("n.tag").alias("tag"),
         F.col("n.html_id").alias("id"), F.col("n.classes").alias("classes"), F.col("n.attrs").alias("attrs"),
         F.col("n.text").alias("own_text"), F.col("n.path").alias("path"))
+
+
+_TABLE_TYPE = ("node_id int, parent_id int, depth int, tag string, id string, classes array<string>, attrs map<string,string>, "
+               "own_text string, path array<int>")
+
+
+def register_nodes_function(spark: SparkSession, name: str = "html_nodes", chrome_tags: Sequence[str] = tuple(V.CHROME_TAGS)) -> None:
+    """Make the nodes of a page a table function of SQL: ``FROM pages, LATERAL html_nodes(html)``.
+
+    Columns are those of ``nodes_table`` behind the key; a NULL page has no rows.
+    Lateral joins take no Arrow-optimized table functions, so jobs over many pages
+    use ``nodes_table``.
+    """
+    tags = frozenset(chrome_tags)
+
+    class Nodes:
+        def eval(self, page: str) -> Iterator[tuple]:
+            found = parse(page or "", tags)
+            for i, chrome in enumerate(found.chrome):
+                if page is not None and not chrome:
+                    attrs = found.attrs[i] or {}
+                    yield (i, found.parent[i], len(found.path[i]), found.tag[i], attrs.get("id"), attrs.get("class", "").split(),
+                           attrs, found.text[i], found.path[i])
+
+    spark.udtf.register(name, F.udtf(Nodes, returnType=_TABLE_TYPE, useArrow=False))

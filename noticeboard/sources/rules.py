@@ -11,7 +11,7 @@ from noticeboard.schemas import RULE
 
 
 def load_rules(spark: SparkSession, path: str) -> DataFrame:
-    """Rules from a YAML file (one mapping with the list ``rules``) or from JSON documents.
+    """Rules from a YAML file (one mapping with the list ``rules``), from JSON lines (``.jsonl``) or from JSON documents.
 
     A rule file is configuration written by hand, so YAML is read where the job starts.
     """
@@ -24,7 +24,7 @@ def load_rules(spark: SparkSession, path: str) -> DataFrame:
             data = yaml.safe_load(f) or {}
         rows = [_plain(r) for r in data.get("rules", []) if isinstance(r, dict)]
         return spark.createDataFrame(rows, RULE)
-    return spark.read.schema(RULE).json(path, multiLine=True)
+    return spark.read.schema(RULE).json(path, multiLine=not path.rstrip("/").endswith(".jsonl"))
 
 
 def _plain(rule: dict) -> dict:
@@ -61,8 +61,10 @@ def selector_problems(selectors: Column) -> Column:
 
 
 def check_rules(rules: DataFrame) -> DataFrame:
-    return rules.withColumn("problems", rule_problems(
+    """Add ``problems``, which refuse a rule, and ``selector_problems``, which do not, if the rules have selectors."""
+    checked = rules.withColumn("problems", rule_problems(
         F.col("url"), F.col("city"), F.col("source_name"), F.col("parser_type")))
+    return checked.withColumn("selector_problems", selector_problems(F.col("selectors"))) if "selectors" in rules.columns else checked
 
 
 def upsert_rules(rules: DataFrame, changes: DataFrame) -> DataFrame:
