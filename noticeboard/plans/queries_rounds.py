@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from noticeboard import fixed_values as V
 from noticeboard.functions.keys import unique_id
-from noticeboard.functions.urls import normalize_url, resolve_url
+from noticeboard.functions.urls import resolve_url
 from noticeboard.operators import health, outbox
 from noticeboard.plans import bindings as B
 from noticeboard.plans import round as rounds
@@ -82,7 +82,7 @@ DETAIL = "经研究，现将有关事项公告如下，请符合条件的单位
 FULL_RULE = ("id string, city string, district string, source_name string, category string, url string, parser_type string, "
              "selectors struct<list_item:string,title:string,link:string,date:string>, "
              "json_path struct<list:string,title:string,link:string,date:string,html:string>")
-LAST_PAGES = (12, 40)
+LAST_PAGE, KEEP_DAYS = 12, 60
 
 
 def every_input(spark, sf) -> rounds.Inputs:
@@ -108,7 +108,7 @@ def every_input(spark, sf) -> rounds.Inputs:
                            "error": F.lit(None).cast("string")})
     seen = listing_rows(spark, sf).filter(F.col("o_orderkey") % 2 == 0)
     address = resolve_url(F.concat(F.lit("https://gov"), number, F.lit(".example.org/list/a/api")), F.col("href"))
-    texts = seen.select(unique_id(normalize_url(address)).alias("unique_id"), F.lit(DETAIL).alias("main_text"))
+    texts = seen.withColumn("address", address).select(unique_id(F.col("address")).alias("unique_id"), F.lit(DETAIL).alias("main_text"))
     return rounds.Inputs(rules, pages, log, details=texts, responses=bodies)
 
 
@@ -131,33 +131,39 @@ cleaned AS (SELECT *, {sql_clean_title('title')} AS title_clean FROM items),
 scored AS (SELECT *, {sql_score('title_clean', 'category', 'source_name')} AS score,
     list_filter({B.sql_list(list(POLICY.lexicon.blocklist))}, lambda t: contains(title_clean, t))[1] AS blocked FROM cleaned),
 relevant AS MATERIALIZED (SELECT *, {sql_refine('title_clean', 'category')} AS refined, md5({sql_url('url')}) AS uid,
-    CASE WHEN page_no // 3 + 1 <= {LAST_PAGES[0]} THEN 0 WHEN page_no // 3 + 1 <= {LAST_PAGES[1]} THEN 1 ELSE 2 END AS seen
+    CASE WHEN page_no // 3 + 1 <= {LAST_PAGE} THEN 0 ELSE 1 END AS seen
   FROM scored WHERE blocked IS NULL AND score >= 2.5 AND coalesce(datediff('day', CAST(publish_date AS DATE), DATE '{TODAY}') <= 1500, true)),
-q0 AS (SELECT o_orderkey FROM relevant WHERE seen = 0 {_QUEUE}),
-q1 AS (SELECT o_orderkey FROM relevant WHERE seen <= 1 {_QUEUE}),
-q2 AS (SELECT o_orderkey FROM relevant {_QUEUE})"""
+first AS (SELECT o_orderkey FROM relevant WHERE seen = 0 {_QUEUE}),
+second AS (SELECT o_orderkey FROM relevant {_QUEUE}),
+{LATEST_SQL.replace("FROM events)", "FROM events WHERE ts >= TIMESTAMP '2024-01-16 08:00:00')")}"""
 
 
 @query("i9_every_input", f"""WITH {EVERY_SQL} SELECT title_clean AS title, url, city, refined AS category, publish_date,
-  round(score, 6) AS relevance_score, CASE WHEN o_orderkey IN (FROM q2) THEN 1 ELSE 0 END AS state,
-  CASE WHEN o_orderkey IN (FROM q0) THEN 1 ELSE 0 END + CASE WHEN o_orderkey IN (FROM q1) THEN 1 ELSE 0 END AS notify_attempts,
-  o_orderkey % 2 = 0 AS detail_fetched, CASE WHEN o_orderkey % 2 = 0 THEN '2025年4月6日' ELSE '{V.DEADLINE_UNKNOWN}' END AS deadline,
-  4 AS sources, 1 AS broken, true AS alert_due FROM relevant""")
+  round(score, 6) AS relevance_score, CASE WHEN o_orderkey IN (FROM second) THEN 1 ELSE 0 END AS state,
+  CASE WHEN o_orderkey IN (FROM first) THEN 1 ELSE 0 END AS notify_attempts,
+  o_orderkey % 2 = 0 AS detail_fetched, CASE WHEN o_orderkey % 2 = 0 THEN '2025-04-06 截止' ELSE '{V.DEADLINE_UNKNOWN}' END AS deadline,
+  (SELECT count(*) FROM report) + 4 AS sources, (SELECT count(*) FROM report WHERE consecutive_failures >= 3) AS broken,
+  (SELECT count(*) FROM report WHERE consecutive_failures >= 3) > 0 AS alert_due FROM relevant""")
 def i9_every(spark, sf):
-    """Three rounds that read further each time; two deliveries fail, the third works; an alert is due for the refused rule."""
+    """Two rounds, the second one reads further: its delivery works after the first one failed.
+
+    The run log holds earlier runs, of which retention leaves sixty days; their
+    broken sources make an alert due.
+    """
     inputs = every_input(spark, sf)
     ledger, outcomes, alerts = (BatchLog(spark, scratch_path(spark, name)) for name in ("ledger", "outcomes", "alerts"))
     log = DatedLog(spark, scratch_path(spark, "run_log"))
-    for n, last in enumerate([*LAST_PAGES, None]):
-        at = F.to_timestamp(F.lit(NOW_TEXT)) + F.make_dt_interval(F.lit(n))
-        queue = rounds.run_round(inputs if last is None else until(inputs, last), ROUND_POLICY, at, ledger, log, n,
-                                 cold_start_baseline=False, outcomes=outcomes)
+    log.write(B.run_log(spark, sf).withColumns({"id": F.col("id").cast("string"), "items_found": F.col("items_found").cast("long")}), 0)
+    for n, read in ((1, until(inputs, LAST_PAGE)), (2, inputs)):
+        at = F.to_timestamp(F.lit(NOW_TEXT)) + F.make_dt_interval(F.lit(n - 1))
+        queue = rounds.run_round(read, ROUND_POLICY, at, ledger, log, n, cold_start_baseline=False, outcomes=outcomes)
         sent = spark.range(2).select(
             F.col("id").cast("int").alias("channel_pos"), F.when(F.col("id") == 0, "mail").otherwise("hook").alias("channel"),
-            ((F.col("id") == 1) & F.lit(last is None)).alias("ok"), F.lit("down").alias("error"), at.alias("at"))
+            ((F.col("id") == 1) & F.lit(n == 2)).alias("ok"), F.lit("down").alias("error"), at.alias("at"))
         rounds.record_delivery(queue, sent, outcomes, n)
-        due = rounds.alert_due(log, alerts, n, at)
-        log.prune(dt.datetime.fromisoformat(NOW_TEXT) + dt.timedelta(days=n), V.KEEP_LOG_DAYS)
+        log.prune(dt.datetime.fromisoformat(NOW_TEXT) + dt.timedelta(days=n - 1), KEEP_DAYS)
+        log.merge(n - 1)
+    due = rounds.alert_due(log, alerts, n, at, keep_days=KEEP_DAYS)
     return rounds.current_ledger(ledger, outcomes).select(
         "title", "url", "city", "category", "publish_date", F.round("relevance_score", 6).alias("relevance_score"), "state",
         "notify_attempts", "detail_fetched", "deadline", due.select("total").scalar().alias("sources"),

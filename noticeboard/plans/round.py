@@ -14,6 +14,7 @@ from noticeboard.operators.dedup import first_per_key
 from noticeboard.session import shared_dir
 from noticeboard.sources import fetched, listing
 from noticeboard.streaming.batch_log import BatchLog
+from noticeboard.streaming.dated_log import DatedLog
 
 ORDER = ["negative_score", "rule_id", "page", "position"]
 
@@ -105,7 +106,7 @@ def plan_round(inputs: Inputs, policy: filters.Policy, now: Column, as_baseline:
     return Round(results, judged, relevant, new_rows, log_rows, report)
 
 
-def run_round(inputs: Inputs, policy: filters.Policy, now: Column, ledger: BatchLog, run_log: BatchLog, number: int,
+def run_round(inputs: Inputs, policy: filters.Policy, now: Column, ledger: BatchLog, run_log: BatchLog | DatedLog, number: int,
               cold_start_baseline: bool = True, outcomes: BatchLog | None = None, detail_limit: int | None = None) -> DataFrame:
     """Run and store a round; returns the delivery queue afterwards.
 
@@ -141,7 +142,7 @@ def record_delivery(queue: DataFrame, deliveries: DataFrame, outcomes: BatchLog,
         "unique_id", F.col("batch_id").alias("seq"), F.col("delivered").alias("ok"), F.col("errors").alias("error"), "at"), number)
 
 
-def alert_due(run_log: BatchLog, alerts: BatchLog, number: int, now: Column, cooldown_hours: int = V.ALERT_COOLDOWN_HOURS,
+def alert_due(run_log: BatchLog | DatedLog, alerts: BatchLog, number: int, now: Column, cooldown_hours: int = V.ALERT_COOLDOWN_HOURS,
               keep_days: int = V.KEEP_LOG_DAYS) -> DataFrame:
     """One row ``(total, broken, due)`` after a round: is an alert to be sent?
 
