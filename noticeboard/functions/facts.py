@@ -24,7 +24,7 @@ def clean_text(text: Column) -> Column:
 
 def _hit(text: Column, pattern: str, words: list[str]) -> Column:
     """First match of the pattern, looked for only where one of the words occurs."""
-    return F.when(contains_any(text, words), F.regexp_substr(text, F.lit(pattern)))
+    return F.when(contains_any(text, words), group(text, pattern, 0))
 
 
 def _hits(text: Column, pattern: str, words: list[str]) -> Column:
