@@ -103,7 +103,7 @@ def page_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """Pages stored one per file below ``path``: ``path, content, header_charset, forced_charset``.
 
     A byte order mark forces the charset it tells; otherwise ``decode_pages`` looks
-    for a meta tag.  Files are packed into tasks by size, whatever their folder.
+    for a meta tag.  An empty file gives no row, since Spark's scan leaves it out.  Files are packed into tasks by size, whatever their folder.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     mark = F.hex(F.substring("content", 1, 3))
