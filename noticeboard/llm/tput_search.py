@@ -13,10 +13,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noticeboard.llm.common import written
+from noticeboard.session import scratch_path
 
 ROWS = 1024          # vectors multiplied at once
 EXACT = 2.0 ** 53
@@ -32,29 +33,50 @@ def distinct_vectors(rows: DataFrame, n: int) -> DataFrame:
     """Every distinct vector once with its ``n`` smallest ids: (vector, ids).
 
     No result can hold more ids of one vector, so copies are neither compared
-    nor moved one by one: the rank is limited before the shuffle already.
+    nor moved one by one: repeats of an id are merged and the rank is limited
+    before anything moves.
     """
-    place = F.dense_rank().over(Window.partitionBy("vector").orderBy("vec_id"))
-    return rows.withColumn("_n", place).filter(F.col("_n") <= n).groupBy("vector").agg(
-        F.sort_array(F.collect_set("vec_id")).alias("ids"))
+    place = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
+    return rows.distinct().withColumn("_n", place).filter(F.col("_n") <= n).groupBy("vector").agg(
+        F.sort_array(F.collect_list("vec_id")).alias("ids"))
 
 
-def query_blocks(rows: DataFrame, queries: Column, size: int):
-    """The query vectors, ``size`` at a time, in order of id: (ids, list of vectors).
+def query_blocks(rows: DataFrame, queries: Column, size: int, dims: int):
+    """The query vectors, about ``size`` at a time, in order of id within a block: (ids, vectors as rows).
 
-    Only one block at a time is on the driver.  Of rows that repeat a query's id
-    the smallest vector is the query.
+    The queries are stored by block, so a block is read by itself and only one at
+    a time is on the driver.  Of rows that repeat a query's id the smallest vector is the query.
     """
     found = written(rows.filter(queries).groupBy("vec_id").agg(F.min("vector").alias("vector")), "queries")
-    last = None
-    while True:
-        rest = found if last is None else found.filter(F.col("vec_id") > last)
-        block = rest.orderBy("vec_id").limit(size).collect()
-        if block:
-            yield np.array([r.vec_id for r in block], np.int64), [r.vector for r in block]
-        if len(block) < size:
-            return
-        last = block[-1].vec_id
+    n = -(-found.count() // size)
+    block = F.pmod(F.xxhash64("vec_id"), F.lit(max(n, 1))).cast("int")
+    stored = written(found.withColumn("block", block).repartition("block"), "blocks", partitionBy="block")
+    for b in range(n):
+        one = sorted((r.vec_id, r.vector) for r in stored.filter(F.col("block") == b).select("vec_id", "vector").collect())
+        if one:
+            yield np.array([i for i, _ in one], np.int64), padded([v for _, v in one], dims)
+
+
+def block_results(spark: SparkSession, blocks, search, schema: str) -> DataFrame:
+    """What ``search(ids, vectors, share)`` finds for every block, stored block by block.
+
+    ``share`` broadcasts a value until the block is stored.  Plans and broadcasts
+    are those of one block, however many there are.
+    """
+    path, used, empty = scratch_path(spark, "results"), [], True
+
+    def share(value):
+        used.append(spark.sparkContext.broadcast(value))
+        return used[-1]
+
+    for b, (ids, q) in enumerate(blocks):
+        search(ids, q, share).write.parquet(f"{path}/block={b}")
+        while used:
+            used.pop().destroy()
+        empty = False
+    if empty:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path).drop("block")
 
 
 def padded(vectors: list, dims: int) -> np.ndarray:
@@ -65,18 +87,19 @@ def padded(vectors: list, dims: int) -> np.ndarray:
     return out
 
 
+def matrix(vectors: pa.Array, dims: int) -> np.ndarray:
+    sizes = np.asarray(pa.compute.list_value_length(vectors))
+    if len(sizes) and (sizes == dims).all():
+        return np.asarray(vectors.flatten(), float).reshape(-1, dims)
+    return padded(vectors.to_pylist(), dims)
+
+
 def matrices(batches, dims: int):
     """(vectors as a matrix, ids of each) for a few rows at a time."""
     for batch in batches:
         for at in range(0, batch.num_rows, ROWS):
             part = batch.slice(at, ROWS)
-            col = part.column("vector")
-            sizes = np.asarray(pa.compute.list_value_length(col))
-            if len(sizes) and (sizes == dims).all():
-                x = np.asarray(col.flatten(), float).reshape(-1, dims)
-            else:
-                x = padded(col.to_pylist(), dims)
-            yield x, part.column("ids").to_pylist()
+            yield matrix(part.column("vector"), dims), part.column("ids").to_pylist()
 
 
 def own_entries(ids: list[list[int]], position: dict[int, int]) -> tuple[list[int], list[int]]:
@@ -107,13 +130,10 @@ def exact_top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 25
         F.col("vec_id").cast("long").alias("vec_id"),
         F.transform("embedding", lambda x: F.floor(x.cast("double") * scale)).alias("vector"))
     found = written(distinct_vectors(rows, k + 1), "vectors")
-    parts = [_search(found, ids, block, k, blocks) for ids, block in query_blocks(rows, queries, query_block)]
-    if not parts:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return ranked(out, k)
+    dims = found.agg(F.max(F.size("vector")).alias("dims")).first().dims
+    return block_results(vectors.sparkSession, query_blocks(rows, queries, query_block, dims or 0),
+                         lambda ids, q, share: ranked(_search(found, ids, q, k, blocks, share), k),
+                         "query_id long, rank int, vec_id long, score long")
 
 
 def _cuts(dims: int, blocks: int) -> list[slice]:
@@ -121,10 +141,8 @@ def _cuts(dims: int, blocks: int) -> list[slice]:
     return [slice(a, b) for a, b in zip(edges, edges[1:]) if b > a] or [slice(0, dims)]
 
 
-def _search(found: DataFrame, ids: np.ndarray, block: list, k: int, blocks: int) -> DataFrame:
-    dims = max(map(len, block))
-    q = padded(block, dims)
-    shared = found.sparkSession.sparkContext.broadcast((ids, q, _cuts(dims, blocks)))
+def _search(found: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, blocks: int, share) -> DataFrame:
+    shared = share((ids, q, _cuts(q.shape[1], blocks)))
 
     def local_lists(batches):
         """Per query: the k best totals among the longest partial products, and each block's least one."""
@@ -166,8 +184,8 @@ def _search(found: DataFrame, ids: np.ndarray, block: list, k: int, blocks: int)
         cutoff[r.q] = -np.inf if r.total is None else r.total
         floor[r.q] = r[1:1 + floor.shape[1]]
     # products less their floor are not negative, so the method's bound holds
-    share = (cutoff - floor.sum(axis=1)) / floor.shape[1]
-    limits = found.sparkSession.sparkContext.broadcast((cutoff, floor + share[:, None]))
+    part = (cutoff - floor.sum(axis=1)) / floor.shape[1]
+    limits = share((cutoff, floor + part[:, None]))
 
     def resolved(batches):
         """Local top k among the rows that can reach the cutoff."""

@@ -52,9 +52,25 @@ def test_factor_one_is_exact_and_recall_is_high(spark):
     want = brute(rows, lambda q: q % 10 == 0, 6, False, False)
     assert sorted(tuple(r)[:3] for r in got.collect()) == [w[:3] for w in want]
     assert np.allclose(sorted(r.score for r in got.collect()), sorted(w[3] for w in want))
-    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
-    exact, loose = (vp_search.nearest(e, F.col("vec_id") % 20 == 0, factor=f).select("query_id", "vec_id") for f in (1.0, 4.0))
-    assert exact.join(loose, ["query_id", "vec_id"]).count() >= 0.95 * exact.count()
+
+
+def clustered(n, dims=16, centres=128):
+    r = np.random.default_rng(6)
+    x = r.normal(0, 1, (centres, dims))[r.integers(0, centres, n)] + r.normal(0, 0.12, (n, dims))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def kth_limits(x, q, k):
+    """(limit, visited rows a query, visit) for a search of the rows ``x`` by distance."""
+    limit, seen = np.full(len(q), np.inf), [[] for _ in q]
+
+    def visit_rows(at, rows):
+        for i in at:
+            seen[i] += [(d, r) for d, r in zip(np.linalg.norm(x[rows] - q[i], axis=1), rows)]
+            if len(seen[i]) >= k:
+                limit[i] = sorted(seen[i])[k - 1][0]
+
+    return limit, seen, visit_rows
 
 
 def test_a_tree_of_many_leaves_is_exact_with_factor_one():
@@ -62,17 +78,48 @@ def test_a_tree_of_many_leaves_is_exact_with_factor_one():
     x, q = r.normal(0, 1, (3000, 8)), r.normal(0, 1, (20, 8))
     tree = vp_search.VantageTree(x, leaf=32)
     assert sorted(np.concatenate(tree.leaves)) == list(range(3000))
-    limit, seen = np.full(20, np.inf), [[] for _ in range(20)]
-
-    def visit(at, leaf):
-        for i in at:
-            seen[i] += list(np.linalg.norm(x[leaf] - q[i], axis=1))
-            if len(seen[i]) >= 5:
-                limit[i] = sorted(seen[i])[4]
-
-    tree.search(q, limit, 1.0, visit)
+    limit, seen, visit = kth_limits(x, q, 5)
+    bounds = vp_search.leaf_bounds(q, x[tree.vantages], tree.paths)
+    vp_search.search_leaves(bounds, limit, 1.0, lambda at, n: visit(at, tree.leaves[n]))
     full = np.sort(np.linalg.norm(x[None] - q[:, None], axis=2), axis=1)[:, 4]
     assert np.allclose(limit, full) and np.mean([len(s) for s in seen]) < 3000
+    # no bound exceeds the distance of a row of its leaf
+    least = np.stack([np.linalg.norm(x[leaf][None] - q[:, None], axis=2).min(axis=1) for leaf in tree.leaves], axis=1)
+    assert (bounds <= least + 1e-9).all()
+
+
+def test_trees_prune_where_vectors_have_structure():
+    x = clustered(16384)
+    q, tree = x[::128], vp_search.VantageTree(x)
+    limit, seen, visit = kth_limits(x, q, 21)
+    vp_search.search_leaves(vp_search.leaf_bounds(q, x[tree.vantages], tree.paths), limit, 4.0, lambda at, n: visit(at, tree.leaves[n]))
+    want = np.argsort(np.linalg.norm(x[None] - q[:, None], axis=2), axis=1)[:, :21]
+    found = [len({r for _, r in sorted(s)[:21]} & set(w)) / 21 for s, w in zip(seen, want)]
+    assert np.mean(found) >= 0.9 and np.mean([len(s) for s in seen]) < 0.5 * len(x)
+
+
+@pytest.mark.parametrize("block", [4096, 100])
+def test_tuned_search_keeps_its_recall(spark, monkeypatch, block):
+    x = clustered(16384)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    chosen, tuned = [], vp_search.tuned_factor
+    monkeypatch.setattr(vp_search, "tuned_factor", lambda *a: chosen.append(tuned(*a)) or chosen[-1])
+    got = vp_search.nearest(df, F.col("vec_id") % 64 == 0, query_block=block)
+    product = x[::64] @ x.T
+    product[np.arange(256), np.arange(256) * 64] = -np.inf
+    want = {(i * 64, int(j)) for i, row in enumerate(np.argsort(-product, axis=1)[:, :20]) for j in row}
+    rows = got.collect()
+    assert len(rows) == 256 * 20 and len(chosen) == 1 and chosen[0] > 1      # tuned once, and it prunes
+    assert len(want & {(r.query_id, r.vec_id) for r in rows}) >= 0.9 * len(want)
+    assert all(np.isclose(r.score, x[r.query_id] @ x[r.vec_id]) for r in rows[:500])
+    # however many blocks there are, the plan is a scan
+    assert "Union" not in got._jdf.queryExecution().toString() and "MapInArrow" not in got._jdf.queryExecution().toString()
+
+
+def test_recall_on_the_given_table(spark):
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    exact, loose = (vp_search.nearest(e, F.col("vec_id") % 20 == 0, factor=f).select("query_id", "vec_id") for f in (1.0, None))
+    assert exact.join(loose, ["query_id", "vec_id"]).count() >= 0.95 * exact.count()
 
 
 def test_empty_tables(spark):
