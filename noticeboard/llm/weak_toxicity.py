@@ -3,9 +3,9 @@
 Many voters, words and word beginnings of an induced lexicon and fixed
 patterns, vote on a document or abstain.  A generative label model estimates,
 by expectation maximisation over the votes alone, how often each votes under
-either class, and how strongly voters are correlated beyond the class;
-correlated voters share their weight.  A linear classifier is then trained on
-the posterior labels and scores every document.
+either class, and which voters are correlated beyond the class; such a voter's
+vote depends on the class and on the voter it follows.  A linear classifier is
+then trained on the posterior labels and scores every document.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,40 +114,148 @@ def induced_lexicon(sample: DataFrame, sizes: dict[int, int]) -> list[str]:
     return [r.term for r in best.select("term").collect()]
 
 
-def label_model(votes: np.ndarray, prior: float, rounds: int = 40) -> np.ndarray:
-    """Posterior probability of class 1 for every row of a 0/1 matrix of firing voters.
+@dataclass
+class Votes:
+    """Which voter fires on which row, as two lists of equal length ordered by row; nothing is held for a voter that abstains."""
+    row: np.ndarray
+    voter: np.ndarray
+    rows: int
+    voters: int
+
+    def per_voter(self, of_row: np.ndarray) -> np.ndarray:
+        return np.bincount(self.voter, weights=of_row[self.row], minlength=self.voters)
+
+    def per_row(self, of_vote: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=of_vote, minlength=self.rows)
+
+    def together(self, partner: np.ndarray) -> np.ndarray:
+        """For each vote, whether the voter's partner (-1: none) fires on the same row."""
+        code = self.row * self.voters + self.voter
+        want = self.row * self.voters + partner[self.voter]
+        at = np.minimum(np.searchsorted(code, want), max(len(code) - 1, 0))
+        return (partner[self.voter] >= 0) & (code[at] == want)
+
 
-    Latent class model by expectation maximisation, started from the share of
-    voters that fire.  The correlations of the voters given the class are then
-    taken from the residuals, and each voter's log odds are divided by one plus
-    the sum of its absolute correlations.
+def leaders(votes: Votes, near: int = 8) -> np.ndarray:
+    """For each voter the more frequent voter it fires with most, or -1.
+
+    Looked for among the ``near`` next more frequent voters of each row, so the
+    work grows with the votes, not with the pairs: voters that repeat each other
+    are about as frequent as each other.  Ties go to the first voter.
+    """
+    often = np.bincount(votes.voter, minlength=votes.voters)
+    place = np.empty(votes.voters, np.int64)
+    place[np.lexsort((np.arange(votes.voters), -often))] = np.arange(votes.voters)
+    order = np.lexsort((place[votes.voter], votes.row))
+    row, voter = votes.row[order], votes.voter[order]
+    pairs = []
+    for d in range(1, near + 1):
+        same = row[d:] == row[:-d]
+        pairs.append(voter[d:][same] * votes.voters + voter[:-d][same])
+    codes, counts = np.unique(np.concatenate(pairs), return_counts=True)
+    best = np.full(votes.voters, -1)
+    order = np.lexsort((-codes, counts))                # the last of a voter's pairs stays: most often, then first
+    best[codes[order] // max(votes.voters, 1)] = codes[order] % max(votes.voters, 1)
+    return best
+
+
+def correlation(votes: Votes, partner: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Greatest correlation, of the two classes, of each voter with its partner given the class."""
+    both, out = votes.together(partner), np.zeros(votes.voters)
+    for share in (q, 1 - q):
+        total = max(share.sum(), 1e-9)
+        a = votes.per_voter(share) / total
+        p = np.where(partner >= 0, a[partner], 0)
+        joint = np.bincount(votes.voter, weights=share[votes.row] * both, minlength=votes.voters) / total
+        spread = np.sqrt(np.maximum(a * (1 - a) * p * (1 - p), 1e-12))
+        out = np.maximum(out, np.where(partner >= 0, np.abs(joint - a * p) / spread, 0))
+    return out
+
+
+def label_model(votes: Votes, prior: float, rounds: int = 40, least: float = 0.1) -> np.ndarray:
+    """Posterior probability of class 1 for every row.
+
+    A latent class model by expectation maximisation, started from whether any
+    voter fires.  Half of the rounds take the voters as independent given the
+    class.  Then each voter that is correlated by at least ``least`` beyond the
+    class with a more frequent one depends on that one as well as on the class:
+    a forest, whose likelihood is exact.  A voter that repeats another then adds
+    nothing.  Memory grows with the votes and the voters.
     """
-    n, m = votes.shape
-    fires = votes.sum(axis=1)
+    fires = votes.per_row(np.ones(len(votes.row)))
     q = np.where(fires > 0, 0.9, 0.1 * prior)
-    for _ in range(rounds):
-        a = ((q @ votes) + 0.2) / (q.sum() + 1)                   # P(fires | 1)
-        b = (((1 - q) @ votes) + 0.02) / ((1 - q).sum() + 1)      # P(fires | 0)
-        a, b = np.clip(a, 1e-4, 1 - 1e-4), np.clip(b, 1e-4, 1 - 1e-4)
-        a = np.maximum(a, b)                                      # a voter never speaks against its class
-        if _ == rounds - 1:
-            residual = votes - (q[:, None] * a + (1 - q)[:, None] * b)
-            scale = np.maximum(residual.std(axis=0), 1e-6)
-            corr = (residual.T @ residual) / n / np.outer(scale, scale)
-            np.fill_diagonal(corr, 0)
-            damp = 1 / (1 + np.where(np.abs(corr) > 0.3, np.abs(corr), 0).sum(axis=1))
-        else:
-            damp = np.ones(m)
+    partner, both = np.full(votes.voters, -1), np.zeros(len(votes.row), bool)
+    for turn in range(rounds):
+        if turn == rounds // 2:
+            found = leaders(votes)
+            partner = np.where(correlation(votes, found, q) >= least, found, -1)
+            both = votes.together(partner)
+        weight = _evidence(votes, partner, both, q)
         share = np.clip(q.mean(), 1e-3, 1 - 1e-3)
         # a voter that abstains says nothing; that all abstain is evidence of its own
         silent = np.clip([((q * (fires == 0)).sum() + 0.01) / (q.sum() + 1),
                           (((1 - q) * (fires == 0)).sum() + 1) / ((1 - q).sum() + 1.02)], 1e-4, 1 - 1e-4)
-        logit = np.log(share / (1 - share)) + votes @ (np.log(a / b) * damp) + np.where(
+        logit = np.log(share / (1 - share)) + votes.per_row(weight) + np.where(
             fires == 0, np.log(silent[0] / silent[1]), np.log((1 - silent[0]) / (1 - silent[1])))
         q = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
     return q
 
 
+def _evidence(votes: Votes, partner: np.ndarray, both: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Log likelihood ratio of each vote, given whether the voter's partner fires too; never negative."""
+    alone, joint = [], []
+    for share in (q, 1 - q):
+        fired = votes.per_voter(share)
+        with_partner = np.bincount(votes.voter, weights=share[votes.row] * both, minlength=votes.voters)
+        led = np.where(partner >= 0, fired[partner], 0)         # weight of the rows where the partner fires
+        alone.append((fired - with_partner, share.sum() - led))
+        joint.append((with_partner, led))
+    rate = [np.clip((n + extra) / (total + 1), 1e-4, 1 - 1e-4) for (n, total), extra in zip(alone, (0.2, 0.02))]
+    # beside its partner a voter is taken to fire alike in both classes until the rows say otherwise
+    pooled = (joint[0][0] + joint[1][0] + 0.5) / (joint[0][1] + joint[1][1] + 1)
+    near = [np.clip((n + pooled) / (total + 1), 1e-4, 1 - 1e-4) for n, total in joint]
+    apart, beside = (np.maximum(np.log(a / b), 0) for a, b in (rate, near))
+    return np.where(both, beside[votes.voter], apart[votes.voter])
+
+
+def linear_classifier(votes: Votes, posterior: np.ndarray, steps: int = 20) -> tuple[np.ndarray, float]:
+    """(weights, bias) of a logistic regression on posteriors: Newton steps with a ridge, each solved by conjugate gradients.
+
+    A voter never counts against its class.
+    """
+    ridge = np.append(np.full(votes.voters, 0.05), 1e-3)
+    w = np.zeros(votes.voters + 1)
+
+    def scores(v: np.ndarray) -> np.ndarray:
+        return votes.per_row(v[votes.voter]) + v[-1]
+
+    def back(of_row: np.ndarray) -> np.ndarray:
+        return np.append(votes.per_voter(of_row), of_row.sum())
+
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(scores(w), -30, 30)))
+        curve = p * (1 - p)
+        scale = back(curve) + ridge                             # the diagonal, as preconditioner
+        left = back(p - posterior) + ridge * w
+        size, move = np.abs(left).max(), np.zeros(len(w))
+        z = left / scale
+        ahead = z
+        for _ in range(200):
+            if np.abs(left).max() <= 1e-9 * max(size, 1e-9):
+                break
+            pulled = back(curve * scores(ahead)) + ridge * ahead
+            length = (left @ z) / (ahead @ pulled)
+            move, rest = move + length * ahead, left - length * pulled
+            fresh = rest / scale
+            ahead = fresh + (rest @ fresh) / (left @ z) * ahead
+            left, z = rest, fresh
+        w = w - move
+        w[:-1] = np.maximum(w[:-1], 0)
+        if np.abs(move).max() < 1e-9:
+            break
+    return w[:-1], float(w[-1])
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 3000, folds: int = 5, held: int = 0,
                  steps: int = 20) -> ToxicityModel:
     """Lexicon, label model and classifier from labelled documents outside the held-out fold.
@@ -168,21 +277,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 3000, fold
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(out, pa.list_(pa.int32()))],
                                              names=["doc_id", "label", "fired"])
 
-    rows = sample.mapInArrow(fired, "doc_id long, label int, fired array<int>").orderBy("doc_id").collect()
-    votes = np.zeros((len(rows), model.voters))
-    for i, r in enumerate(rows):
-        votes[i, r.fired] = 1
-    posterior = label_model(votes, sizes[1] / len(rows))
-    # logistic regression on the posteriors by Newton steps with a ridge; a voter never counts against its class
-    x = np.concatenate([votes, np.ones((len(rows), 1))], axis=1)
-    w = np.zeros(model.voters + 1)
-    ridge = np.diag([0.05] * model.voters + [1e-3])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = (x * (p * (1 - p))[:, None]).T @ x + ridge
-        w -= np.linalg.solve(slope, x.T @ (p - posterior) + ridge @ w)
-        w[:-1] = np.maximum(w[:-1], 0)
-    model.weights, model.bias = w[:-1], float(w[-1])
+    rows = sample.mapInArrow(fired, "doc_id long, label int, fired array<int>").orderBy("doc_id").select("fired").toArrow()
+    lists = rows.column("fired").combine_chunks()
+    sizes_of = np.asarray(pa.compute.list_value_length(lists), np.int64)
+    votes = Votes(np.repeat(np.arange(len(lists)), sizes_of), np.asarray(lists.flatten(), np.int64), len(lists), model.voters)
+    posterior = label_model(votes, sizes[1] / len(lists))
+    model.weights, model.bias = linear_classifier(votes, posterior, steps)
     return model
 
 

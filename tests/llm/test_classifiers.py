@@ -124,13 +124,121 @@ def test_least_count_follows_from_the_test():
     assert weak_toxicity.least_count({}, 0.5)[1] == 0
 
 
-def test_label_model_finds_the_class_without_labels():
+def sparse(votes):
+    row, voter = np.nonzero(votes)
+    return weak_toxicity.Votes(row, voter, *votes.shape)
+
+
+def drawn_votes(n=600, accuracies=(0.7, 0.6, 0.6, 0.5)):
     r = np.random.default_rng(3)
-    y = r.random(600) < 0.3
-    votes = np.stack([np.where(y, r.random(600) < a, r.random(600) < 0.01) for a in (0.7, 0.6, 0.6, 0.5)], axis=1).astype(float)
-    votes = np.concatenate([votes, votes[:, :1]], axis=1)  # a voter that repeats another
-    q = weak_toxicity.label_model(votes, 0.3)
+    y = r.random(n) < 0.3
+    votes = np.stack([np.where(y, r.random(n) < a, r.random(n) < 0.01) for a in accuracies], axis=1)
+    return y, np.concatenate([votes, votes[:, :1]], axis=1)  # and a voter that repeats another
+
+
+def test_label_model_finds_the_class_without_labels():
+    y, votes = drawn_votes()
+    q = weak_toxicity.label_model(sparse(votes), 0.3)
     assert ((q > 0.5) == y).mean() > 0.93
+    # the voter that repeats another is tied to it and changes nothing to speak of
+    assert weak_toxicity.leaders(sparse(votes))[4] == 0
+    without = weak_toxicity.label_model(sparse(votes[:, :4]), 0.3)
+    assert np.abs(q - without).max() < 0.05
+
+
+def test_label_model_equals_enumeration():
+    _, votes = drawn_votes(300, (0.7, 0.5, 0.4))
+    model, prior, rounds = sparse(votes), 0.3, 40
+    q = [0.9 if any(v) else 0.1 * prior for v in votes]
+    tied = {}
+
+    def rate(j, fires, c, lead):
+        """P(voter j fires | class, whether its partner fires), over the rows one by one."""
+        n = sum(w(c, x) for x, v in zip(q, votes) if v[j] and (lead is None or bool(v[tied[j]]) == lead))
+        d = sum(w(c, x) for x, v in zip(q, votes) if lead is None or bool(v[tied[j]]) == lead)
+        if lead:
+            on = [v for v in votes if v[tied[j]]]
+            return (n + (sum(bool(v[j]) for v in on) + 0.5) / (len(on) + 1)) / (d + 1)
+        return (n + (0.2, 0.02)[c]) / (d + 1)
+
+    def w(c, x):
+        return x if c == 0 else 1 - x
+
+    for turn in range(rounds):
+        if turn == rounds // 2:
+            found = weak_toxicity.leaders(model)
+            strong = weak_toxicity.correlation(model, found, np.array(q)) >= 0.1
+            tied = {j: int(found[j]) for j in range(votes.shape[1]) if strong[j]}
+        states = {(j, s): max(np.log(np.clip(rate(j, True, 0, s), 1e-4, 1 - 1e-4) / np.clip(rate(j, True, 1, s), 1e-4, 1 - 1e-4)), 0)
+                  for j in range(votes.shape[1]) for s in ((True, False) if j in tied else (None,))}
+        share = np.clip(np.mean(q), 1e-3, 1 - 1e-3)
+        none = [sum(w(c, x) for x, v in zip(q, votes) if not any(v)) for c in (0, 1)]
+        silent = np.clip([(none[0] + 0.01) / (sum(q) + 1), (none[1] + 1) / (len(q) - sum(q) + 1.02)], 1e-4, 1 - 1e-4)
+        fresh = []
+        for v in votes:
+            logit = np.log(share / (1 - share)) + sum(states[j, bool(v[tied[j]]) if j in tied else None] for j in np.flatnonzero(v))
+            logit += np.log((1 - silent[0]) / (1 - silent[1])) if any(v) else np.log(silent[0] / silent[1])
+            fresh.append(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
+        q = fresh
+    assert tied.get(3) == 0
+    assert np.allclose(weak_toxicity.label_model(model, prior), q, atol=1e-9)
+
+
+def test_linear_classifier_is_at_its_optimum():
+    y, votes = drawn_votes()
+    posterior = np.where(y, 0.95, 0.03)
+    w, b = weak_toxicity.linear_classifier(sparse(votes), posterior)
+    p = 1 / (1 + np.exp(-(votes @ w + b)))
+    assert (w > 0).all() and np.abs(votes.T @ (p - posterior) + 0.05 * w).max() < 1e-4 and abs((p - posterior).sum() + 1e-3 * b) < 1e-4
+
+
+def test_many_voters_fit_in_little_memory():
+    import tracemalloc
+    r = np.random.default_rng(1)
+    row = np.sort(r.integers(0, 6000, 200_000))
+    code = np.unique(row * 20_000 + r.integers(0, 20_000, len(row)))
+    votes = weak_toxicity.Votes(code // 20_000, code % 20_000, 6000, 20_000)
+    tracemalloc.start()
+    weak_toxicity.linear_classifier(votes, weak_toxicity.label_model(votes, 0.5, rounds=4), steps=2)
+    assert tracemalloc.get_traced_memory()[1] < 100e6     # a matrix of voters by voters would be 3.2 GB
+    tracemalloc.stop()
+
+
+def test_neighbours_vote_as_one_by_one(spark):
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    model = knn_quality.fit_quality(docs, labels)
+    texts = [r.text or "" for r in docs.orderBy("doc_id").limit(25).select("text").collect()] + ["", "x"]
+    vectors, got = model.project(np.stack([knn_quality.terms(t) for t in texts])), model.scores(texts)
+    for v, score in zip(vectors, got):
+        near = sorted(((float(np.dot(v, u)), y) for u, y in zip(model.vectors, model.labels)), reverse=True)
+        last = near[model.neighbours - 1][0]
+        if near[model.neighbours][0] < last - 1e-9:       # no tie at the edge
+            weights = [(max(c, 0) ** 8 + 1e-9, y) for c, y in near[:model.neighbours]]
+            assert score == pytest.approx(sum(a * y for a, y in weights) / sum(a for a, _ in weights))
+
+
+def test_ftrl_equals_its_definition():
+    r = np.random.default_rng(8)
+    model = ftrl_langid.Ftrl(3, 6)
+    z, n = [[0.0] * 6 for _ in range(3)], [[0.0] * 6 for _ in range(3)]
+
+    def weight(c, i):
+        if abs(z[c][i]) <= model.l1:
+            return 0.0
+        return -(z[c][i] - np.sign(z[c][i]) * model.l1) / ((model.beta + n[c][i] ** 0.5) / model.alpha + model.l2)
+
+    for _ in range(60):
+        at = np.sort(r.choice(6, 3, replace=False))
+        x, label = r.random(3), int(r.integers(0, 3))
+        model.learn(at, x, label)
+        w = [[weight(c, i) for i in range(6)] for c in range(3)]
+        e = np.exp([sum(w[c][i] * v for i, v in zip(at, x)) for c in range(3)])
+        for c in range(3):
+            for i, v in zip(at, x):
+                g = (e[c] / e.sum() - (c == label)) * v
+                z[c][i] += g - ((n[c][i] + g * g) ** 0.5 - n[c][i] ** 0.5) / model.alpha * w[c][i]
+                n[c][i] += g * g
+    assert np.allclose(model.weights(), [[weight(c, i) for i in range(6)] for c in range(3)])
 
 
 def test_temperature_is_that_of_the_data():
