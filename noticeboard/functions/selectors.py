@@ -69,26 +69,34 @@ def select_all(nodes: Column, selector: Column) -> Column:
     return F.array_compact(marked)
 
 
-def positions_below(nodes: Column, at: Column, test) -> Column:
-    """Positions below ``at`` whose node passes the test.
+def marks(nodes: Column, test) -> Column:
+    """Of every node of a page its position if it passes the test, else NULL.
 
-    Nodes are fetched one by one: slicing the array would copy all of it.
+    Looked at once for the whole page: what lies below a node is a slice of it.
     """
-    last = F.get(nodes, at)["last"]
-    below = F.when(last > at, F.sequence(at + 1, last)).otherwise(F.array().cast("array<int>"))
-    return F.filter(below, lambda i: bind(F.get(nodes, i), test))
+    return F.transform(nodes, lambda n, i: F.when(test(n), i))
 
 
-def first_below(nodes: Column, at: Column, test) -> Column:
-    """Position of the first node below ``at`` that passes the test, else NULL."""
-    return F.get(positions_below(nodes, at, test), F.lit(0))
+def texts_of(nodes: Column, with_chrome: bool = True) -> Column:
+    """Of every node of a page its text if it is one, else NULL."""
+    return F.transform(nodes, lambda n: F.when((n["tag"] == "#text") if with_chrome
+                                               else ((n["tag"] == "#text") & ~n["chrome"]), n["text"]))
 
 
-def text_below(nodes: Column, at: Column, sep: str, with_chrome: bool = True) -> Column:
-    """Text of a subtree, pieces trimmed and joined."""
-    texts = positions_below(nodes, at, lambda n: (n["tag"] == "#text") if with_chrome
-                            else ((n["tag"] == "#text") & ~n["chrome"]))
-    return F.array_join(F.transform(texts, lambda i: F.get(nodes, i)["text"]), sep)
+def below(values: Column, nodes: Column, at: Column) -> Column:
+    """Of an array with an element per node the part below ``at``; empty for a NULL position."""
+    many = F.get(nodes, at)["last"] - at
+    return F.slice(values, F.coalesce(at, F.lit(0)) + 2, F.greatest(F.coalesce(many, F.lit(0)), F.lit(0)))
+
+
+def first_below(marked: Column, nodes: Column, at: Column) -> Column:
+    """The first marked position below ``at``, else NULL."""
+    return F.array_min(below(marked, nodes, at))
+
+
+def text_below(texts: Column, nodes: Column, at: Column, sep: str) -> Column:
+    """Text of a subtree, pieces trimmed and joined; ``texts`` come from ``texts_of``."""
+    return F.array_join(below(texts, nodes, at), sep)
 
 
 def attr(node: Column, name: str) -> Column:

@@ -31,37 +31,43 @@ def with_selectors(rules: DataFrame) -> DataFrame:
 
 
 def rule_items(nodes: Column, selectors: Column, base_url: Column) -> Column:
-    """Notices a rule's selectors find on a page, in page order."""
-    def chosen(row: Column, selector: Column) -> Column:
-        return F.when(F.size(selector) == 0, row).otherwise(
-            S.first_below(nodes, row, lambda n: S.matches(nodes, n, selector)))
-
-    def places(row: Column) -> Column:
-        anchor = S.first_below(nodes, row, S.is_link)
-        return F.struct(row.alias("row"), chosen(row, selectors["title"]).alias("title_at"),
-                        chosen(row, selectors["link"]).alias("link_at"), anchor.alias("anchor"),
-                        F.when(F.size(selectors["date"]) > 0,
-                               S.first_below(nodes, row, lambda n: S.matches(nodes, n, selectors["date"]))).alias("date_at"))
-
-    def item(p: Column, page: Column) -> Column:
-        title_at, link_at = F.coalesce(p["title_at"], p["anchor"]), F.coalesce(p["link_at"], p["anchor"])
-        attr_title = strip(F.coalesce(S.attr(F.get(nodes, link_at), "title"), F.lit("")))
-        title = F.when(F.length(attr_title) >= V.TITLE_ATTR_MIN_CHARS, attr_title).otherwise(
-            S.text_below(nodes, title_at, ""))
-        href = strip(F.coalesce(S.attr(F.get(nodes, link_at), "href"), F.lit("")))
-        texts = F.array(F.when(p["date_at"].isNotNull(), S.text_below(nodes, p["date_at"], "")),
-                        S.text_below(nodes, p["row"], " "))
-        date = F.get(F.array_compact(F.transform(texts, lambda t: parse_date_text(t))), F.lit(0))
-        return F.when(title_at.isNotNull() & link_at.isNotNull(), bind(
-            F.struct(title.alias("t"), href.alias("h")),
-            lambda x: F.when(admitted_by_rule(x["t"], x["h"]), F.struct(
-                squeeze(x["t"]).alias("title"), resolve_from(page, x["h"]).alias("url"),
-                date.alias("publish_date"), p["row"].alias("position")))))
-
-    rows = S.select_all(nodes, selectors["list_item"])
-    found = bind(split_base(base_url), lambda page: F.transform(
-        rows, lambda row: bind(places(row), lambda p: item(p, page))))
-    return F.filter(F.array_compact(found), lambda x: x["title"] != "")
+    """Notices a rule's selectors find on a page, in page order.
+
+    Selectors are matched and texts are read once for the page, not once for each row.
+    """
+    def marked(name: str) -> Column:
+        return S.marks(nodes, lambda n: S.matches(nodes, n, selectors[name])).alias(name)
+
+    def item(row: Column, page: Column, m: Column) -> Column:
+        def chosen(name: str) -> Column:
+            return F.when(F.size(selectors[name]) == 0, row).otherwise(S.first_below(m[name], nodes, row))
+
+        def build(p: Column) -> Column:
+            # the row's text counts only where the place of the date tells none
+            texts = F.array(F.when(p["date_at"].isNotNull(), S.text_below(m["texts"], nodes, p["date_at"], "")),
+                            S.text_below(m["texts"], nodes, row, " "))
+            date = F.aggregate(texts, F.lit(None).cast("string"), lambda found, t: F.coalesce(found, parse_date_text(t)))
+            attr_title = bind(F.get(nodes, p["link_at"]), lambda n: strip(F.coalesce(S.attr(n, "title"), F.lit(""))))
+            title = bind(attr_title, lambda t: F.when(F.length(t) >= V.TITLE_ATTR_MIN_CHARS, t).otherwise(
+                S.text_below(m["texts"], nodes, p["title_at"], "")))
+            href = strip(F.coalesce(S.attr(F.get(nodes, p["link_at"]), "href"), F.lit("")))
+            return F.when(p["title_at"].isNotNull() & p["link_at"].isNotNull(), bind(
+                F.struct(title.alias("t"), href.alias("h")),
+                lambda x: F.when(admitted_by_rule(x["t"], x["h"]), F.struct(
+                    squeeze(x["t"]).alias("title"), resolve_from(page, x["h"]).alias("url"),
+                    date.alias("publish_date"), row.alias("position")))))
+
+        anchor = S.first_below(m["links"], nodes, row)
+        return bind(F.struct(F.coalesce(chosen("title"), anchor).alias("title_at"), F.coalesce(chosen("link"), anchor).alias("link_at"),
+                             F.when(F.size(selectors["date"]) > 0, S.first_below(m["date"], nodes, row)).alias("date_at")), build)
+
+    def found(rows: Column) -> Column:
+        once = F.struct(marked("title"), marked("link"), marked("date"), S.marks(nodes, S.is_link).alias("links"),
+                        S.texts_of(nodes).alias("texts"), split_base(base_url).alias("page"))
+        return F.when(F.size(rows) > 0, bind(once, lambda m: F.transform(rows, lambda row: item(row, m["page"], m)))).otherwise(
+            F.array().cast(NO_ITEMS))
+
+    return F.filter(F.array_compact(bind(S.select_all(nodes, selectors["list_item"]), found)), lambda x: x["title"] != "")
 
 
 def list_score(items: Column) -> Column:
@@ -82,7 +88,13 @@ def list_score_of(n: Column, dated: Column, avg_chars: Column, variance: Column)
 
 
 def first_by_url(items: Column) -> Column:
-    return F.filter(items, lambda x, i: ~F.exists(F.slice(items, F.lit(1), i), lambda y: y["url"] == x["url"]))
+    """The items whose address did not occur before; nothing but the first item stays behind an unknown address."""
+    def firsts(urls: Column) -> Column:
+        unknown = F.array_position(F.transform(urls, lambda u: u.isNull()), F.lit(True))
+        return bind(unknown, lambda n: F.filter(items, lambda x, i: (i == 0) | (
+            ((n == 0) | (i + 1 < n)) & (F.array_position(urls, x["url"]) == i + 1))))
+
+    return bind(F.transform(items, lambda x: x["url"]), firsts)
 
 
 def heuristic_items(nodes: Column, base_url: Column, min_title_chars: int = V.HEURISTIC_MIN_TITLE_CHARS,
@@ -93,44 +105,69 @@ def heuristic_items(nodes: Column, base_url: Column, min_title_chars: int = V.HE
     earlier place on the page, wins a tie.  ``max_rows`` cuts the rows of a
     block and ``max_links`` leaves larger containers out.
     """
-    def rows_of(c: Column) -> Column:
-        def below(tags: Sequence[str], direct: bool) -> Column:
-            return S.positions_below(nodes, c, lambda n: n["tag"].isin(list(tags)) & ~n["chrome"] & (
-                (n["parent"] == c) if direct else F.lit(True)))
+    def rows_of(c: Column, m: Column) -> Column:
+        def positions(found: Column) -> Column:
+            return F.transform(found, lambda x: x["at"])
+
+        def direct(found: Column) -> Column:
+            return F.filter(found, lambda x: x["parent"] == c)
 
-        return bind(below(["li", "tr"], True), lambda a: F.when(F.size(a) >= 2, a).otherwise(
-            bind(below(["li", "tr"], False), lambda b: F.when(F.size(b) >= 2, b).otherwise(below(["div", "p"], True)))))
+        return bind(F.array_compact(S.below(m["rows"], nodes, c)), lambda b: bind(positions(direct(b)), lambda a: F.when(
+            F.size(a) >= 2, a).otherwise(F.when(F.size(b) >= 2, positions(b)).otherwise(
+                positions(direct(F.array_compact(S.below(m["blocks"], nodes, c))))))))
 
-    def item(row: Column, page: Column) -> Column:
-        anchor = S.first_below(nodes, row, lambda n: S.is_link(n) & ~n["chrome"])
+    def row_marks(tags: Sequence[str]) -> Column:
+        return F.transform(nodes, lambda n, i: F.when(
+            n["tag"].isin(list(tags)) & ~n["chrome"], F.struct(i.alias("at"), n["parent"].alias("parent"))))
+
+    def item(row: Column, m: Column) -> Column:
+        anchor = S.first_below(m["links"], nodes, row)
 
         def build(a: Column) -> Column:
-            node = F.get(nodes, a)
-            attr_title = strip(F.coalesce(S.attr(node, "title"), F.lit("")))
-            title = F.when(F.length(attr_title) >= V.TITLE_ATTR_MIN_CHARS, attr_title).otherwise(
-                S.text_below(nodes, a, "", with_chrome=False))
-            return bind(F.struct(title.alias("t"), strip(S.attr(node, "href")).alias("h")), lambda x: F.when(
+            attr_title = bind(F.get(nodes, a), lambda n: strip(F.coalesce(S.attr(n, "title"), F.lit(""))))
+            title = bind(attr_title, lambda t: F.when(F.length(t) >= V.TITLE_ATTR_MIN_CHARS, t).otherwise(
+                S.text_below(m["texts"], nodes, a, "")))
+            return bind(F.struct(title.alias("t"), strip(S.attr(F.get(nodes, a), "href")).alias("h")), lambda x: F.when(
                 admitted_by_heuristic(x["t"], x["h"], min_title_chars), F.struct(
-                    squeeze(x["t"]).alias("title"), resolve_from(page, x["h"]).alias("url"),
-                    heuristic_date(S.text_below(nodes, row, " ", with_chrome=False)).alias("publish_date"),
+                    squeeze(x["t"]).alias("title"), resolve_from(m["page"], x["h"]).alias("url"),
+                    heuristic_date(S.text_below(m["texts"], nodes, row, " ")).alias("publish_date"),
                     row.alias("position"))))
 
         return bind(anchor, lambda a: F.when(a.isNotNull(), build(a)))
 
-    def candidate(c: Column, page: Column) -> Column:
-        items = bind(F.array_compact(F.transform(rows_of(c["at"]), lambda row: item(row, page))), first_by_url)
+    def candidate(c: Column, made: Column) -> Column:
+        items = bind(F.array_compact(F.transform(c["rows"], lambda row: F.get(made, row))), first_by_url)
         return bind(items if max_rows is None else F.slice(items, 1, max_rows), lambda x: F.when(
             F.size(x) >= 2, F.struct(list_score(x).alias("score"), (-c["kind"]).alias("kind"), (-c["at"]).alias("at"),
                                      x.alias("items"))))
 
     tags = F.array(*[F.lit(t) for t in V.LIST_CONTAINER_TAGS])
+
+    def competes(n: Column) -> Column:
+        return (n["tag"].isin(V.LIST_CONTAINER_TAGS) & ~n["chrome"] & (n["n_links"] >= V.HEURISTIC_LINKS_MIN)
+                & (F.lit(True) if max_links is None else n["n_links"] <= max_links))
+
+    def made(m: Column) -> Column:
+        """Of every node the notice it makes as a row, once for all containers that have this row."""
+        return F.transform(nodes, lambda n, i: F.when(
+            (n["n_links"] > 0) & ~n["chrome"] & (n["tag"].isin("li", "tr") | (
+                n["tag"].isin("div", "p") & competes(F.get(nodes, n["parent"])))), item(i, m)))
+
+    def best(competing: Column, m: Column) -> Column:
+        places = F.transform(competing, lambda c: F.struct(
+            c["at"].alias("at"), c["kind"].alias("kind"), rows_of(c["at"], m).alias("rows")))
+        return bind(made(m), lambda x: F.array_max(F.array_compact(F.transform(places, lambda c: candidate(c, x)))))
+
+    def found(competing: Column) -> Column:
+        once = F.struct(
+            row_marks(["li", "tr"]).alias("rows"), row_marks(["div", "p"]).alias("blocks"),
+            S.marks(nodes, lambda n: S.is_link(n) & ~n["chrome"]).alias("links"),
+            S.texts_of(nodes, with_chrome=False).alias("texts"), split_base(base_url).alias("page"))
+        return F.when(F.size(competing) > 0, bind(once, lambda m: best(competing, m)["items"]))
+
     places = F.array_compact(F.transform(nodes, lambda n, i: F.when(
-        n["tag"].isin(V.LIST_CONTAINER_TAGS) & ~n["chrome"]
-        & (n["n_links"] >= V.HEURISTIC_LINKS_MIN) & (F.lit(True) if max_links is None else n["n_links"] <= max_links),
-        F.struct(i.alias("at"), F.array_position(tags, n["tag"]).cast("int").alias("kind")))))
-    best = F.array_max(F.array_compact(bind(split_base(base_url), lambda page: F.transform(
-        places, lambda c: candidate(c, page)))))
-    return F.coalesce(bind(best, lambda b: b["items"]), F.array().cast(NO_ITEMS))
+        competes(n), F.struct(i.alias("at"), F.array_position(tags, n["tag"]).cast("int").alias("kind")))))
+    return F.coalesce(bind(places, found), F.array().cast(NO_ITEMS))
 
 
 def listing_items(pages: DataFrame, rules: DataFrame, html_column: str = "html") -> DataFrame:
@@ -141,7 +178,8 @@ def listing_items(pages: DataFrame, rules: DataFrame, html_column: str = "html")
     """
     kept = ["rule_id", "city", "district", "source_name", "category"]
     compiled = with_selectors(rules).select(*kept, "selectors")
-    parsed = pages.join(compiled, "rule_id").withColumn("nodes", nodes_of(F.col(html_column)))
+    # rules are broadcast whatever their table tells of its size: else a few rules would gather all pages in a few tasks
+    parsed = pages.join(F.broadcast(compiled), "rule_id").withColumn("nodes", nodes_of(F.col(html_column)))
     by_rule = bind(rule_items(F.col("nodes"), F.col("selectors"), F.col("url")), lambda x: F.struct(
         (F.size(x) == 0).alias("from_fallback"),
         F.when(F.size(x) > 0, x).otherwise(heuristic_items(F.col("nodes"), F.col("url"))).alias("items")))
@@ -177,9 +215,10 @@ def main_text(nodes: Column, selectors: Sequence[str] = tuple(V.CONTENT_SELECTOR
         & (n["link_chars"] / _chars(n) < V.MAX_LINK_TEXT_SHARE),
         F.struct(_chars(n).alias("chars"), (-i).alias("before"))))))
     heaviest = F.when(heavy["chars"] >= V.MIN_MAIN_TEXT_CHARS, -heavy["before"])
-    whole = F.array_join(F.transform(F.filter(nodes, lambda n: (n["tag"] == "#text") & ~n["chrome"]), lambda n: n["text"]), "\n")
     at = F.coalesce(bind(blocks, first_block), heaviest)
-    return clean_text(bind(at, lambda a: F.when(a.isNotNull(), S.text_below(nodes, a, "\n", with_chrome=False)).otherwise(whole)))
+    texts = S.texts_of(nodes, with_chrome=False)
+    return clean_text(bind(F.struct(at.alias("at"), texts.alias("texts")), lambda m: F.array_join(F.when(
+        m["at"].isNotNull(), S.below(m["texts"], nodes, m["at"])).otherwise(m["texts"]), "\n")))
 
 
 def _chars(n: Column) -> Column:
