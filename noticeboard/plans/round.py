@@ -63,17 +63,18 @@ def found_items(inputs: Inputs, rules: DataFrame, failures: DataFrame) -> DataFr
         return listing.listing_items(pages, rules).select(*KEPT, *ITEM)
     kind = F.lower(F.coalesce("parser_type", F.lit("html")))
     asked = rules.filter(kind.isin("json", "json_html")).select("rule_id", kind.alias("_kind"), "json_path")
-    bodies = fetched.before_failure(inputs.responses, failures).join(asked, "rule_id")
+    bodies = fetched.before_failure(inputs.responses, failures).join(F.broadcast(asked), "rule_id")
     inside = fetched.json_html_pages(bodies.filter(F.col("_kind") == "json_html")).select("rule_id", "url", "page", "html")
     plain = fetched.json_items(bodies.filter(F.col("_kind") == "json").drop("_kind")).withColumn("from_fallback", F.lit(False))
     listed = listing.listing_items(pages.unionByName(inside), rules)
-    return listed.select(*KEPT, *ITEM).unionByName(plain.join(rules.select(*KEPT), "rule_id").select(*KEPT, *ITEM))
+    return listed.select(*KEPT, *ITEM).unionByName(plain.join(F.broadcast(rules.select(*KEPT)), "rule_id").select(*KEPT, *ITEM))
 
 
 def collect(inputs: Inputs) -> DataFrame:
     """Items of the successfully read pages of valid rules, each address once per source."""
     bad = fetched.fetch_outcome(F.col("kind"), F.col("http_status"), F.col("error")).isNotNull()
-    failures = fetched.first_failures(inputs.fetch_log.withColumn("failed", bad))
+    # a row per rule: broadcast like the rules, so that no task gets all pages of a source
+    failures = F.broadcast(fetched.first_failures(inputs.fetch_log.withColumn("failed", bad)))
     rules = inputs.rules.filter(F.size(fetched.rule_problems(
         F.col("url"), F.col("city"), F.col("source_name"), F.col("parser_type"))) == 0).withColumnRenamed("id", "rule_id")
     items = found_items(inputs, rules, failures).withColumns({

@@ -48,6 +48,25 @@ def test_rules_go_to_the_pages(spark, never_small):
     assert found.count() == 12
 
 
+def test_a_round_does_not_gather_the_pages_of_a_source(spark, never_small):
+    """i9, i10: neither the failures nor the rules move pages."""
+    found = rounds.collect(inputs(spark))
+    assert "SortMergeJoin" not in plan(found)
+    assert {r.page for r in found.select("page").distinct().collect()} == {1}     # the same addresses on every page
+    assert found.count() == 4
+
+
+def test_json_sources_of_a_round_stay_in_place(spark, never_small):
+    """i9_every_input: bodies are joined with broadcast rules."""
+    i = inputs(spark)
+    kind = "struct<list:string,title:string,link:string,date:string,html:string>"
+    rules = i.rules.withColumns({"parser_type": F.lit("json"), "json_path": F.lit(None).cast(kind)})
+    bodies = i.pages.select("rule_id", "url", "page", F.lit('{"data":[{"title":"关于第1号项目受理安排的通知","url":"/a"}]}').alias("body"))
+    found = rounds.collect(rounds.Inputs(rules, i.pages.filter("false"), i.fetch_log, responses=bodies))
+    assert "SortMergeJoin" not in plan(found)
+    assert [r.title for r in found.collect()] == ["关于第1号项目受理安排的通知"]
+
+
 def test_long_lists_in_nested_containers(spark):
     """w3, s8: a row is read once, whatever the number of its containers, and addresses are not compared in pairs of rows."""
     n = 1200
