@@ -67,6 +67,15 @@ def test_json_sources_of_a_round_stay_in_place(spark, never_small):
     assert [r.title for r in found.collect()] == ["关于第1号项目受理安排的通知"]
 
 
+def test_nodes_of_a_batch_come_a_few_pages_at_a_time():
+    """s8, x1: memory of Python does not follow the number of pages in a batch."""
+    batch = pa.array([page(2), None] * 500)
+    parts = list(html_nodes.node_arrays(iter([batch, batch.slice(0, 0), batch.slice(0, 3)]), frozenset(V.CHROME_TAGS)))
+    assert max(map(len, parts)) <= 64 and sum(map(len, parts)) == 1003
+    whole = html_nodes._node_array(batch, frozenset(V.CHROME_TAGS))
+    assert pa.concat_arrays(parts).slice(0, 1000).equals(whole)
+
+
 def test_long_lists_in_nested_containers(spark):
     """w3, s8: a row is read once, whatever the number of its containers, and addresses are not compared in pairs of rows."""
     n = 1200
