@@ -25,8 +25,8 @@ from noticeboard.llm.common import text_udf
 # white space and word pattern of the vocabulary file's own pre-tokenizer
 SPACE = "\t-\r \u0085   -     　"
 CHUNK = re.compile(f"[^{SPACE}]+")
-# entries remembered by a worker; only speed depends on them
-CACHED, ARCS = 300_000, 500_000
+# entries remembered by a worker: words, runs without white space, arcs; only speed depends on them
+CACHED, CHUNKS, ARCS = 300_000, 150_000, 500_000
 
 
 def byte_symbols() -> list[str]:
@@ -77,13 +77,15 @@ class TokenAutomaton:
 
     def _gone(self, state: int, token: int) -> float:
         """When the arc left this state's line of copies; never: infinity."""
-        limit, when = float("inf"), float("inf")
+        limit = when = float("inf")
+        removed, copied_at, parent = self.removed, self.copied_at, self.parent
         while state >= 0:
-            at = self.removed[state].get(token)
-            if at is not None and at < limit:
-                when = min(when, at)
-            limit = min(limit, self.copied_at[state])
-            state = self.parent[state]
+            at = removed[state].get(token)
+            if at is not None and at < limit and at < when:
+                when = at
+            if copied_at[state] < limit:
+                limit = copied_at[state]
+            state = parent[state]
         return when
 
     def step(self, state: int, token: int) -> int:
@@ -151,6 +153,7 @@ class Encoder:
         self.label = {i: t for t, i in (self.vocab | self.special).items()}
         self.cache: dict[str, tuple[int, str, str]] = {}
         self.older: dict[str, tuple[int, str, str]] = {}
+        self.chunks: dict[str, tuple[int, str, str]] = {}
 
     def word(self, word: str) -> list[int]:
         """Token ids of one pre-split word: the only path of arcs that spells it."""
@@ -208,9 +211,15 @@ class Encoder:
         body, last = chunk[:-1], chunk[-1]
         if last in ".,;:!?" and body.isalpha():
             a, b = self.piece(body), self.piece(last)
-            return a[0] + b[0], f"{a[1]} {b[1]}", f"{a[2]} {b[2]}"
-        parts = [self.piece(w) for w in self.words.findall(chunk)]
-        return sum([p[0] for p in parts]), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
+            known = a[0] + b[0], f"{a[1]} {b[1]}", f"{a[2]} {b[2]}"
+        else:
+            parts = [self.piece(w) for w in self.words.findall(chunk)]
+            known = sum([p[0] for p in parts]), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
+        if len(chunk) <= 24:
+            if len(self.chunks) >= CHUNKS:
+                self.chunks = {}
+            self.chunks[chunk] = known
+        return known
 
     def pieces(self, text: str) -> list[tuple[int, str, str]]:
         out = []
@@ -221,8 +230,8 @@ class Encoder:
             if not unicodedata.is_normalized("NFC", part):
                 part = unicodedata.normalize("NFC", part)
             # lower case letter by letter: no final form of sigma
-            chunk, known = self.chunk, self.cache.get
-            out += [known(c) or chunk(c) for c in CHUNK.findall(part.replace("Σ", "σ").lower())]
+            chunk, known, run = self.chunk, self.cache.get, self.chunks.get
+            out += [known(c) or run(c) or chunk(c) for c in CHUNK.findall(part.replace("Σ", "σ").lower())]
         return [p for p in out if p[0]]
 
     def ids(self, text: str) -> list[int]:

@@ -318,3 +318,12 @@ def test_long_texts_hash_alike_in_slabs(monkeypatch):
 def test_pruning_spares_pairs_at_the_threshold():
     least = bayes_join.least_matches(0.8, 1e-6)
     assert list(least) == sorted(least) and 0 < least[0] < 16 and least[-1] < 0.8 * 128
+
+
+def test_runs_met_before_are_remembered():
+    """op9: a run of words and marks is put together once."""
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        e = bpe_automaton.Encoder(f.read())
+    first = e.digest("well-known, e.g. 12.5% (see x)")
+    e.words = None      # nothing is split again
+    assert e.digest("well-known, e.g. 12.5% (see x)") == first
