@@ -11,7 +11,7 @@ replacement by their weight plus Gumbel noise: the highest scores are the draw.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from zlib import crc32
 
 import numpy as np
@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticeboard.llm.common import WORD_BYTES, bytes_of, kept, written
+from noticeboard.llm.common import SLICE, WORD_BYTES, bytes_of, kept, written
 
 SIZES = (1, 2)
 BUCKETS = 10_000
@@ -35,12 +35,16 @@ def bucket_scanner(sizes: Sequence[int] = SIZES, buckets: int = BUCKETS) -> Call
         words = raw.translate(WORD_BYTES).split()
         line = b" ".join(words)
         # single words cannot overlap
-        sums = [crc32(m[0]) for n, p in patterns for m in p.finditer(line, overlapped=n > 1)]
-        return len(words), np.array(sums, np.uint32) % np.uint32(buckets)
+        sums = np.fromiter((crc32(m[0]) for n, p in patterns for m in p.finditer(line, overlapped=n > 1)), np.uint32)
+        return len(words), sums % np.uint32(buckets)
 
     return scan
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(i, SLICE) for i in range(0, batch.num_rows, SLICE))
+
+
 def _kind(buckets: int) -> type:
     return np.uint16 if buckets <= 1 << 16 else np.uint32
 
@@ -52,10 +56,11 @@ def scanned(docs: DataFrame, sizes: Sequence[int] = SIZES, buckets: int = BUCKET
     def run(batches):
         scan = bucket_scanner(sizes, buckets)
         for batch in batches:
-            found = [scan(raw) for part in bytes_of(batch.column("text")) for raw in part]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([n for n, _ in found], pa.int64()),
-                 pa.array([b.astype(kind).tobytes() for _, b in found], pa.binary())], names=["doc_id", "n_words", "buckets"])
+            for part in _slices(batch):    # the buckets of a few texts at a time are held and handed over
+                found = [(n, b.astype(kind).tobytes()) for raws in bytes_of(part.column("text")) for n, b in map(scan, raws)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array([n for n, _ in found], pa.int64()), pa.array([b for _, b in found], pa.binary())],
+                    names=["doc_id", "n_words", "buckets"])
 
     return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         run, "doc_id long, n_words long, buckets binary"), "scanned")

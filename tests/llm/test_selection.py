@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -223,3 +224,21 @@ def test_terms_are_guarded():
 
 def test_the_new_queries_are_registered():
     assert {"op11_overlap_resampling", "op12_hypergeometric_shards", "op13_aho_search"} <= set(queries.QUERIES)
+
+
+def test_the_scan_hands_over_a_few_texts_at_a_time(spark, monkeypatch):
+    """op11: the buckets of a batch are not held at once."""
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    monkeypatch.setattr(overlap_resampling, "written", lambda run, _: run)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1000)), "text": ["Ab cd  ef", None] * 500})
+    parts = list(overlap_resampling.scanned(Docs())(iter([batch, batch.slice(0, 0)])))
+    assert max(p.num_rows for p in parts) <= 256 and sum(p.num_rows for p in parts) == 1000
+    rows = pa.Table.from_batches(parts).to_pylist()
+    assert [r["doc_id"] for r in rows] == list(range(1000))
+    assert rows[0]["n_words"] == 3 and len(rows[0]["buckets"]) == 10 and rows[1]["buckets"] == b""
