@@ -154,6 +154,40 @@ def test_short_and_digit_free_secrets_are_found(spark):
     assert scanner.spans_of(clean) == [[]] * 100
 
 
+def test_every_candidate_is_trained_on_or_held_back(spark, monkeypatch):
+    rng = random.Random(5)
+    value = lambda n: "".join(rng.choice("ghjkmnpq12345678") for _ in range(n)) + "z1"
+    rows = [(i, " ".join(f"token={value(20)} and gewoehnlich Zimmer{i}unten {value(3000) if i % 5 == 0 else ''}" for _ in range(9)), None, None, 0) for i in range(40)]
+    found, others = 40 * 9, 40 * 9 * 2 + 8 * 9
+    for alone in (char_cnn_secrets.ALONE, 0):       # one task, and all tasks averaged over several readings
+        monkeypatch.setattr(char_cnn_secrets, "ALONE", alone)
+        scanner = char_cnn_secrets.fit_scanner(documents(spark, rows), epochs=2)
+        assert scanner.network is not None and min(scanner.read) > 0
+        assert (scanner.read[0] + scanner.read[2], scanner.read[1] + scanner.read[3]) == (found, others)
+    again = char_cnn_secrets.fit_scanner(documents(spark, rows), epochs=2)
+    assert again.threshold == scanner.threshold and all((a == b).all() for a, b in zip(again.network.p.values(), scanner.network.p.values()))
+
+
+def test_gradient_is_that_of_the_loss():
+    rng = np.random.default_rng(2)
+    network = char_cnn_secrets.Network()
+    x, labels, weight = rng.integers(0, 129, (30, char_cnn_secrets.WIDTH)).astype(np.uint8), rng.integers(0, 2, 30).astype(float), rng.random(30)
+    network.tables = lambda: np.stack([network.p["e"] @ network.p["w"][i * 8:(i + 1) * 8] for i in range(network.width)])  # in doubles
+
+    def loss():
+        s = network.forward(x)[3]
+        return (weight * (np.logaddexp(0, s) - labels * s)).sum()
+
+    for key, g in network.gradient(x, labels, weight).items():
+        at = tuple(rng.integers(0, n) for n in g.shape) if key != "e" else (int(x[0, 30]), 3)
+        kept = network.p[key][at]
+        network.p[key][at] = kept + 1e-6
+        up = loss()
+        network.p[key][at] = kept - 1e-6
+        assert abs((up - loss()) / 2e-6 - g[at]) < 1e-5, key
+        network.p[key][at] = kept
+
+
 def test_secrets_odd_rows(spark):
     docs = documents(spark)
     rows = char_cnn_secrets.secret_findings(docs, char_cnn_secrets.fit_scanner(docs)).collect()
