@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from noticeboard.llm import bayes_join, bpe_automaton, budget_mix, char_cnn_secrets, weak_toxicity
 from noticeboard.llm.common import read, written
 
+REMEMBERED = 100_000    # words a worker keeps while other stages run in it
+
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text scores below one half; a null or empty text stays."""
@@ -40,7 +42,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row."""
-    return bpe_automaton.bpe_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return bpe_automaton.bpe_digests(docs, public_tokenizers.path("word_bpe_49k.json"), REMEMBERED)
 
 
 STAGES = [

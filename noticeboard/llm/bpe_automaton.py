@@ -25,8 +25,8 @@ from noticeboard.llm.common import text_udf
 # white space and word pattern of the vocabulary file's own pre-tokenizer
 SPACE = "\t-\r \u0085   -     　"
 CHUNK = re.compile(f"[^{SPACE}]+")
-# entries remembered by a worker: words, runs without white space, arcs; only speed depends on them
-CACHED, CHUNKS, ARCS = 300_000, 150_000, 500_000
+# words remembered by a worker, with half as many runs without white space and as many arcs and two thirds more; only speed depends on it
+CACHED = 300_000
 
 
 def byte_symbols() -> list[str]:
@@ -48,12 +48,13 @@ class TokenAutomaton:
     transition table as it is asked for.
     """
 
-    def __init__(self, base: list[int], merges: list[tuple[int, int, int]]):
+    def __init__(self, base: list[int], merges: list[tuple[int, int, int]], most: int = CACHED * 5 // 3):
         self.parent, self.copied_at, self.removed = [-1], [0], [{}]
         self.target: dict[int, int] = dict.fromkeys(base, 0)
         self.left: dict[int, int] = {}   # token -> the left half it was merged from
         self.born: dict[int, int] = dict.fromkeys(base, -1)
-        self.table: dict[int, int] = {}     # state and token -> target or -1
+        self.table: dict[int, int] = {}     # state and token -> target or -1, at most ``most``
+        self.most = most
         shared = {0: len(base)}          # arcs labels per target state
         for time, (u, v, w) in enumerate(merges):
             if w in self.born or u not in self.born or v not in self.born:
@@ -101,7 +102,7 @@ class TokenAutomaton:
             if at not in self.left:
                 break
             later, at = self.born[at], self.left[at]
-        if len(self.table) >= ARCS:
+        if len(self.table) >= self.most:
             self.table.clear()
         self.table[state << 20 | token] = known
         return known
@@ -115,7 +116,8 @@ class Encoder:
     carries the end-of-word suffix.  Other descriptions are refused.
     """
 
-    def __init__(self, description: str):
+    def __init__(self, description: str, cached: int = CACHED):
+        self.cached = cached
         spec = json.loads(description)
         model = spec["model"]
         kinds = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
@@ -132,7 +134,7 @@ class Encoder:
         self.symbols = byte_symbols()
         base = [self.vocab[s + e] for s in self.symbols for e in ({"", self.suffix}) if s + e in self.vocab]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.automaton = TokenAutomaton(base, [(self.vocab[a], self.vocab[b], self.vocab[a + b]) for a, b in pairs])
+        self.automaton = TokenAutomaton(base, [(self.vocab[a], self.vocab[b], self.vocab[a + b]) for a, b in pairs], cached * 5 // 3)
         made = set(base) | set(self.automaton.left)
         self.heads: dict[str, int] = {}  # every beginning of an arc's label -> its token, or -1
         self.final: dict[str, int] = {}  # labels that end a word
@@ -199,7 +201,7 @@ class Encoder:
                 number, label = self.number, self.label
                 known = (len(ids), " ".join([number[i] for i in ids]), " ".join([label[i] for i in ids]))
             if len(word) <= 64:
-                if len(self.cache) >= CACHED:  # what was used lately lives on as the older half
+                if len(self.cache) >= self.cached:  # what was used lately lives on as the older half
                     self.older, self.cache = self.cache, {}
                 self.cache[word] = known
         return known
@@ -216,7 +218,7 @@ class Encoder:
             parts = [self.piece(w) for w in self.words.findall(chunk)]
             known = sum([p[0] for p in parts]), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
         if len(chunk) <= 24:
-            if len(self.chunks) >= CHUNKS:
+            if len(self.chunks) >= self.cached // 2:
                 self.chunks = {}
             self.chunks[chunk] = known
         return known
@@ -249,8 +251,8 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(description: str) -> Encoder:
-    return Encoder(description)
+def encoder(description: str, cached: int = CACHED) -> Encoder:
+    return Encoder(description, cached)
 
 
 def _broadcast(spark: SparkSession, vocabulary: str):
@@ -276,15 +278,16 @@ def decode_column(spark: SparkSession, ids: Column, vocabulary: str) -> Column:
     return F.arrow_udf(decoded, "string")(ids)
 
 
-def bpe_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
+def bpe_digests(docs: DataFrame, vocabulary: str, cached: int = CACHED) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document.
 
     Whole texts; a null text is encoded as an empty one (no token, digests of
     the empty string).  Only ``doc_id`` and ``text`` are read; repeated rows give
-    repeated results and an empty table none.
+    repeated results and an empty table none.  A worker remembers ``cached`` words
+    and keeps them until it ends, so fewer suit jobs with other work beside.
     """
     file = _broadcast(docs.sparkSession, vocabulary)
     returns = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-    digest = text_udf(lambda: lambda t: encoder(file.value).digest(t), returns,
+    digest = text_udf(lambda: lambda t: encoder(file.value, cached).digest(t), returns,
                       "n_tokens long, ids_sha256 string, decoded_sha256 string")
     return docs.select("doc_id", digest(F.col("text")).alias("_d")).select("doc_id", "_d.*")
