@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from noticeboard import fixed_values as V
 from noticeboard.functions.text import bind, to_int
 
+# a whole text that is one ISO date; most dates are
+_ISO_DAY = r"^(?!0000){}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])\z"
+
 
 def iso(y: Column, m: Column, d: Column) -> Column:
     return F.format_string("%04d-%02d-%02d", y, m, d)
@@ -35,9 +38,9 @@ def _from_first_match(text: Column, pattern: str, build) -> Column:
 
 def publish_date(text: Column) -> Column:
     """Date of the first year-month-day in the text; NULL when the calendar has no such day."""
-    return _from_first_match(
+    return F.when(text.rlike(_ISO_DAY.format("[0-9]{4}")), text.try_cast("date")).otherwise(_from_first_match(
         text, V.PUBLISH_DATE,
-        lambda y, m, d: bind(y, lambda v: F.when(v >= 1, iso(v, m, d))).try_cast("date"))
+        lambda y, m, d: bind(y, lambda v: F.when(v >= 1, iso(v, m, d))).try_cast("date")))
 
 
 def age_days(published: Column, today: Column) -> Column:
@@ -46,8 +49,11 @@ def age_days(published: Column, today: Column) -> Column:
 
 def parse_date_text(text: Column, patterns: Sequence[str] = tuple(V.ROW_DATE_PATTERNS)) -> Column:
     """First pattern whose first hit is a date between 2000 and 2100."""
-    return F.coalesce(*[
+    found = F.coalesce(*[
         _from_first_match(text, p, lambda y, m, d: checked_iso(y, m, d, 2000, 2100)) for p in patterns])
+    if tuple(patterns) != tuple(V.ROW_DATE_PATTERNS):
+        return found
+    return F.when(text.rlike(_ISO_DAY.format("20[0-9]{2}")), text).otherwise(found)
 
 
 def heuristic_date(text: Column) -> Column:

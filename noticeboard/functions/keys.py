@@ -41,6 +41,14 @@ def with_keys(notices: DataFrame) -> DataFrame:
     }).withColumn("unique_id", F.md5("canonical_url"))
 
 
+def with_title_keys(notices: DataFrame) -> DataFrame:
+    """Take dedup_key and content_fingerprint again after a change of title, city or deadline; keys of address and date stay."""
+    return notices.withColumns({
+        "dedup_key": dedup_key(F.col("city"), F.col("title")),
+        "content_fingerprint": content_fingerprint(F.col("title"), F.col("publish_date"), F.col("deadline")),
+    })
+
+
 def to_brief(notices: DataFrame) -> DataFrame:
     """The fourteen display columns; the exact score stays available as relevance_score_raw."""
     return notices.select(

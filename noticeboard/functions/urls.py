@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -11,6 +12,10 @@ from noticeboard import fixed_values as V
 from noticeboard.functions.text import array_of, bind, strip
 
 _SCHEME = "^([A-Za-z][A-Za-z0-9+.-]*):"
+# references in plain characters that are resolved without taking them apart
+_ABSOLUTE = r"^[A-Za-z][A-Za-z0-9+.-]*://[!-~]*\z"
+_OTHER_HOST = r"^//[!-~]*\z"
+_ROOTED = r"^/(?!/)[!-~]*\z"
 
 
 def split_url(url: Column) -> Column:
@@ -60,6 +65,16 @@ def canonical_query(query: Column, volatile_keys: Sequence[str] = V.VOLATILE_QUE
     return F.when(query == "", F.lit("")).otherwise(F.array_join(encoded, "&"))
 
 
+def _canonical_but_scheme(volatile_keys: Sequence[str], index_files: Sequence[str]) -> str:
+    """Pattern of addresses that ``normalize_url`` leaves as they are, http aside: one parameter at most, nothing to drop or decode."""
+    def unless(words: Sequence[str], end: str) -> str:
+        return f"(?!(?i:{'|'.join(map(re.escape, words))}){end})" if words else ""
+
+    segment, plain = "[A-Za-z0-9_.~!$&'()*+,;=:@%-]", "[A-Za-z0-9_.~-]"
+    last, first = unless(index_files, r"(?:\?|\z)"), unless(volatile_keys, "=")
+    return rf"^https?://[a-z0-9.-]+/(?:{segment}++/)*+{last}{segment}*+(?:\?{first}{plain}++={plain}++)?\z"
+
+
 def normalize_url(url: Column, volatile_keys: Sequence[str] = V.VOLATILE_QUERY_KEYS,
                   index_files: Sequence[str] = V.INDEX_FILENAMES) -> Column:
     """One spelling for all spellings of a page address.
@@ -67,7 +82,18 @@ def normalize_url(url: Column, volatile_keys: Sequence[str] = V.VOLATILE_QUERY_K
     http and https count as the same; the fragment, the default port, a default
     index file, repeated slashes and volatile parameters are dropped.  A value
     that mixes valid and invalid percent escapes is kept undecoded.
+
+    ``url`` is evaluated once.  Most addresses are canonical already, which one
+    pattern tells; only the others are taken apart.
     """
+    pattern = _canonical_but_scheme(volatile_keys, index_files)
+    return bind(url, lambda u: F.when(u.isNull() | (u == ""), F.lit("")).when(u.rlike(pattern), F.when(
+        u.startswith("https"), u).otherwise(F.concat(F.lit("https"), F.substring(u, F.lit(5), F.length(u))))).otherwise(
+            _rebuilt_url(u, volatile_keys, index_files)))
+
+
+def _rebuilt_url(url: Column, volatile_keys: Sequence[str], index_files: Sequence[str]) -> Column:
+    """``normalize_url`` of an address that is neither NULL nor empty, from its parts."""
     def slashes(path: Column) -> Column:
         return F.when(F.contains(path, F.lit("//")), F.regexp_replace(path, "/{2,}", "/")).otherwise(path)
 
@@ -97,7 +123,7 @@ def normalize_url(url: Column, volatile_keys: Sequence[str] = V.VOLATILE_QUERY_K
         return F.when(p["broken"], strip(url)).otherwise(F.concat(
             p["scheme"], F.lit(":"), front, F.when(p["query"] != "", F.concat(F.lit("?"), p["query"])).otherwise("")))
 
-    return F.when(url.isNull() | (url == ""), F.lit("")).otherwise(bind(bind(split_url(url), build), join))
+    return bind(bind(split_url(url), build), join)
 
 
 def remove_dot_segments(path: Column) -> Column:
@@ -115,8 +141,8 @@ def remove_dot_segments(path: Column) -> Column:
 
 
 def resolve_url(base: Column, href: Column) -> Column:
-    """Absolute address of ``href`` seen from the page ``base``."""
-    return bind(split_base(base), lambda b: resolve_from(b, href))
+    """Absolute address of ``href`` seen from the page ``base``; the page is not looked at for an absolute one."""
+    return bind(href, lambda h: F.when(h.rlike(_ABSOLUTE), h).otherwise(bind(split_base(base), lambda b: resolve_from(b, h))))
 
 
 def split_base(base: Column) -> Column:
@@ -125,7 +151,23 @@ def split_base(base: Column) -> Column:
 
 
 def resolve_from(page: Column, href: Column) -> Column:
-    """As ``resolve_url`` for a page address given by ``split_base``."""
+    """As ``resolve_url`` for a page address given by ``split_base``.
+
+    ``href`` is evaluated once, and taken apart only if it is relative to the
+    page's folder, has dot segments, or consists of more than plain characters.
+    """
+    def short(h: Column) -> Column:
+        dotted = F.contains(h, F.lit("/.")) | F.contains(h, F.lit("./"))
+        return (F.when(h.rlike(_ABSOLUTE), h)
+                .when(h.rlike(_OTHER_HOST), F.concat(page["b"]["scheme"], F.lit(":"), h))
+                .when(h.rlike(_ROOTED) & ~dotted, F.concat(page["b"]["scheme"], F.lit("://"), page["b"]["host"], h))
+                .otherwise(_merged_url(page, h)))
+
+    return bind(href, short)
+
+
+def _merged_url(page: Column, href: Column) -> Column:
+    """``resolve_from`` from the parts of both addresses."""
     def merge(x: Column) -> Column:
         b, h = page["b"], x["h"]
         name = F.substring_index(b["path"], "/", -1)

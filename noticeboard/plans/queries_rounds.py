@@ -150,7 +150,9 @@ def i9_every(spark, sf):
     The run log holds earlier runs, of which retention leaves sixty days; their
     broken sources make an alert due.
     """
-    inputs = every_input(spark, sf)
+    inputs, texts = every_input(spark, sf), scratch_path(spark, "details")
+    inputs.details.write.parquet(texts)     # both rounds read them
+    inputs = replace(inputs, details=spark.read.parquet(texts))
     ledger, outcomes, alerts = (BatchLog(spark, scratch_path(spark, name)) for name in ("ledger", "outcomes", "alerts"))
     log = DatedLog(spark, scratch_path(spark, "run_log"))
     log.write(B.run_log(spark, sf).withColumns({"id": F.col("id").cast("string"), "items_found": F.col("items_found").cast("long")}), 0)

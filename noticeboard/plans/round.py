@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticeboard import fixed_values as V
-from noticeboard.functions.keys import with_keys
+from noticeboard.functions.keys import with_keys, with_title_keys
 from noticeboard.operators import details, filters, health, outbox
 from noticeboard.operators.dedup import first_per_key
 from noticeboard.session import shared_dir
@@ -96,8 +96,8 @@ def plan_round(inputs: Inputs, policy: filters.Policy, now: Column, as_baseline:
     results = fetched.source_results(inputs.rules, inputs.fetch_log, items.select(
         "rule_id", "title", F.struct("page", "position").alias("pos")))
     judged = filters.judge(items, policy)
-    # titles were cleaned, so the keys are taken again
-    relevant = with_keys(filters.kept(judged)).withColumn("negative_score", -F.col("relevance_score"))
+    # titles were cleaned, so their keys are taken again
+    relevant = with_title_keys(filters.kept(judged)).withColumn("negative_score", -F.col("relevance_score"))
     if inputs.details is not None:
         relevant = details.enrich_with_details(relevant, inputs.details, "unique_id", detail_limit)
     new_rows = outbox.discover(relevant, inputs.ledger, ORDER, now, as_baseline).drop("negative_score")
@@ -167,7 +167,7 @@ def record_alert(alerts: BatchLog, number: int, now: Column, delivered: bool) ->
 def dry_run(inputs: Inputs, policy: filters.Policy, now: Column, detail_limit: int | None = None) -> DataFrame:
     """What a round would keep, best first, without storing anything."""
     judged = filters.judge(collect(inputs), policy)
-    relevant = with_keys(filters.kept(judged))
+    relevant = with_title_keys(filters.kept(judged))
     if inputs.details is not None:
         relevant = details.enrich_with_details(relevant, inputs.details, "unique_id", detail_limit)
     return relevant.orderBy(F.desc("relevance_score"), "rule_id", "page", "position")

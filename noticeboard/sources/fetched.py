@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from noticeboard import fixed_values as V
 from noticeboard.functions.dates import parse_date_text
 from noticeboard.functions.text import bind, strip, squeeze
-from noticeboard.functions.urls import resolve_url
+from noticeboard.functions.urls import resolve_from, resolve_url, split_base
 from noticeboard.sources.rules import rule_problems
 
 
@@ -197,7 +197,8 @@ def json_items(responses: DataFrame) -> DataFrame:
     """
     key = {n: F.coalesce(F.col(f"json_path.{n}"), F.lit(d))
            for n, d in (("list", "data"), ("title", "title"), ("link", "url"), ("date", "date"))}
-    rows = responses.select(
+    # the page's address is taken apart once for all its rows
+    rows = responses.withColumn("_page", split_base(F.col("url"))).select(
         "*", *[key[n].alias(f"_{n}") for n in ("title", "link", "date")],
         F.posexplode_outer(json_array_at(F.col("body"), key["list"])).alias("position", "_raw"))
     rows = rows.filter(F.col("_raw").startswith("{")).withColumn("_map", F.from_json("_raw", "map<string,string>"))
@@ -208,7 +209,7 @@ def json_items(responses: DataFrame) -> DataFrame:
     found = rows.withColumns({"_t": field("_title"), "_h": field("_link"), "_d": field("_date")})
     page = ["page"] if "page" in responses.columns else []
     return found.filter((F.length("_t") >= V.RULE_MIN_TITLE_CHARS) & (F.col("_h") != "")).select(
-        "rule_id", *page, "position", squeeze(F.col("_t")).alias("title"), resolve_url(F.col("url"), F.col("_h")).alias("url"),
+        "rule_id", *page, "position", squeeze(F.col("_t")).alias("title"), resolve_from(F.col("_page"), F.col("_h")).alias("url"),
         parse_date_text(F.col("_d")).alias("publish_date"))
 
 
